@@ -190,23 +190,15 @@ def stint_context(clock: DataFrame) -> DataFrame:
     )
 
 
-def stint_volume(events: DataFrame, xg: DataFrame) -> DataFrame:
-    """Point measures summed onto stints by shooting side.
+def stint_volume(events: DataFrame) -> DataFrame:
+    """Point measures summed onto stints by shooting side, from events with stint_idx and xg.
 
-    `events` carries stint_idx; `xg` carries (game_id, stint_idx, is_home, xg). A blocked shot is
-    owned by the blocking team, so its shooter is the other side.
+    A blocked shot is owned by the blocking team, so its shooter is the other side.
     """
     side = F.when(F.col("type") == "blocked-shot", ~F.col("is_home")).otherwise(F.col("is_home"))
-    ev = events.where(F.col("stint_idx").isNotNull() & F.col("type").isin(*S.CORSI))
-    rows = ev.select(
-        "game_id", "stint_idx", side.alias("home"), F.lit(1).alias("corsi"),
-        F.col("type").isin(*S.FENWICK).cast("int").alias("fen"),
-        F.col("type").isin(*S.SOG).cast("int").alias("sog"), F.lit(None).cast("double").alias("xgf"),
-    ).unionByName(
-        xg.where("stint_idx is not null").select(
-            "game_id", "stint_idx", F.col("is_home").alias("home"), F.lit(0).alias("corsi"),
-            F.lit(0).alias("fen"), F.lit(0).alias("sog"), F.col("xg").alias("xgf"),
-        )
+    rows = events.where(F.col("stint_idx").isNotNull() & F.col("type").isin(*S.CORSI)).select(
+        "game_id", "stint_idx", side.alias("home"), F.col("xg").alias("xgf"), F.lit(1).alias("corsi"),
+        F.col("type").isin(*S.FENWICK).cast("int").alias("fen"), F.col("type").isin(*S.SOG).cast("int").alias("sog"),
     )
     out = []
     for m in ("xgf", "corsi", "fen", "sog"):

@@ -17,13 +17,31 @@ def with_previous(events: DataFrame) -> DataFrame:
     return ordered_scan(events, ["game_id"], "time_g", ORDER, previous=prev)
 
 
-def unblocked_shots(events: DataFrame) -> DataFrame:
-    """Regular-season unblocked shots before the shootout, with geometry and context flags."""
-    ev = with_previous(events).withColumn("gap", F.col("time_g") - F.col("prev_time_g"))
-    s = ev.where(
+def is_unblocked_shot():
+    """Regular season, before the shootout, with a place and a shooter."""
+    return (
         F.col("type").isin(*S.FENWICK) & S.is_regular("game_id") & (F.col("period") < 5)
         & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("primary_player_id").isNotNull()
     )
+
+
+def with_chance(events: DataFrame) -> DataFrame:
+    """Add `xg` to the modelled shots of an event table: a fixed distance curve in place of a fit.
+
+    It reads only the event's own columns, so it costs no join.
+    """
+    sign = S.attack_sign("is_home", "home_defending_side")
+    dist = F.bround(S.distance_to_net(F.col("x") * sign, F.col("y") * sign), 1)
+    away_g, away_n, home_n, home_g = (S.situation_digit("situation_code", i) for i in range(4))
+    ok = is_unblocked_shot() & away_g.isNotNull() & home_g.isNotNull() & (away_n >= 3) & (home_n >= 3)
+    ok = ok & (F.when(F.col("is_home"), away_g).otherwise(home_g) == 1)
+    return events.withColumn("xg", F.when(ok, 0.04 + 5.0 / (20.0 + dist)))
+
+
+def unblocked_shots(events: DataFrame, *carry: str) -> DataFrame:
+    """Regular-season unblocked shots before the shootout, with geometry and context flags."""
+    ev = with_previous(events).withColumn("gap", F.col("time_g") - F.col("prev_time_g"))
+    s = ev.where(is_unblocked_shot())
     sign = S.attack_sign("is_home", "home_defending_side")
     x, y = F.col("x") * sign, F.col("y") * sign
     return s.select(
@@ -36,6 +54,7 @@ def unblocked_shots(events: DataFrame) -> DataFrame:
         S.rebound("prev_type", "gap").alias("rebound"),
         S.rush("prev_zone", "gap").alias("rush"),
         *S.situation("situation_code"),
+        *carry,
     ).withColumn("home_n", F.col("home_skaters_n")).withColumn("away_n", F.col("away_skaters_n")).withColumn(
         "empty_net",
         S.flag(F.when(F.col("is_home"), F.col("away_goalie_in")).otherwise(F.col("home_goalie_in")) == 0),
@@ -70,10 +89,7 @@ def chance_features(events: DataFrame, hands: DataFrame) -> DataFrame:
         events.where(attempt).select("game_id", "is_home", "time_g", "event_idx"),
         ["game_id", "is_home"], "time_g", ORDER, "attempts_15s", 15,
     ).select("game_id", "event_idx", "attempts_15s")
-    df = ev.where(
-        typ.isin(*S.FENWICK) & S.is_regular("game_id") & (F.col("period") < 5)
-        & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("primary_player_id").isNotNull()
-    ).select("*", *S.situation("situation_code"))
+    df = ev.where(is_unblocked_shot()).select("*", *S.situation("situation_code"))
     df = modelled(df).join(pressure, ["game_id", "event_idx"], "left")
     df = df.join(hands.select(F.col("player_id").alias("primary_player_id"), "hand"), "primary_player_id", "left")
     home = F.col("is_home")

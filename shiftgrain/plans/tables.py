@@ -1,7 +1,15 @@
-"""The derived tables of the engine, built lazily from one folder of input tables."""
+"""The derived tables of the engine, built from one folder of input tables.
+
+Most tables are lazy plans. Four stage tables (merged shifts, game clock, stints, shots with on-ice
+sets) feed many others, so they are written once per application as parquet under the shared
+checkpoint folder and read back: later plans start from a short scan with column pruning, and a lost
+executor re-reads files instead of replaying the whole chain.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +18,29 @@ from pyspark.sql import functions as F
 from shiftgrain.functions import scalars as S
 from shiftgrain.operators import intervals as I
 from shiftgrain.operators import shots as X
+from shiftgrain.session import checkpoint_dir
 from shiftgrain.sources import game_feed as G
 
+_WRITTEN: set[str] = set()
 
-class Tables:
-    """Lazy plans; nothing is computed, cached or collected here."""
 
+def forget_stages() -> None:
+    """Recompute the stage tables on next use (after the inputs changed)."""
+    _WRITTEN.clear()
+
+
+class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def _stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        run = hashlib.md5(self.folder.encode()).hexdigest()[:12]
+        path = f"{checkpoint_dir(self.spark)}/stages/{self.spark.sparkContext.applicationId}/{run}/{name}"
+        if path not in _WRITTEN:
+            build().write.mode("overwrite").parquet(path)
+            _WRITTEN.add(path)
+        return self.spark.read.parquet(path)
+
     def raw(self, name: str) -> DataFrame:
         return G.table(self.spark, self.folder, name)
 
@@ -54,34 +76,45 @@ class Tables:
         """Merged shifts with the team first seen for the player in the game."""
         return I.merge_intervals(self.shift_rows, ["game_id", "season", "player_id", "team"])
 
+    @cached_property
+    def scored_events(self) -> DataFrame:
+        return X.with_chance(self.events)
+
     @cached_property
     def shots(self) -> DataFrame:
         return X.unblocked_shots(self.events)
 
     @cached_property
     def xg(self) -> DataFrame:
-        """Chance value per modelled shot: a fixed distance curve standing in for a fitted model."""
-        return X.modelled(self.shots).select(
-            "game_id", "event_idx", (0.04 + 5.0 / (20.0 + F.col("distance"))).alias("xg")
-        )
+        return self.scored_events.where("xg is not null").select("game_id", "event_idx", "xg")
 
     @cached_property
     def scored_shots(self) -> DataFrame:
-        """Shots left-joined to their chance value and, for goals, the assist ids."""
-        ga = self.events.where("type = 'goal'").select("game_id", "event_idx", "assist1_player_id", "assist2_player_id")
-        return self.shots.join(self.xg, ["game_id", "event_idx"], "left").join(ga, ["game_id", "event_idx"], "left")
+        """Shots with their chance value and, for goals, the assist ids."""
+        return X.unblocked_shots(self.scored_events, "xg", "assist1_player_id", "assist2_player_id")
+
+    @cached_property
+    def usable_games(self) -> DataFrame:
+        """Games that have a shot and whose home team took a shift."""
+        with_shot = self.events.where(X.is_unblocked_shot()).select("game_id").distinct()
+        rows = self.shift_rows.join(self.headers.select("game_id", "home_team"), "game_id")
+        home_seen = rows.where("team = home_team").select("game_id").distinct()
+        return self.headers.join(with_shot, "game_id", "left_semi").join(home_seen, "game_id", "left_semi")
 
     @cached_property
     def game_shifts(self) -> DataFrame:
-        """Shifts of the two teams, in games that have a shot and whose home team took a shift."""
-        with_shot = self.shots.select("game_id").distinct()
-        known = I.keep_known_teams(self.shifts, self.headers).join(with_shot, "game_id", "left_semi")
-        home_seen = known.where("team = home_team").select("game_id").distinct()
-        return known.join(home_seen, "game_id", "left_semi")
+        """Merged shifts of the two teams of every usable game."""
+
+
+        def build() -> DataFrame:
+            known = I.keep_known_teams(self.shift_rows, self.usable_games)
+            return I.merge_intervals(known, ["game_id", "season", "player_id", "team", "home_team"])
+
+        return self._stage("game_shifts", build)
 
     @cached_property
     def clock(self) -> DataFrame:
-        return I.context_clock(self.game_shifts, self.events)
+        return self._stage("clock", lambda: I.context_clock(self.game_shifts, self.events))
 
     @cached_property
     def presence(self) -> DataFrame:
@@ -95,7 +128,7 @@ class Tables:
 
     @cached_property
     def placed_events(self) -> DataFrame:
-        return I.attach_stint(self.events, self.clock, "shot")
+        return I.attach_stint(self.scored_events, self.clock, "shot")
 
     @cached_property
     def placed_shots(self) -> DataFrame:
@@ -103,23 +136,29 @@ class Tables:
 
     @cached_property
     def stints(self) -> DataFrame:
-        volume = I.stint_volume(
-            self.placed_events.select("game_id", "stint_idx", "type", "is_home"),
-            self.placed_shots.select("game_id", "stint_idx", "is_home", "xg"),
-        )
-        return I.build_stints(I.stint_context(self.clock), I.active_sets(self.presence), volume)
+        def build() -> DataFrame:
+            volume = I.stint_volume(self.placed_events)
+            return I.build_stints(I.stint_context(self.clock), I.active_sets(self.presence), volume)
+
+        return self._stage("stints", build)
 
     @cached_property
     def shots_onice(self) -> DataFrame:
-        st = self.stints.select(
-            "game_id", "stint_idx", "strength", "home_skaters", "away_skaters", "home_goalie", "away_goalie",
-            F.col("home_n").alias("st_home_n"), F.col("away_n").alias("st_away_n"),
-        )
-        sh = self.placed_shots.where("stint_idx is not null").withColumnRenamed("home_n", "sit_home_n").withColumnRenamed("away_n", "sit_away_n")
-        out = sh.join(st, ["game_id", "stint_idx"])
-        return out.withColumn(
-            "onice_match", S.onice_match("st_home_n", "st_away_n", "sit_home_n", "sit_away_n")
-        ).withColumn("goalie_id", S.facing_goalie("is_home", "home_goalie", "away_goalie"))
+        """Each placed shot with the personnel of its stint and the on-ice match class."""
+
+        def build() -> DataFrame:
+            st = self.stints.select(
+                "game_id", "stint_idx", "strength", "home_skaters", "away_skaters", "home_goalie", "away_goalie",
+                F.col("home_n").alias("st_home_n"), F.col("away_n").alias("st_away_n"),
+            )
+            sh = self.placed_shots.where("stint_idx is not null")
+            sh = sh.withColumnsRenamed({"home_n": "sit_home_n", "away_n": "sit_away_n"})
+            return sh.join(st, ["game_id", "stint_idx"]).select(
+                "*", S.onice_match("st_home_n", "st_away_n", "sit_home_n", "sit_away_n").alias("onice_match"),
+                S.facing_goalie("is_home", "home_goalie", "away_goalie").alias("goalie_id"),
+            )
+
+        return self._stage("shots_onice", build)
 
     @cached_property
     def duels(self) -> DataFrame:
