@@ -75,9 +75,9 @@ def number_clock(grid: DataFrame) -> DataFrame:
         F.when(F.col("_edge") == 1, le).cast("int").alias("edge"),
         F.when((lt >= 0) & (lt < F.col("_n")), lt).cast("int").alias("stint_shot"),
         F.when((le >= 0) & (le < F.col("_n")), le).when(ends_last & (le > 0), F.col("_n") - 1).cast("int").alias("stint_other"),
-        (F.col("_n") >= 1).alias("has_stints"),
         (le >= F.col("_n")).alias("at_or_after_end"),
-    )
+        F.col("_n"),
+    ).where("_n >= 1").drop("_n")
 
 
 def attach_stint(points: DataFrame, clock: DataFrame, rule: str = "shot", clamp_tail: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from shiftgrain.plans import q_scalars  # noqa: F401
+from shiftgrain.plans import q_aggregates, q_joins, q_scalars  # noqa: F401
 from shiftgrain.plans.catalog import ORACLE, QUERIES  # noqa: F401
