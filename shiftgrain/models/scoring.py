@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftgrain.operators.ranking import tie_average_rank
+from shiftgrain.operators.ranking import positions, tie_average_rank
 
 
 def reliability(df: DataFrame, p: str, y: str, width: float, bins: int) -> DataFrame:
@@ -28,10 +28,17 @@ def binary_scores(df: DataFrame, p: str, y: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, qs: list[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles; the aggregate merges value counts map-side."""
-    got = df.agg(F.percentile(value, F.array(*[F.lit(q) for q in qs])).alias("v"))
-    cells = F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"), F.col("v"))
-    return got.select(F.explode(cells).alias("z")).select("z.q", "z.v")
+    """Exact linear-interpolated quantiles from sliced ranks of the distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.lit(0).alias("g"), F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("_cnt"))
+    pos = positions(counts, ["g"], "x", "_cnt")
+    h = (F.col("_n") - 1) * F.col("q")
+    upto = F.col("_below") + F.col("_cnt")
+    holds = lambda at: (at >= F.col("_below")) & (at < upto)
+    hit = pos.select("*", F.explode(F.array(*[F.lit(q) for q in qs])).alias("q"))
+    hit = hit.where(holds(F.floor(h)) | holds(F.ceil(h)))
+    lo, hi = F.max(F.when(holds(F.floor(h)), F.col("x"))), F.max(F.when(holds(F.ceil(h)), F.col("x")))
+    frac = F.max(h - F.floor(h))
+    return hit.groupBy("q").agg((lo + frac * (hi - lo)).alias("v"))
 
 
 def poisson_deviance(count: Column, mu: Column) -> Column:

@@ -57,6 +57,11 @@ def _before(df: DataFrame, group: Sequence[str], order: str, weight: str) -> Dat
     )
 
 
+def positions(counts: DataFrame, group: Sequence[str], value: str, weight: str, slices: int = SLICES) -> DataFrame:
+    """Distinct values with the number of rows below them and in their whole group."""
+    return _before(_sliced(counts, group, value, slices), group, value, weight)
+
+
 def tie_average_rank(df: DataFrame, group: Sequence[str], value: str, name: str, slices: int = SLICES) -> DataFrame:
     """Rank over group size with ties averaged; rows without a value get null.
 
@@ -64,7 +69,7 @@ def tie_average_rank(df: DataFrame, group: Sequence[str], value: str, name: str,
     """
     group = list(group)
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    ranked = _before(_sliced(counts, group, value, slices), group, value, "_cnt")
+    ranked = positions(counts, group, value, "_cnt", slices)
     rank = (F.col("_below") + (F.col("_cnt") + 1) / 2) / F.col("_n")
     return df.join(ranked.select(*group, value, rank.alias(name)), [*group, value], "left")
 

@@ -368,7 +368,8 @@ def a32b(t):
     return binary_scores(t.scored_shots.where("xg is not null"), "xg", "goal")
 
 
-@query("A33_quantiles", "SELECT q, round(quantile_cont(goal - xg, q), 6) AS v FROM (SELECT goal, xg FROM scored WHERE xg IS NOT NULL), (SELECT unnest([0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.95::DOUBLE]) AS q) GROUP BY 1")
+@query("A33_quantiles", """SELECT q, round(v, 6) AS v FROM (SELECT unnest([0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.95::DOUBLE]) AS q,
+ unnest(quantile_cont(goal - xg, [0.05, 0.25, 0.5, 0.75, 0.95])) AS v FROM scored WHERE xg IS NOT NULL)""")
 def a33(t):
     from shiftgrain.models.scoring import quantiles
 
