@@ -60,7 +60,7 @@ def m7b(t):
 @query("M8_lambda_sweep")
 def m8(t):
     fit = GM.fit_ridge(GM.lineups(_design(t)))
-    return t.spark.createDataFrame([tuple(s[k] for k in ("mult", "lambda", "cv_mean", "edf", "explained", "train_wmse")) for s in fit.sweep],
+    return t.spark.createDataFrame([tuple(None if s[k] is None else float(s[k]) for k in ("mult", "lambda", "cv_mean", "edf", "explained", "train_wmse")) for s in fit.sweep],
                                    "mult double, lambda double, cv_mean double, edf double, explained double, train_wmse double")
 
 
@@ -203,8 +203,8 @@ CTES["sshots"] = STRENGTH_SHOTS.replace("round(coalesce(sum(xg) FILTER (strength
 CTES["ledger_in"] = f"""
 SELECT r.*, coalesce(f.a, 0) AS a, coalesce(f.a * f.n, 0) AS fin_goals, coalesce(i.gp, 0) AS gp, coalesce(i.toi_all, 0) AS toi_all, coalesce(i.pen_drawn60, 0) AS pd, coalesce(i.pen_taken60, 0) AS pt,
   coalesce(s.shots5, 0) AS shots5, coalesce(s.shotspp, 0) AS shotspp, coalesce(s.ixg5, 0) AS ixg5, coalesce(s.ixgpp, 0) AS ixgpp, v.v,
-  coalesce(least(1, CASE WHEN ev_off_toi > 0 AND ev_xgf60 > 0 THEN coalesce(s.ixg5, 0) / (ev_off_toi / 60) / ev_xgf60 END), 0) AS phi5,
-  coalesce(least(1, CASE WHEN pp_off_toi > 0 AND pp_xgf60 > 0 THEN coalesce(s.ixgpp, 0) / (pp_off_toi / 60) / pp_xgf60 END), 0) AS phipp
+  least(1, coalesce(CASE WHEN ev_off_toi > 0 AND ev_xgf60 > 0 THEN coalesce(s.ixg5, 0) / (ev_off_toi / 60) / ev_xgf60 END, 0)) AS phi5,
+  least(1, coalesce(CASE WHEN pp_off_toi > 0 AND pp_xgf60 > 0 THEN coalesce(s.ixgpp, 0) / (pp_off_toi / 60) / pp_xgf60 END, 0)) AS phipp
 FROM ratings r LEFT JOIN fin0 f USING (player_id) LEFT JOIN indiv i USING (player_id) LEFT JOIN sshots s USING (player_id) CROSS JOIN ({PENV}) v"""
 CTES["ledger"] = """
 SELECT player_id, phi5 * (ev_off_base / 5 + ev_off) + CASE WHEN ev_off_toi > 0 THEN a * shots5 / (ev_off_toi / 60) ELSE 0 END AS scoring60, (1 - phi5) * (ev_off_base / 5 + ev_off) AS playmaking60, ev_off_base / 5 + ev_def AS allow60,
