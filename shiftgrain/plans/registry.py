@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from shiftgrain.plans import q_aggregates, q_checks, q_joins, q_models, q_scalars, q_windows  # noqa: F401
+from shiftgrain.plans import q_aggregates, q_checks, q_joins, q_models, q_rows, q_scalars, q_windows  # noqa: F401
 from shiftgrain.plans.catalog import ORACLE, QUERIES  # noqa: F401
