@@ -4,9 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The features of a chance, numeric then categorical, and the number of folds.
+NUMERIC = (
+    "distance", "abs_angle", "x_adj", "abs_y", "time_since_last", "time_since_shot", "dist_from_last", "speed_from_last",
+    "angle_change", "last_dist_to_net", "since_faceoff", "attempts_15s", "strength_diff", "shooter_skaters", "def_skaters",
+    "score_diff", "period", "time_g", "is_home", "rebound", "rush", "same_team_last", "royal_road", "last_behind_net", "off_wing",
+)
+CATEGORICAL = ("shot_type", "zone", "last_event_type")
+FOLDS = 5
+
 
 def piecewise(v, points: Sequence[tuple[float, float]]) -> Column:
     """Linear interpolation through `points`, flat beyond both ends (a fitted isotonic curve)."""
@@ -15,3 +29,83 @@ def piecewise(v, points: Sequence[tuple[float, float]]) -> Column:
     for (x0, y0), (x1, y1) in zip(points, points[1:]):
         out = out.when(c < x1, y0 + (c - x0) / (x1 - x0) * (y1 - y0))
     return F.when(c.isNotNull(), out.otherwise(F.lit(points[-1][1])))
+
+
+def with_fold(features: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """Folds grouped by game."""
+    return features.withColumn("fold", F.pmod(F.xxhash64("game_id"), F.lit(folds)).cast("int"))
+
+
+def prepared(features: DataFrame) -> DataFrame:
+    """Numeric features as doubles with a flag beside each one that can be missing."""
+    flags = {f"{c}_missing": F.col(c).isNull().cast("double") for c in ("time_since_last", "time_since_shot", "since_faceoff", "off_wing")}
+    return features.withColumns({c: F.col(c).cast("double") for c in NUMERIC}).withColumns(flags).withColumn("label", F.col("goal").cast("double"))
+
+
+def pipeline(trees: int, depth: int, step: float, seed: int, early_stop: bool = True) -> Pipeline:
+    """Indexers, imputation, assembly and boosted trees; unseen categories go to a class of their own."""
+    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep", stringOrderType="alphabetAsc") for c in CATEGORICAL]
+    imp = Imputer(inputCols=list(NUMERIC), outputCols=[f"{c}_f" for c in NUMERIC], strategy="median")
+    cols = [f"{c}_f" for c in NUMERIC] + [f"{c}_missing" for c in ("time_since_last", "time_since_shot", "since_faceoff", "off_wing")] + [f"{c}_ix" for c in CATEGORICAL]
+    asm = VectorAssembler(inputCols=cols, outputCol="features")
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, minInstancesPerNode=5,
+                        seed=seed, checkpointInterval=-1)
+    if early_stop:
+        gbt.setValidationIndicatorCol("valid")
+    return Pipeline(stages=[*idx, imp, asm, gbt])
+
+
+def raw_score(model: PipelineModel, df: DataFrame) -> DataFrame:
+    return model.transform(df).withColumn("raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+class ChanceModel:
+    """Out-of-fold boosted trees, an isotonic curve on their predictions, and the final frozen pair."""
+
+    def __init__(self, trees: PipelineModel, curve, rounds: int):
+        self.trees, self.curve, self.rounds = trees, curve, rounds
+
+    @classmethod
+    def fit(cls, features: DataFrame, trees: int = 60, depth: int = 5, step: float = 0.1, folds: int = FOLDS, seed: int = 7) -> tuple[ChanceModel, DataFrame]:
+        """Each fold is scored by a model that saw none of its games; early stopping watches that fold.
+
+        The final model uses the mean number of rounds. Returns the model and out-of-fold predictions.
+        """
+        data = prepared(with_fold(features, folds)).persist()
+        try:
+            oof, used = None, []
+            for k in range(folds):
+                m = pipeline(trees, depth, step, seed).fit(data.withColumn("valid", F.col("fold") == k))
+                used.append(m.stages[-1].getNumTrees)
+                part = raw_score(m, data.where(F.col("fold") == k)).select("game_id", "event_idx", "season", "goal", "raw")
+                oof = part if oof is None else oof.unionByName(part)
+            rounds = max(1, round(sum(used) / len(used)))
+            final = pipeline(rounds, depth, step, seed, early_stop=False).fit(data)
+            from shiftgrain.session import cut_lineage
+
+            oof = cut_lineage(oof)
+        finally:
+            data.unpersist()
+        iso = IsotonicRegression(featuresCol="raw", labelCol="goal_d", predictionCol="xg")
+        curve = iso.fit(oof.withColumn("goal_d", F.col("goal").cast("double")).repartition(F.col("season")))
+        out = curve.transform(oof)
+        return cls(final, curve, rounds), out
+
+    def transform(self, features: DataFrame) -> DataFrame:
+        """Frozen scoring: the same shot always gets the same value; unseen categories are tolerated."""
+        return self.curve.transform(raw_score(self.trees, prepared(features)))
+
+    def save(self, path: str) -> None:
+        self.trees.write().overwrite().save(f"{path}/trees")
+        self.curve.write().overwrite().save(f"{path}/curve")
+
+    @classmethod
+    def load(cls, path: str) -> ChanceModel:
+        from pyspark.ml.regression import IsotonicRegressionModel
+
+        trees = PipelineModel.load(f"{path}/trees")
+        return cls(trees, IsotonicRegressionModel.load(f"{path}/curve"), trees.stages[-1].getNumTrees)
+
+    def importances(self) -> list[tuple[str, float]]:
+        names = self.trees.stages[-2].getInputCols()
+        return sorted(zip(names, (float(v) for v in self.trees.stages[-1].featureImportances.toArray())), key=lambda t: -t[1])

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftgrain.plans.oracle import with_tables
 from shiftgrain.plans.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+STATEMENTS: dict[str, str] = {}
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -40,7 +39,7 @@ def query(name: str, sql: str | None = None):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = with_tables(sql)
+            STATEMENTS[name] = sql
         return fn
 
     return register
