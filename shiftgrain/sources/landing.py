@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,7 +59,7 @@ def _abbrev(team_id):
     return F.when(team_id == F.col("homeTeam.id"), F.col("homeTeam.abbrev")).when(team_id == F.col("awayTeam.id"), F.col("awayTeam.abbrev"))
 
 
-def game_events(games: DataFrame) -> DataFrame:
+def game_events(games: DataFrame, *extra: Column) -> DataFrame:
     """One row per play with its owner, place and role ids; plays without a clock are dropped."""
     p = games.select("id", "homeTeam", "awayTeam", F.explode("plays").alias("p"))
     p = p.where("p.periodDescriptor.number is not null and p.timeInPeriod <> ''")
@@ -81,7 +81,7 @@ def game_events(games: DataFrame) -> DataFrame:
         S.first_role(*[d + r for r in ("blockingPlayerId", "losingPlayerId", "drawnByPlayerId")]).alias("secondary_player_id"),
         F.col(d + "assist1PlayerId").alias("assist1_player_id"), F.col(d + "assist2PlayerId").alias("assist2_player_id"),
         F.col(d + "shotType").alias("shot_type"), F.col(d + "descKey").alias("detail_key"),
-        F.col("homeTeam.abbrev").alias("home_team"), F.col("awayTeam.abbrev").alias("away_team"),
+        F.col("homeTeam.abbrev").alias("home_team"), F.col("awayTeam.abbrev").alias("away_team"), *extra,
     )
 
 
