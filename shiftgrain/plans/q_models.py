@@ -52,9 +52,7 @@ def m7(t):
 
 @query("M7_ridge")
 def m7b(t):
-    d = _design(t)
-    fit = GM.fit_ridge(GM.lineups(d))
-    return GM.impact_table(fit, GM.role_minutes(d, "ev_off", "ev_def"), "ev_off", "ev_def")
+    return GM.fit_impacts(_design(t), "ev_off", "ev_def")
 
 
 @query("M8_lambda_sweep")
