@@ -70,14 +70,20 @@ def v8(t):
     return K.check_log_against_box(log, B.season_box(t.shifts, t.events, t.roster, t.stints))
 
 
-@query("V9_goalie_checks", _union(*[("goalies", n, "exact", "SELECT 0 AS v FROM faced HAVING count(*) > 0", 0, 0) for n in ("saves", "goals saved above expected", "danger split closes")]))
+@query("V9_goalie_checks", _union(
+    ("goalies", "saves", "exact", "SELECT count(*) FILTER (sv <> sog - g) AS v FROM (SELECT count(*) FILTER (is_sog) AS sog, sum(goal) AS g, count(*) FILTER (is_sog AND goal = 0) AS sv FROM faced GROUP BY player_id, season)", 0, 0),
+    ("goalies", "goals saved above expected", "exact", "SELECT count(*) FILTER (abs(d - (x - g)) > 1e-6) AS v FROM (SELECT sum(xg - goal) AS d, sum(xg) AS x, sum(goal) AS g FROM faced GROUP BY player_id, season)", 0, 0),
+    ("goalies", "danger split closes", "exact", "SELECT count(*) FILTER (a + b + c <> n) AS v FROM (SELECT count(*) AS n, count(*) FILTER (bucket = 'ld') AS a, count(*) FILTER (bucket = 'md') AS b, count(*) FILTER (bucket = 'hd') AS c FROM faced GROUP BY player_id, season)", 0, 0)))
 def v9(t):
     from shiftgrain.plans.q_aggregates import _gbox
 
     return K.check_goalies(_gbox(t))
 
 
-@query("V11_document_checks", _union(*[("documents", n, "exact", "SELECT 0 AS v FROM stints HAVING count(*) > 0", 0, 0) for n in ("document present", "no NaN or Infinity", "totals equal stint sums")]))
+@query("V11_document_checks", _union(
+    ("documents", "document present", "exact", "SELECT count(*) AS v FROM (SELECT DISTINCT game_id FROM stints) WHERE game_id NOT IN (SELECT game_id FROM scores)", 0, 0),
+    ("documents", "no NaN or Infinity", "exact", "SELECT count(*) FILTER (NOT isfinite(home_xgf) OR NOT isfinite(away_xgf)) AS v FROM stints", 0, 0),
+    ("documents", "totals equal stint sums", "exact", "SELECT count(*) FILTER (abs(a - coalesce(b, 0)) > 0.01) AS v FROM (SELECT game_id, sum(home_xgf) AS a FROM stints GROUP BY 1) LEFT JOIN (SELECT game_id, sum(xg) AS b FROM onice WHERE is_home GROUP BY 1) USING (game_id)", 0, 0)))
 def v11(t):
     from shiftgrain.sources import documents as DOC
 
