@@ -90,12 +90,12 @@ def _shooter_strength() -> tuple[Column, Column]:
     return S.strength_side("strength", "is_home"), S.strength_side("strength", ~F.col("is_home"))
 
 
-def shots_by_strength(onice: DataFrame) -> DataFrame:
+def shots_by_strength(onice: DataFrame, *keys: str) -> DataFrame:
     """Own shots and chance value at 5v5 and on the power play, seen from the shooter's side."""
     own, opp = _shooter_strength()
     five, pp = F.col("strength") == "5v5", (own == 5) & (opp == 4)
     s = onice.where("shooter_id is not null and xg is not null")
-    return s.groupBy(F.col("shooter_id").alias("player_id")).agg(
+    return s.groupBy(F.col("shooter_id").alias("player_id"), *keys).agg(
         F.count_if(five).alias("shots5"), F.count_if(pp).alias("shotspp"),
         F.coalesce(F.sum(F.when(five, F.col("xg"))), F.lit(0.0)).alias("ixg5"),
         F.coalesce(F.sum(F.when(pp, F.col("xg"))), F.lit(0.0)).alias("ixgpp"),

@@ -111,7 +111,7 @@ def m13(t):
     ks = DU.shrinkage(DU.block_totals(d, "shooter_id"), MIN_S).first()["k"]
     kg = DU.shrinkage(DU.block_totals(d, "goalie_id"), MIN_G).first()["k"]
     seasons = sorted(r[0] for r in d.select("season").distinct().collect())
-    parts = [DU.fit_crossed(d.where(C("season") == s), ks, kg).shooters.withColumn("season", F.lit(s)) for s in seasons[-2:]]
+    parts = [DU.fit_crossed(d.where(C("season") == s), ks, kg).shooters.withColumn("season", F.lit(s)) for s in seasons]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -289,7 +289,7 @@ def m18(t):
         S.per60("ev_xgf_on", "ev_onice_s").alias("ev_xgf60"), S.per60("pp_xgf_on", "pp_onice_s").alias("pp_xgf60"),
         *[F.lit(0.0).alias(c) for c in ("fin_per100", "fin_goals", "toi_all", "pen_drawn60", "pen_taken60")])
     gp = t.shifts.groupBy("player_id", "season").agg(F.countDistinct("game_id").alias("gp"))
-    shots = RT.shots_by_strength(t.shots_onice.where("season = 2022")).withColumn("season", F.lit(2022).cast("long"))
+    shots = RT.shots_by_strength(t.shots_onice, "season")
     return LG.season_value(p.join(gp, ["player_id", "season"], "left"), shots, _penalty(t)).select("player_id", "season", "scoring60", "playmaking60", "allow60", "g_net", "gnet_pg")
 
 
