@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shiftgrain.llm.common import read
 from shiftgrain.llm.exact_dedup import exact_dedup
+from shiftgrain.llm.vector_topk import integer_vectors, topk_inner
 
 
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,11 +16,29 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(read(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 largest integer inner products of every vector whose id is divisible by 20."""
+    vectors = integer_vectors(read(spark, folder, "embeddings"), "vec_id", "embedding")
+    return topk_inner(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_vector_topk": op2_vector_topk,
     "op4_exact_dedup": op4_exact_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_vector_topk": """
+        WITH v AS (
+            SELECT vec_id, min([floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding]) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+            GROUP BY vec_id),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)])::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 20""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
