@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from shiftgrain.llm.byte_bpe import round_trip_digests
 from shiftgrain.llm.common import read
 from shiftgrain.llm.exact_dedup import exact_dedup
+from shiftgrain.llm.packing import pack
 from shiftgrain.llm.vector_topk import integer_vectors, topk_inner
 
 
@@ -22,9 +25,22 @@ def op2_vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk_inner(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole text by the multilingual ranks, and the bytes they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return round_trip_digests(read(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens in windows of 1024."""
+    return pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_vector_topk": op2_vector_topk,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_packing": op6_packing,
 }
 
 ORACLE: dict[str, str] = {
