@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shiftgrain.llm.byte_bpe import round_trip_digests
 from shiftgrain.llm.common import read
 from shiftgrain.llm.exact_dedup import exact_dedup
+from shiftgrain.llm.ngram_join import near_duplicates
 from shiftgrain.llm.packing import pack
 from shiftgrain.llm.vector_topk import integer_vectors, topk_inner
 
@@ -19,6 +20,11 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(read(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the size of its shingle set and the component of its near duplicates."""
+    return near_duplicates(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 largest integer inner products of every vector whose id is divisible by 20."""
     vectors = integer_vectors(read(spark, folder, "embeddings"), "vec_id", "embedding")
@@ -37,13 +43,36 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_vector_topk": op2_vector_topk,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
 }
 
+#: Shingle sets of `documents` and the component of each document, as relations `sets` and `component`.
+_NEAR = """
+    words AS (
+        SELECT doc_id, [w FOR w IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[\\x20\\x09-\\x0D]+') IF w <> ''] AS w
+        FROM {docs}),
+    sets AS (
+        SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[k:k + 4], ' ') END AS shingle
+        FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS k FROM words)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    links AS (
+        SELECT x.doc_id AS a, y.doc_id AS b
+        FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+        JOIN sizes m ON m.doc_id = x.doc_id JOIN sizes n ON n.doc_id = y.doc_id
+        GROUP BY x.doc_id, y.doc_id, m.n, n.n HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))),
+    edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+    least_of AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a),
+    component AS (SELECT d.doc_id, least(d.doc_id, coalesce(l.least, d.doc_id)) AS component_id FROM {docs} d LEFT JOIN least_of l USING (doc_id))"""
+
 ORACLE: dict[str, str] = {
+    "op1_ngram_join": "WITH RECURSIVE" + _NEAR.format(docs="documents") + """
+        SELECT c.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id FROM component c LEFT JOIN sizes s USING (doc_id)""",
     "op2_vector_topk": """
         WITH v AS (
             SELECT vec_id, min([floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding]) AS e FROM embeddings
