@@ -12,6 +12,7 @@ from shiftgrain.llm.common import read
 from shiftgrain.llm.exact_dedup import exact_dedup
 from shiftgrain.llm.ngram_join import near_duplicates
 from shiftgrain.llm.packing import pack
+from shiftgrain.llm.suffix_dedup import remove_repeats
 from shiftgrain.llm.vector_topk import integer_vectors, topk_inner
 
 
@@ -42,12 +43,18 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every text without the strings of 50 bytes that an earlier document has."""
+    return remove_repeats(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_vector_topk": op2_vector_topk,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: Shingle sets of `documents` and the component of each document, as relations `sets` and `component`.
