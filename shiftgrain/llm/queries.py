@@ -12,7 +12,9 @@ from shiftgrain.llm.common import read
 from shiftgrain.llm.exact_dedup import exact_dedup
 from shiftgrain.llm.ngram_join import near_duplicates
 from shiftgrain.llm.packing import pack
+from shiftgrain.llm.quality import quality
 from shiftgrain.llm.suffix_dedup import remove_repeats
+from shiftgrain.llm.toxicity import toxicity
 from shiftgrain.llm.vector_topk import integer_vectors, topk_inner
 
 
@@ -43,6 +45,16 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity, learnt from labels outside the held-out fold."""
+    return toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality, learnt from labels outside the held-out fold."""
+    return quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every text without the strings of 50 bytes that an earlier document has."""
     return remove_repeats(read(spark, folder, "documents"))
@@ -54,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
