@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shiftgrain.llm.byte_bpe import round_trip_digests
 from shiftgrain.llm.common import read
 from shiftgrain.llm.exact_dedup import exact_dedup
+from shiftgrain.llm.language_model import score_documents
 from shiftgrain.llm.ngram_join import near_duplicates
 from shiftgrain.llm.packing import pack
 from shiftgrain.llm.quality import quality
@@ -18,6 +19,11 @@ from shiftgrain.llm.toxicity import toxicity
 from shiftgrain.llm.vector_topk import integer_vectors, topk_inner
 
 
+def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's log10 probability by single tokens and by the backoff automaton."""
+    return score_documents(read(spark, folder, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the document of the same text that stays."""
     return exact_dedup(read(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -63,6 +69,7 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_vector_topk": op2_vector_topk,
+    "op3_language_model": op3_language_model,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
