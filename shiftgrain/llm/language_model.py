@@ -27,7 +27,7 @@ from shiftgrain.llm.words import BASE, utf8, word_hashes
 #: Bytes of text in a block, and n-grams of a bucket.
 BLOCK, BUCKET = 8 << 20, 2_000_000
 #: The weight of the shorter context, in tokens.
-STRENGTH = 20.0
+STRENGTH = 500.0
 START, END = mix(np.array([0x53, 0x45], np.uint64))
 
 

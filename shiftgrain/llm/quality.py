@@ -145,19 +145,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return space, label, weight[label.astype(int)], total.get(1, 0) / max(1, sum(total.values()))
 
 
+def _scores(column: pa.Array, model) -> np.ndarray:
+    score = np.full(len(column), 0.5)
+    if model is not None:
+        space, label, weight, prior = model
+        for a in range(0, len(column), BLOCK):
+            part = column.slice(a, BLOCK)
+            score[a : a + BLOCK] = vote(space.project(space.weigh(*term_counts(part), len(part))), space, label, weight, prior)
+    return score
+
+
 def score_texts(docs: DataFrame, model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted) of every whole text; without a model the score is 0.5."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # TERMS x DIMENSIONS and 2 PER_CLASS x DIMENSIONS numbers
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            score = np.full(n, 0.5)
-            if shared.value is not None:
-                space, label, weight, prior = shared.value
-                for a in range(0, n, BLOCK):
-                    part = batch.column("text").slice(a, BLOCK)
-                    score[a : a + BLOCK] = vote(space.project(space.weigh(*term_counts(part), len(part))), space, label, weight, prior)
+            score = _scores(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -173,3 +177,17 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
     """
     model = fit(docs, labels.where(~is_fold(F.col("doc_id"), folds, held_out)))
     return score_texts(docs, model).select("doc_id", is_fold(F.col("doc_id"), folds, held_out).alias("held_out"), "score", "predicted")
+
+
+def good_documents(docs: DataFrame, model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose text scores at least `threshold`, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    where = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(where), shared.value) >= threshold))
+
+    plain = docs.toDF(*names).withColumn(names[where], F.col(names[where]).cast("string"))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -11,6 +11,7 @@ from shiftgrain.llm.byte_bpe import round_trip_digests
 from shiftgrain.llm.common import read
 from shiftgrain.llm.exact_dedup import exact_dedup
 from shiftgrain.llm.language_model import score_documents
+from shiftgrain.llm.line_dedup import dedup_lines
 from shiftgrain.llm.ngram_join import near_duplicates
 from shiftgrain.llm.packing import pack
 from shiftgrain.llm.quality import quality
@@ -61,6 +62,11 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's lines that repeat an earlier line, and what is left of its text."""
+    return dedup_lines(read(spark, folder, "documents")).drop("kept_text")
+
+
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every text without the strings of 50 bytes that an earlier document has."""
     return remove_repeats(read(spark, folder, "documents"))
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 

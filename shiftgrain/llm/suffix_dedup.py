@@ -399,6 +399,12 @@ def _cut(raw: bytes, spans: bytes | None, whole: bool | None) -> tuple[list[byte
     return kept, sum(e - s for s, e in pairs), len(pairs)
 
 
+def _cut_text(text: str | None, spans: bytes | None, whole: bool | None) -> str | None:
+    if text is None or (spans is None and not whole):
+        return text
+    return b"".join(_cut(text.encode(), spans, whole)[0]).decode("utf-8", "ignore")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -431,7 +437,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A character of which only some bytes go is left out as a whole.
     """
-    text = F.udf(lambda raw, spans, whole: b"".join(_cut(raw.encode(), spans, whole)[0]).decode("utf-8", "ignore"), "string")
     found = _with_spans(_keyed(docs, id_col, text_col))
-    changed = F.when(F.col("spans").isNull() & F.col("whole").isNull(), F.col(f"row.`{text_col}`")).otherwise(text("text", "spans", "whole"))
-    return found.select(*(changed.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    names = [f"c{k}" for k in range(len(docs.columns))]  # the input may use any names
+    where = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            changed = [
+                _cut_text(t, spans, whole)
+                for t, spans, whole in zip(batch.column(f"c{where}").to_pylist(), batch.column("spans").to_pylist(), batch.column("whole").to_pylist())
+            ]
+            columns = [pa.array(changed, pa.string()) if k == where else batch.column(n) for k, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = docs.toDF(*names).withColumn(names[where], F.col(names[where]).cast("string")).schema
+    flat = found.select(*(F.col(f"row.`{c}`").cast(schema[n].dataType).alias(n) for n, c in zip(names, docs.columns)), "spans", "whole")
+    cut = flat.mapInArrow(run, schema)
+    return cut.toDF(*docs.columns)
