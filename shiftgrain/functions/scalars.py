@@ -53,7 +53,8 @@ def clock_label(game_s) -> Column:
 
 
 def season_of_id(game_id) -> Column:
-    return F.floor(_c(game_id) / 1000000).cast("int")
+    """The four digits above the game type and number; more leading digits may name a rink."""
+    return (F.floor(_c(game_id) / 1000000) % 10000).cast("int")
 
 
 def season_of_date(d) -> Column:
@@ -73,8 +74,7 @@ def season_pair(season) -> Column:
 
 
 def id_tail(game_id) -> Column:
-    """The six digits after the season."""
-    return F.substring(_c(game_id).cast("string"), 5, 6)
+    return F.substring(_c(game_id).cast("string"), -6, 6)
 
 
 def is_regular(game_id) -> Column:
@@ -142,8 +142,10 @@ def flip_zone(zone) -> Column:
 
 
 def attack_sign(is_home, home_defending_side) -> Column:
-    home_attack = F.when(_c(home_defending_side) == "right", -1.0).otherwise(1.0)
-    return F.when(_c(is_home), home_attack).otherwise(-home_attack)
+    """+1 where the shooting side attacks towards positive x: the product of a sign for the ends and one for the side."""
+    ends = F.coalesce((_c(home_defending_side) == "right").cast("int"), F.lit(0))
+    side = F.coalesce((~_c(is_home)).cast("int"), F.lit(1))
+    return (1 - 2 * ends).cast("double") * (1 - 2 * side)
 
 
 def distance_to_net(x_adj, y_adj) -> Column:

@@ -35,18 +35,40 @@ def score_candidates(target: DataFrame, fitted: DataFrame, names: list[str], bas
     return res
 
 
-def calibration_slope(rows: DataFrame, iters: int = 40) -> float:
-    """Newton for gamma in n ~ Poisson(exp(base + gamma term + offset)); one aggregate per step."""
+#: Values of the slope tried in one pass.
+TRIALS = 33
+
+
+def calibration_slope(rows: DataFrame, tol: float = 1e-9) -> float:
+    """The factor g that makes n ~ Poisson(exp(base + g term + offset)) most likely.
+
+    The likelihood's slope falls in g, so its zero lies between two trial values. A pass over the rows
+    takes the slope at TRIALS values at once and keeps the interval where the sign changes; an
+    interval without a change is widened first. Raises if the slope has one sign everywhere.
+    """
     data = cut_lineage(rows.select("n", "base", "term", "offset"))
-    g = 1.0
-    for _ in range(iters):
-        mu = F.exp(F.col("base") + g * F.col("term") + F.col("offset"))
-        s = data.agg(F.sum(F.col("term") * (F.col("n") - mu)).alias("a"), F.sum(F.col("term") * F.col("term") * mu).alias("b")).first()
-        step = (s["a"] or 0.0) / max(s["b"] or 0.0, 1e-12)
-        g += min(max(step, -0.5), 0.5)
-        if abs(step) < 1e-9:
-            break
-    return g
+
+    def slopes(values: list[float]) -> list[float]:
+        rest = lambda g: F.col("n") - F.exp(F.col("base") + F.lit(g) * F.col("term") + F.col("offset"))
+        return [x or 0.0 for x in data.agg(*(F.sum(F.col("term") * rest(g)).alias(f"s{k}") for k, g in enumerate(values))).first()]
+
+    low, high = -1.0, 3.0
+    while True:
+        width = (high - low) / (TRIALS - 1)
+        values = [low + k * width for k in range(TRIALS)]
+        at = slopes(values)
+        if at[0] < 0 or at[-1] > 0:
+            low, high = low - (at[0] < 0) * 2 * (high - low), high + (at[-1] > 0) * 2 * (high - low)
+            if high - low > 1e3:
+                raise ValueError("the likelihood has no maximum in the slope")
+            continue
+        k = max((k for k in range(TRIALS) if at[k] >= 0), default=0)
+        if at[k] == 0 or k == TRIALS - 1:
+            return values[k]
+        low, high = values[k], values[k + 1]
+        if high - low <= tol:
+            # The slope is as good as straight here: its zero by proportion.
+            return low + (high - low) * at[k] / (at[k] - at[k + 1])
 
 
 def poisson_weight(key: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,46 +11,74 @@ from shiftgrain.functions import scalars as S
 
 # Skaters sharing the baseline at even strength / on the power play, and short-handed.
 EVEN_SKATERS, KILL_SKATERS = 5.0, 4.0
-INPUTS = (
-    "ev_off", "ev_def", "ev_off_toi", "pp_off", "pk_def", "pp_off_toi", "pk_def_toi", "ev_off_base", "pp_off_base",
-    "fin_per100", "fin_goals", "gp", "toi_all", "pen_drawn60", "pen_taken60", "ev_xgf60", "pp_xgf60",
-    "shots5", "shotspp", "ixg5", "ixgpp",
+
+
+@dataclass(frozen=True)
+class Situation:
+    """The columns of one manpower situation and how many skaters share its baseline at either end.
+
+    `shots` and `chances` are the player's own; a situation without them creates nothing.
+    """
+
+    base: str
+    own: str
+    own_minutes: str
+    own_skaters: float
+    against: str
+    against_minutes: str
+    against_skaters: float
+    rate: str
+    shots: str
+    chances: str
+    prefix: str
+    allowed_as: str
+
+
+SITUATIONS = (
+    Situation("ev_off_base", "ev_off", "ev_off_toi", EVEN_SKATERS, "ev_def", "ev_off_toi", EVEN_SKATERS, "ev_xgf60", "shots5", "ixg5", "", "allow60"),
+    Situation("pp_off_base", "pp_off", "pp_off_toi", EVEN_SKATERS, "pk_def", "pk_def_toi", KILL_SKATERS, "pp_xgf60", "shotspp", "ixgpp", "pp_", "pk_allow60"),
 )
 
 
+def _or_zero(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0.0))
+
+
 def _safe(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den).otherwise(0.0)
 
 
+def _situation_columns(s: Situation) -> tuple[dict[str, Column], Column, Column]:
+    """A situation's per-hour columns, and the goals created and allowed in it."""
+    hours, hours_against = _or_zero(s.own_minutes) / 60.0, _or_zero(s.against_minutes) / 60.0
+    created = _or_zero(s.base) / s.own_skaters + _or_zero(s.own)
+    allowed = _or_zero(s.base) / s.against_skaters + _or_zero(s.against)
+    # The part of the chances with the player on the ice that were the player's own shots.
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), _safe(_safe(_or_zero(s.chances), hours), _or_zero(s.rate))))
+    finishing = _safe(_or_zero("fin_per100") / 100.0 * _or_zero(s.shots), hours)
+    rates = {f"{s.prefix}scoring60": share * created + finishing, f"{s.prefix}playmaking60": created - share * created, s.allowed_as: allowed}
+    return rates, created * hours, allowed * hours_against
+
+
 def value_table(players: DataFrame, shots: DataFrame, pen_v: DataFrame) -> DataFrame:
-    """The value ledger, one row per player.
+    """The value ledger, one row per player: each situation's shares, then totals, per game too.
 
     `pen_v` is the one-row penalty value, attached by a cross join with that single row. Missing
     inputs count as zero.
     """
-    df = players.join(shots, "player_id", "left").crossJoin(F.broadcast(pen_v.select(F.col("v").alias("_v"))))
-    df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in INPUTS})
-    c = F.col
-    b5, bpp, bpk, ball = (c(t) / 60.0 for t in ("ev_off_toi", "pp_off_toi", "pk_def_toi", "toi_all"))
-    alpha = c("fin_per100") / 100.0
-    create, allow = c("ev_off_base") / EVEN_SKATERS + c("ev_off"), c("ev_off_base") / EVEN_SKATERS + c("ev_def")
-    ppc, pka = c("pp_off_base") / EVEN_SKATERS + c("pp_off"), c("pp_off_base") / KILL_SKATERS + c("pk_def")
-    clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    own5, ownpp = clip(_safe(_safe(c("ixg5"), b5), c("ev_xgf60"))), clip(_safe(_safe(c("ixgpp"), bpp), c("pp_xgf60")))
-    pen = (c("pen_drawn60") - c("pen_taken60")) * c("_v")
-    out = df.select(
-        *players.columns,
-        (own5 * create + _safe(alpha * c("shots5"), b5)).alias("scoring60"),
-        ((1.0 - own5) * create).alias("playmaking60"), allow.alias("allow60"),
-        (ownpp * ppc + _safe(alpha * c("shotspp"), bpp)).alias("pp_scoring60"),
-        ((1.0 - ownpp) * ppc).alias("pp_playmaking60"), pka.alias("pk_allow60"), pen.alias("pen_net60"),
-        (create * b5 + ppc * bpp).alias("g_created"), (allow * b5 + pka * bpk).alias("g_allowed"),
-        c("fin_goals").alias("g_fin"), (pen * ball).alias("g_pen"), c("gp").alias("_gp"),
-    )
-    out = out.withColumn("g_net", c("g_created") + c("g_fin") - c("g_allowed") + c("g_pen"))
-    return out.withColumns({
-        "gcreate_pg": _safe(c("g_created"), c("_gp")), "gallow_pg": _safe(c("g_allowed"), c("_gp")), "gnet_pg": _safe(c("g_net"), c("_gp")),
-    }).drop("_gp")
+    worth = F.broadcast(pen_v.select(F.col("v").alias("_v")))
+    penalties = (_or_zero("pen_drawn60") - _or_zero("pen_taken60")) * F.col("_v")
+    columns: dict[str, Column] = {"pen_net60": penalties, "g_fin": _or_zero("fin_goals"), "g_pen": penalties * _or_zero("toi_all") / 60.0}
+    created, allowed = F.lit(0.0), F.lit(0.0)
+    for s in SITUATIONS:
+        rates, more, less = _situation_columns(s)
+        columns |= rates
+        created, allowed = created + more, allowed + less
+    columns |= {"g_created": created, "g_allowed": allowed, "_games": _or_zero("gp")}
+    table = players.join(shots, "player_id", "left").crossJoin(worth).select(*players.columns, *(e.alias(n) for n, e in columns.items()))
+    table = table.withColumn("g_net", F.col("g_created") + F.col("g_fin") - F.col("g_allowed") + F.col("g_pen"))
+    per_game = {f"g{k}_pg": _safe(F.col(c), F.col("_games")) for k, c in (("create", "g_created"), ("allow", "g_allowed"), ("net", "g_net"))}
+    return table.withColumns(per_game).drop("_games")
 
 
 def season_value(players: DataFrame, shots: DataFrame, pen_v: DataFrame) -> DataFrame:

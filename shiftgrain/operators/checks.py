@@ -124,8 +124,8 @@ def check_duel_identity(decomposed: DataFrame, fin: DataFrame, gol: DataFrame) -
 
 def check_team_accounts(team: DataFrame) -> DataFrame:
     return report(team, "accounts", [
-        none_of("goals-for components", F.abs(F.col("gf") - F.col("gf_recon") - F.col("gf_gap")) > 0.01),
-        none_of("goals-against components", F.abs(F.col("ga") - F.col("ga_recon") - F.col("ga_gap")) > 0.01),
+        none_of("goals-for components", F.abs(F.col("gf_recon") - F.col("xgf") - F.col("mu_for") - F.col("fin_for") - F.col("opp_goalie")) > 0.01),
+        none_of("goals-against components", F.abs(F.col("ga_recon") - F.col("xga") - F.col("mu_against") - F.col("opp_fin") - F.col("own_goalie")) > 0.01),
         ("mean absolute gap share", "approx", F.avg(F.abs(F.col("gf_gap")) / F.col("gf")), 0.0, 0.12),
     ])
 

@@ -12,15 +12,15 @@ CTES: dict[str, str] = {}
 
 CTES["feed0"] = """
 SELECT event_id, user_id, event_type, value, CAST(ts AS DATE) AS game_date,
-  CAST(dayofyear(ts) - 1 AS BIGINT) AS day, (user_id // 50) % 100 AS grp,
+  CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS day, user_id // 50 AS grp,
   CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-  CAST(2021 + (dayofyear(ts) - 1) // 8 AS BIGINT) AS season,
+  CAST(2021 + datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 8 AS BIGINT) AS season,
   CAST((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) // 16 AS INTEGER) AS time_g
 FROM events"""
 
 CTES["feed"] = """
 SELECT f.*,
-  season * 1000000 + CASE WHEN day % 8 = 7 THEN 30000 ELSE 20000 END + (day % 100) * 100 + grp AS game_id,
+  (grp * 10000 + season) * 1000000 + CASE WHEN day % 8 = 7 THEN 30000 ELSE 20000 END + day % 8 AS game_id,
   (user_id + CASE WHEN user_id % 10 = 3 AND season >= 2023 THEN 1 ELSE 0 END) % 2 AS parity,
   CASE WHEN event_type = 'purchase' AND k < 30 THEN 'goal'
     WHEN event_type = 'purchase' AND k < 50 THEN 'hit'
@@ -32,13 +32,13 @@ SELECT f.*,
     WHEN event_type = 'error' THEN 'blocked-shot'
     WHEN k >= 90 THEN 'stoppage' ELSE 'faceoff' END AS type,
   time_g // 1200 + 1 AS period,
-  'T' || lpad(CAST(grp * 2 + day % 2 AS VARCHAR), 3, '0') AS home_team,
-  'T' || lpad(CAST(grp * 2 + 1 - day % 2 AS VARCHAR), 3, '0') AS away_team
+  printf('T%03d', grp * 2 + day % 2) AS home_team,
+  printf('T%03d', grp * 2 + 1 - day % 2) AS away_team
 FROM feed0 f"""
 
 CTES["feed2"] = """
 SELECT *, (parity + day) % 2 = 0 AS user_home,
-  'T' || lpad(CAST(grp * 2 + parity AS VARCHAR), 3, '0') AS user_team,
+  printf('T%03d', grp * 2 + parity) AS user_team,
   CASE WHEN type = 'blocked-shot' THEN (parity + day) % 2 <> 0 ELSE (parity + day) % 2 = 0 END AS is_home
 FROM feed"""
 
@@ -182,7 +182,7 @@ SELECT game_id, stint_idx, coalesce(sum(xg) FILTER (is_home), 0) AS home_xgf, co
 FROM placed GROUP BY 1, 2"""
 
 CTES["stints"] = """
-SELECT c.*, c.game_id // 1000000 AS season, l.home_lead, fs.z AS start_zone, fe.z AS end_zone,
+SELECT c.*, (c.game_id // 1000000) % 10000 AS season, l.home_lead, fs.z AS start_zone, fe.z AS end_zone,
   CASE WHEN fa.game_id IS NOT NULL THEN 'faceoff' ELSE 'fly' END AS start_type,
   coalesce(p.home_skaters, []) AS home_skaters, coalesce(p.away_skaters, []) AS away_skaters, p.home_goalie, p.away_goalie,
   coalesce(len(p.home_skaters), 0) AS home_n, coalesce(len(p.away_skaters), 0) AS away_n,

@@ -136,8 +136,8 @@ def m14(t):
 
 
 CTES["accounts"] = """
-SELECT season, team, count(*) FILTER (f) AS shots_for, sum(goal) FILTER (f)::BIGINT AS gf, sum(xg) FILTER (f) AS xgf, sum(recon) FILTER (f) AS gf_recon, count(*) FILTER (NOT f) AS shots_against, sum(goal) FILTER (NOT f)::BIGINT AS ga,
-  sum(xg) FILTER (NOT f) AS xga, sum(gol) FILTER (NOT f) AS own_goalie, sum(recon) FILTER (NOT f) AS ga_recon FROM (SELECT *, off_nation AS team, true AS f FROM decomposed UNION ALL SELECT *, def_nation, false FROM decomposed) GROUP BY 1, 2"""
+SELECT season, team, count(*) FILTER (f) AS shots_for, sum(goal) FILTER (f)::BIGINT AS gf, sum(xg) FILTER (f) AS xgf, sum(mu) FILTER (f) AS mu_for, sum(fin) FILTER (f) AS fin_for, sum(gol) FILTER (f) AS opp_goalie, sum(recon) FILTER (f) AS gf_recon, count(*) FILTER (NOT f) AS shots_against, sum(goal) FILTER (NOT f)::BIGINT AS ga,
+  sum(xg) FILTER (NOT f) AS xga, sum(mu) FILTER (NOT f) AS mu_against, sum(fin) FILTER (NOT f) AS opp_fin, sum(gol) FILTER (NOT f) AS own_goalie, sum(recon) FILTER (NOT f) AS ga_recon FROM (SELECT *, off_nation AS team, true AS f FROM decomposed UNION ALL SELECT *, def_nation, false FROM decomposed) GROUP BY 1, 2"""
 
 
 @query("A30_team_accounts", "SELECT season, team, shots_for, gf, round(xgf, 4) AS xgf, round(gf_recon, 4) AS gf_recon, round(gf - gf_recon, 4) AS gf_gap, shots_against, ga, round(own_goalie, 4) AS own_goalie, round(ga - ga_recon, 4) AS ga_gap FROM accounts")
@@ -162,8 +162,8 @@ def v6(t):
 
 
 @query("V7_team_components", _union(
-    ("accounts", "goals-for components", "exact", "SELECT 0 AS v FROM accounts HAVING count(*) > 0", 0, 0),
-    ("accounts", "goals-against components", "exact", "SELECT 0 AS v FROM accounts HAVING count(*) > 0", 0, 0),
+    ("accounts", "goals-for components", "exact", "SELECT count(*) FILTER (abs(gf_recon - xgf - mu_for - fin_for - opp_goalie) > 0.01) AS v FROM accounts", 0, 0),
+    ("accounts", "goals-against components", "exact", "SELECT count(*) FILTER (abs(ga_recon - xga - mu_against - opp_fin - own_goalie) > 0.01) AS v FROM accounts", 0, 0),
     ("accounts", "mean absolute gap share", "approx", "SELECT avg(abs(gf - gf_recon) / gf) AS v FROM accounts", 0.0, 0.12)))
 def v7(t):
     return K.check_team_accounts(DU.team_accounts(_decomposed(t)))

@@ -32,8 +32,8 @@ def p2(t):
 
 
 @query("P3_season_of_id", """
-SELECT game_id, game_id // 1000000 AS season, CAST(game_id // 1000000 AS VARCHAR) || '-' || substr(CAST(game_id // 1000000 + 1 AS VARCHAR), 3) AS label,
-  CAST(game_id // 1000000 AS VARCHAR) || CAST(game_id // 1000000 + 1 AS VARCHAR) AS pair, substr(CAST(game_id AS VARCHAR), 5) AS tail
+SELECT game_id, ((game_id // 1000000) % 10000) AS season, CAST(((game_id // 1000000) % 10000) AS VARCHAR) || '-' || substr(CAST(((game_id // 1000000) % 10000) + 1 AS VARCHAR), 3) AS label,
+  CAST(((game_id // 1000000) % 10000) AS VARCHAR) || CAST(((game_id // 1000000) % 10000) + 1 AS VARCHAR) AS pair, right(CAST(game_id AS VARCHAR), 6) AS tail
 FROM headers""")
 def p3(t):
     s = S.season_of_id("game_id")

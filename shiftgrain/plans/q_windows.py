@@ -48,10 +48,10 @@ def w4(t):
 
 @query("W5_percentile_in_group", """SELECT player_id, round_even(100 * r, 0) AS pct, round_even(100 * (1 - r), 0) AS rev FROM (SELECT shooter_id AS player_id,
  (rank() OVER (PARTITION BY position ORDER BY n) + (count(*) OVER (PARTITION BY position, n) - 1) / 2) / count(*) OVER (PARTITION BY position) AS r
- FROM (SELECT shooter_id, count(*) AS n FROM shots GROUP BY 1) JOIN (SELECT DISTINCT player_id AS shooter_id, position FROM roster) USING (shooter_id))""")
+ FROM (SELECT shooter_id, count(*) AS n FROM shots GROUP BY 1) JOIN (SELECT player_id AS shooter_id, arg_max(position, season) AS position FROM roster GROUP BY 1) USING (shooter_id))""")
 def w5(t):
     n = t.shots.groupBy(C("shooter_id").alias("player_id")).agg(F.count(F.lit(1)).alias("n"))
-    j = n.join(t.roster.select("player_id", "position").distinct(), "player_id")
+    j = n.join(t.roster.groupBy("player_id").agg(F.max_by("position", "season").alias("position")), "player_id")
     r = R.tie_average_rank(j, ["position"], "n", "r")
     return r.select("player_id", F.bround(100 * C("r"), 0).alias("pct"), F.bround(100 * (1 - C("r")), 0).alias("rev"))
 
@@ -91,11 +91,11 @@ def w11(t):
     return s.groupBy("player_id").agg(F.max_by("team", F.struct("game_date", "game_id")).alias("team"))
 
 
-EDGES = "SELECT player_id, season, lag(season) OVER (PARTITION BY player_id ORDER BY season) AS prev_season FROM (SELECT DISTINCT player_id, season FROM shifts WHERE (player_id + season) % 4 <> 0)"
+EDGES = "SELECT player_id, season, lag(season) OVER (PARTITION BY player_id ORDER BY season) AS prev_season FROM (SELECT DISTINCT player_id, season FROM shifts)"
 
 
 def _units(t):
-    return P.player_season_units(t.shifts.where((C("player_id") + C("season")) % 4 != 0).select("player_id", "season").distinct())
+    return P.player_season_units(t.shifts.select("player_id", "season").distinct())
 
 
 @query("W12_season_edges", f"SELECT player_id, season, prev_season, season - prev_season AS gap FROM ({EDGES}) WHERE prev_season IS NOT NULL")

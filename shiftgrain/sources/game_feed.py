@@ -15,18 +15,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _team(group: Column, parity: Column) -> Column:
-    return F.concat(F.lit("T"), F.lpad((group * 2 + parity).cast("string"), 3, "0"))
+    return F.format_string("T%03d", (group * 2 + parity).cast("long"))
 
 
 def feed(spark: SparkSession, folder: str) -> DataFrame:
     """One row per source event with game, season, clock, side and roles worked out.
 
-    A day is a game night; 50 users in a row share a rink. Eight days make a season, and the last
-    day of each is a play-off night (game-type digits 03).
+    A day is a game night; 50 users in a row share a rink. Eight days make a season, counted on from
+    2024 over the years, and the last day of each is a play-off night (game-type digits 03). A game's
+    id is rink, four digits of season, two of type and four of the night in its season.
     """
     src = table(spark, folder, "events")
-    day = F.dayofyear("ts") - 1
-    group = F.floor(F.col("user_id") / 50) % 100
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    group = F.floor(F.col("user_id") / 50)
     second = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     base = src.select(
         "event_id",
@@ -44,10 +45,9 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
     parity = (F.col("user_id") + F.when(traded, 1).otherwise(0)) % 2
     base = base.withColumn("parity", parity).withColumn(
         "game_id",
-        F.col("season") * 1000000
+        (F.col("grp") * 10000 + F.col("season")) * 1000000
         + F.when(F.col("day") % 8 == 7, 30000).otherwise(20000)
-        + (F.col("day") % 100) * 100
-        + F.col("grp"),
+        + F.col("day") % 8,
     )
     k, et = F.col("k"), F.col("event_type")
     kind = (

@@ -117,15 +117,18 @@ def read_shifts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_players(spark: SparkSession, path: str) -> DataFrame:
-    """Player files to one bio row each; unreadable files are skipped, repeated players kept once."""
+    """Player files to one bio row each; unreadable files are skipped, of a repeated player the file last by path counts."""
     p = spark.read.schema(PLAYER_SCHEMA).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
     p = p.where("_corrupt is null and playerId is not null")
-    return p.select(
+    bios = p.select(
         F.col("playerId").alias("player_id"), S.full_name("firstName.default", "lastName.default").alias("name"),
         F.col("birthDate").try_cast("date").alias("birthdate"), F.when(F.col("shootsCatches").isin("L", "R"), F.col("shootsCatches")).alias("hand"),
         F.col("heightInInches").alias("height_in"), F.col("weightInPounds").alias("weight_lb"),
-        F.col("draftDetails.year").alias("draft_year"), F.col("draftDetails.overallPick").alias("draft_overall"),
-    ).dropDuplicates(["player_id"])
+        F.col("draftDetails.year").alias("draft_year"), F.col("draftDetails.overallPick").alias("draft_overall"), F.col("_metadata.file_path").alias("_file"),
+    )
+    rest = [c for c in bios.columns if c not in ("player_id", "_file")]
+    last = bios.groupBy("player_id").agg(F.max_by(F.struct(*rest), "_file").alias("bio"))
+    return last.select("player_id", "bio.*")
 
 
 # --- tabular time-on-ice reports ----------------------------------------------------------------
