@@ -40,3 +40,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def is_fold(doc_id, folds: int, rest: int):
     """Whether crc32 of the id's decimal text falls into a fold; a null id never does."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == rest, F.lit(False))
+
+
+def slices(batches, rows: int):
+    """Arrow batches of at most `rows` rows: what a task holds beside its input stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftgrain.llm.common import shuffle_partitions, stage
+from shiftgrain.llm.common import shuffle_partitions, slices, stage
 from shiftgrain.llm.perfect_hash import mix
 from shiftgrain.llm.words import utf8, word_hashes
 
@@ -35,6 +35,8 @@ NUM, DEN = 4, 5
 COMMON, COMMON_SHARE, COMMON_LEAST = 200_000, 5e-5, 4
 #: Prefix tokens of a bucket; pairs examined at a time; names or tokens broadcast at a time.
 BUCKET, PAIRS, NAMES = 1_000_000, 2_000_000, 1_000_000
+#: Documents whose lines are worked on at a time.
+ROWS = 2500
 #: The order of rows without an id: after all others.
 LAST = (1 << 63) - 1
 
@@ -70,7 +72,7 @@ def line_rows(docs: DataFrame, seed: int) -> DataFrame:
     """Stage table: (place, line, cid, check, n) of every line with words, and (word, seen) of frequent words of a batch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             lines = Lines(batch.column("text"), seed)
             has = lines.size > 0
             word, seen = np.unique(lines.word, return_counts=True)
@@ -127,7 +129,7 @@ def postings(docs: DataFrame, seed: int, order, buckets: int, only=None) -> Data
 
     def run(batches):
         common, seen = order.value
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             lines = Lines(batch.column("text"), seed)
             place = batch.column("place").to_numpy()[lines.text]
             by = np.lexsort((lines.number, place))
@@ -215,7 +217,7 @@ def class_words(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
 
     def run(batches):
         sent: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             lines = Lines(batch.column("text"), seed)
             cut = np.searchsorted(lines.line, np.arange(len(lines.size) + 1))
             take = lines.size > 0
