@@ -63,7 +63,7 @@ class CountTree:
         return a[first], b[first]
 
     def candidates(self, labels: np.ndarray):
-        """Yield arrays (i, j) of points that can be similar, leaf pair by leaf pair.
+        """Yield arrays (i, j, bound of the overlap) of points that can be similar, leaf pair by leaf pair.
 
         Points whose entries of `labels` agree are left out; the caller may join labels in between.
         """
@@ -81,7 +81,8 @@ class CountTree:
             x, y = a[x], b[y]
             keep = self._reachable(0, x, y)
             if keep.any():
-                yield self.order[x[keep]], self.order[y[keep]]
+                x, y = x[keep], y[keep]
+                yield self.order[x], self.order[y], np.minimum(self.levels[0][0][x], self.levels[0][0][y]).sum(axis=1)
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int = 4, den: int = 5) -> bool:

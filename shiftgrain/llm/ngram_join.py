@@ -2,19 +2,21 @@
 
 Documents of one shingle set are one class, named by the set's 64-bit fingerprint (a second
 fingerprint finds clashes, and then another seed is taken). Two sets of Jaccard similarity 4/5 share
-one of the first n - ceil(4n/5) + 1 hashes of each in any fixed order of all hashes. The order here
+k of the first n - ceil(4n/5) + k hashes of each in any fixed order of all hashes. The order here
 is by hash with common hashes last; it decides only how much is compared, never what is found.
 
-1. Prefix hashes go packed to buckets; those of one class only are forgotten.
-2. Classes that share a prefix hash meet in blocks by their least shared hash. In a block a
-   count-vector R-tree proposes pairs, exact sets verify them, and pairs already connected are
-   skipped, so a group of m near copies costs about m comparisons. Large blocks are cut into
-   sub-blocks whose representatives meet again.
-3. Prefix hashes that still join different groups go through the tree once more, all of them; what
-   survives is verified. Links and groups give the components.
-
-Nothing grows with a group's square but the tree's node comparisons inside sub-blocks of bounded
-size, and step 3 makes the result complete whatever step 2 missed.
+1. Prefix hashes go packed to buckets; those of one class only are forgotten. A class that keeps
+   fewer than k of them, k for the smallest partner it could have, links with nothing.
+2. Classes that remain meet in blocks by their least shared hash, in two orders. In a block all are
+   compared with the most central classes, then a count-vector R-tree proposes the other pairs,
+   exact sets verify them, and pairs already connected are skipped: a group of m near copies costs
+   about m comparisons. Large blocks are cut into parts that all hold the central classes.
+3. Groups that prefix hashes still connect form a family. In a family the tree again proposes pairs
+   of different groups, the likeliest partner of each class first, and whatever then still stands
+   apart is compared completely. Links and groups give the components.
+
+Step 3 makes the result complete whatever step 2 missed; only it can meet many pairs, and only of
+classes whose count vectors allow the similarity and that nothing has connected before.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftgrain.llm.common import shuffle_partitions, stage, texts
@@ -40,7 +42,9 @@ BUCKET = 1_500_000
 COMMON = 200_000
 #: A hash is common where it is in this share of a batch's different sets, and in so many at least.
 COMMON_SHARE, COMMON_LEAST = 0.002, 8
-#: Classes of one shared hash in a sub-block of step 3.
+#: Central classes of a block that every part of it holds.
+CENTRAL = 16
+#: Classes of a family up to which it is one block, and of a part of larger ones.
 MEMBERS = 4096
 #: Class names that are broadcast to find their texts; more of them go through a shuffled join.
 BROADCAST_ROWS = 300_000
@@ -61,7 +65,7 @@ def _sets(batch: pa.RecordBatch, width: int, seed: int):
 
 
 def class_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """Stage table: a row (doc_id, cid, check, n) per document and (hash, seen) per common hash of a batch."""
+    """Stage table: a row (doc_id, text_key, cid, check, n) per document and (hash, seen) per common hash of a batch."""
 
     def run(batches):
         for batch in batches:
@@ -75,18 +79,25 @@ def class_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 [
                     pa.array([True] * n + [False] * k),
                     pa.concat_arrays([batch.column("doc_id"), pa.nulls(k, pa.int64())]),
+                    pa.concat_arrays([batch.column("text_key"), pa.nulls(k, pa.int64())]),
                     pa.array(np.r_[np.array([c for c, _ in names], np.int64), found]),
                     pa.array(np.r_[np.array([c for _, c in names], np.int64), seen]),
                     pa.array(np.r_[np.array([len(s) for s in sets], np.int64), np.zeros(k, np.int64)]),
                 ],
-                names=["is_doc", "doc_id", "cid", "check", "n"],
+                names=["is_doc", "doc_id", "text_key", "cid", "check", "n"],
             )
 
-    return stage(docs.mapInArrow(run, "is_doc boolean, doc_id long, cid long, check long, n long"))
+    keyed = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return stage(keyed.mapInArrow(run, "is_doc boolean, doc_id long, text_key long, cid long, check long, n long"))
+
+
+def least_shared(n):
+    """The hashes that a set of n shares, inside both prefixes, with any similar set of n or more."""
+    return max(1, n // 10)
 
 
 def prefix_size(n):
-    return n - (NUM * n + DEN - 1) // DEN + 1
+    return n - (NUM * n + DEN - 1) // DEN + least_shared(n)
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -154,29 +165,60 @@ def shared_prefixes(docs: DataFrame, width: int, seed: int, common: np.ndarray,
     return stage(packed.groupBy("bucket").applyInPandas(meet, "token long, cid long"))
 
 
-def class_sets(docs: DataFrame, involved: DataFrame, width: int, seed: int) -> DataFrame:
-    """Stage table (cid, n, hashes binary, counts binary) of the classes in `involved` (cid, doc)."""
-    few = involved.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    wanted = involved.select(F.col("cid").alias("wanted"), F.col("doc").alias("_doc"))
+def block_plan(keys: DataFrame) -> DataFrame:
+    """Stage table (cid, key, part, rank, bucket) of `keys` (cid, n, kept, key, key2): each class in two blocks.
+
+    A block of more than BUCKET hashes is cut into parts by class; its most central classes, those
+    that share most of their prefix, are in every part. `rank` orders a block's central classes.
+    """
+    spark = keys.sparkSession
+    both = keys.select("cid", "n", "kept", "key").union(keys.select("cid", "n", "kept", "key2"))
+    sizes = both.groupBy("key").agg(F.ceil(F.sum("n") / BUCKET).cast("int").alias("cuts"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = max(shuffle_partitions(spark), -(-2 * (keys.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+    order = Window.partitionBy("key").orderBy(F.desc(F.col("kept") / F.col("n")), "cid")
+    inside = both.join(sizes, "key")
+    central = inside.select("key", "cid", "cuts", F.row_number().over(order).alias("rank")).where(F.col("rank") <= CENTRAL)
+    central = central.select("cid", "key", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"), "rank")
+    rest = inside.join(central.select("key", "cid").distinct(), ["key", "cid"], "left_anti")
+    rest = rest.select("cid", "key", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int").alias("part"), F.lit(CENTRAL + 1).alias("rank"))
+    return stage(central.union(rest).withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets))))
+
+
+def class_sets(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> DataFrame:
+    """Stage table (cid, n, hashes binary, counts binary) of the classes `wanted` (cid, doc).
+
+    A repeated document repeats its class.
+    """
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    wanted = wanted.select("cid", F.col("doc").alias("_doc"))
 
     def run(batches):
         for batch in batches:
             sets, names = _sets(batch, width, seed)
-            rows = [
-                (cid, len(s), s.tobytes(), count_vector(s).astype(np.uint32).tobytes())
-                for s, (cid, _), wanted in zip(sets, names, batch.column("wanted").to_pylist())
-                if cid == wanted
-            ]
-            columns = list(zip(*rows)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["cid", "n", "hashes", "counts"])
+            keep = pa.array([c == w for (c, _), w in zip(names, batch.column("cid").to_pylist())], pa.bool_())
+            out = [batch.column("cid"), pa.array([len(s) for s in sets], pa.int64())]
+            out += [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_narrow(count_vector(s)) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["cid", "n", "hashes", "counts"]).filter(keep)
 
     own = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return stage(own.select("text", "wanted").mapInArrow(run, "cid long, n long, hashes binary, counts binary").dropDuplicates(["cid"]))
+    return stage(own.select("text", "cid").mapInArrow(run, "cid long, n long, hashes binary, counts binary"))
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in one byte each where they fit, in four otherwise; the length tells."""
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
 
 def _points(rows: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(rows["counts"]), np.uint32).reshape(len(rows), GROUPS).astype(np.int32)
+    out = np.empty((len(rows), GROUPS), np.int32)
+    for k, raw in enumerate(rows["counts"]):
+        out[k] = np.frombuffer(raw, np.uint8 if len(raw) == GROUPS else np.uint32)
+    return out
+
+
+def _join_labels(labels: np.ndarray, x: int, y: int) -> None:
+    low, high = sorted((labels[x], labels[y]))
+    labels[labels == high] = low
 
 
 def _block_links(rows: pd.DataFrame) -> np.ndarray:
@@ -184,36 +226,68 @@ def _block_links(rows: pd.DataFrame) -> np.ndarray:
     labels = np.arange(len(rows))
     if len(rows) > 1:
         sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
+        for x in np.flatnonzero(rows["rank"].to_numpy() <= CENTRAL).tolist():
+            for y in np.flatnonzero(labels != labels[x]).tolist():
+                if labels[x] != labels[y] and similar(sets[x], sets[y], NUM, DEN):
+                    _join_labels(labels, x, y)
         tree = CountTree(_points(rows), rows["n"].to_numpy(np.int64), NUM, DEN)
-        for i, j in tree.candidates(labels):
+        for i, j, _ in tree.candidates(labels):
             for x, y in zip(i.tolist(), j.tolist()):
                 if labels[x] != labels[y] and similar(sets[x], sets[y], NUM, DEN):
-                    low, high = sorted((labels[x], labels[y]))
-                    labels[labels == high] = low
+                    _join_labels(labels, x, y)
     return labels
 
 
-def block_roots(members: DataFrame) -> DataFrame:
-    """Stage table (cid, root) of `members` (cid, key, n, hashes, counts): groups inside each block.
-
-    Blocks of more than BUCKET hashes are cut into sub-blocks by class.
-    """
-    spark = members.sparkSession
-    sizes = members.groupBy("key").agg(F.sum("n").alias("size")).where(F.col("size") > BUCKET).withColumn("cuts", F.ceil(F.col("size") / BUCKET))
-    total = members.agg(F.sum("n")).first()[0] or 0
-    buckets = max(shuffle_partitions(spark), -(-total // BUCKET))
-    cut = members.join(sizes.select("key", "cuts"), "key", "left").withColumn("part", F.pmod(F.xxhash64("cid"), F.coalesce("cuts", F.lit(1))))
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets)))
+def block_links(sets: DataFrame, plan: DataFrame) -> DataFrame:
+    """Stage table (a, b): each class and the first class of its group in a block, where they differ."""
+    few = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [np.zeros((0, 2), np.int64)]
         for _, block in rows.groupby(["key", "part"], sort=False):
-            root = _block_links(block)
+            block = block.drop_duplicates("cid")
             cids = block["cid"].to_numpy(np.int64)
-            out.append(pd.DataFrame({"cid": cids, "root": cids[root]}))
-        return pd.concat(out)
+            out.append(np.stack([cids, cids[_block_links(block)]], axis=1))
+        links = np.concatenate(out)
+        links = links[links[:, 0] != links[:, 1]]
+        return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+
+    dealt = sets.join(F.broadcast(plan) if few else plan, "cid").select("bucket", "key", "part", "rank", "cid", "n", "hashes", "counts")
+    return stage(dealt.groupBy("bucket").applyInPandas(run, "a long, b long"))
 
-    return stage(cut.select("bucket", "key", "part", "cid", "n", "hashes", "counts").groupBy("bucket").applyInPandas(run, "cid long, root long"))
+
+def _family_pairs(members: DataFrame, buckets: int, best_only: bool) -> DataFrame:
+    """(a, b): pairs of classes of one family and different groups whose count vectors allow the similarity.
+
+    `members` is (family, root, cid, n, counts). With `best_only`, each member outside the family's
+    largest group proposes only its likeliest partner.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 2), np.int64)]
+        for _, block in rows.groupby("family", sort=False):
+            block = block.drop_duplicates("cid")
+            cids, root = block["cid"].to_numpy(np.int64), block["root"].to_numpy(np.int64)
+            names, group = np.unique(root, return_inverse=True)
+            inner = group == np.bincount(group).argmax()
+            best, partner = np.full(len(cids), -1), np.zeros(len(cids), np.int64)
+            for i, j, overlap in CountTree(_points(block), block["n"].to_numpy(np.int64), NUM, DEN).candidates(root):
+                if not best_only:
+                    out.append(np.stack([cids[i], cids[j]], axis=1))
+                    continue
+                for x, y in ((i, j), (j, i)):
+                    by = np.lexsort((-overlap, x))
+                    first = by[np.r_[True, x[by][1:] != x[by][:-1]]]
+                    better = first[(overlap[first] > best[x[first]]) & ~inner[x[first]]]
+                    best[x[better]], partner[x[better]] = overlap[better], y[better]
+            if best_only:
+                found = np.flatnonzero(best >= 0)
+                out.append(np.stack([cids[found], cids[partner[found]]], axis=1))
+        links = np.sort(np.concatenate(out), axis=1)
+        return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+
+    dealt = members.withColumn("bucket", F.pmod(F.xxhash64("family"), F.lit(buckets))).select("bucket", "family", "root", "cid", "n", "counts")
+    return dealt.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
 
 
 def _candidates(members: DataFrame, buckets: int) -> DataFrame:
@@ -236,7 +310,7 @@ def _candidates(members: DataFrame, buckets: int) -> DataFrame:
             cids = block["cid"].to_numpy(np.int64)
             part = block["part"].to_numpy()
             tree = CountTree(_points(block), block["n"].to_numpy(np.int64), NUM, DEN)
-            for i, j in tree.candidates(block["root"].to_numpy(np.int64)):
+            for i, j, _ in tree.candidates(block["root"].to_numpy(np.int64)):
                 if low != high:  # pairs inside a part belong to the part's own block
                     across = part[i] != part[j]
                     i, j = i[across], j[across]
@@ -263,7 +337,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def class_roots(docs: DataFrame, rows: DataFrame, width: int, seed: int) -> DataFrame | None:
-    """(cid, label) of the classes that a link joins to another; None where there is no link."""
+    """(cid, label) of the classes that a link joins to another; None where no two classes can be similar."""
     spark = docs.sparkSession
     most = rows.where("not is_doc").groupBy("cid").agg(F.sum("check").alias("seen")).orderBy(F.desc("seen"), "cid").limit(COMMON).collect()
     common = np.array([r["cid"] for r in most], np.int64).view(np.uint64)
@@ -274,30 +348,55 @@ def class_roots(docs: DataFrame, rows: DataFrame, width: int, seed: int) -> Data
     buckets = max(shuffle_partitions(spark), -(-total // BUCKET))
     shared = shared_prefixes(docs, width, seed, common[by], seen[by], buckets)
 
-    keys = stage(shared.groupBy("cid").agg(F.min("token").alias("key")).join(classes, "cid"))
+    fewest = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * NUM / DEN) / 10))
+    own = shared.groupBy("cid").agg(F.min("token").alias("key"), F.min(F.xxhash64("token")).alias("key2"), F.count(F.lit(1)).alias("kept"))
+    keys = stage(own.join(classes, "cid").where(F.col("kept") >= fewest))
     if keys.isEmpty():
         return None
-    sets = class_sets(docs, keys, width, seed)
-    members = sets.join(keys.select("cid", "key"), "cid")
-    roots = block_roots(members)
-    if members.groupBy("key").agg(F.sum("n").alias("size")).where(F.col("size") > BUCKET).limit(1).count():
-        again = block_roots(members.join(roots.where("cid = root").select("cid"), "cid", "left_semi"))
-        up = again.select(F.col("cid").alias("root"), F.col("root").alias("upper"))
-        roots = stage(roots.join(up, "root").select("cid", F.col("upper").alias("root")))
-
-    rooted = shared.join(roots, "cid")
-    open_tokens = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    asked = stage(rooted.join(open_tokens.select("token", "size"), "token"))
-    links = roots.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b"))
-    if not asked.isEmpty():
-        pairs = stage(_candidates(asked.join(sets.select("cid", "n", "counts"), "cid"), buckets))
-        links = links.union(_verified(pairs, sets))
-    links = stage(links)
-    return None if links.isEmpty() else components(links).select(F.col("node").alias("cid"), "label")
+    shared = stage(shared.join(keys.select("cid"), "cid", "left_semi"))
+    sets = class_sets(docs, keys.select("cid", "doc"), width, seed)
+    links = block_links(sets, block_plan(keys))
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else (lambda df: df)
+    for best_only in (True, False):
+        labels = _labels(links)
+        roots = stage(keys.select("cid").join(labels, "cid", "left").select("cid", F.coalesce("label", "cid").alias("root")))
+        rooted = shared.join(hint(roots), "cid")
+        met = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        opened = stage(rooted.join(met.select("token", "low"), "token"))  # hashes at which different groups meet
+        if opened.isEmpty():
+            break
+        # A family: groups that such hashes connect. Every pair of them that can link is inside one.
+        families = components(opened.select(F.col("root").alias("a"), F.col("low").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("label").alias("family"))
+        asked = opened.select("cid", "root").distinct().join(families, "root")
+        vectors = sets.select("cid", "n", "counts")
+        entries = opened.groupBy("root").agg(F.count(F.lit(1)).alias("entries")).join(families, "root").groupBy("family").agg(F.sum("entries").alias("entries"))
+        sizes = stage(asked.groupBy("family").agg(F.count(F.lit(1)).alias("size")).join(entries, "family"))
+        named = asked.join(sizes, "family").join(vectors, "cid")
+        proposed = _family_pairs(named.where(F.col("size") <= MEMBERS), buckets, best_only)
+        # Larger families are compared in pairs of parts, or hash by hash where that copies fewer rows.
+        copies = F.col("size") * F.ceil(F.col("size") / MEMBERS)
+        if not best_only and not sizes.where(F.col("size") > MEMBERS).isEmpty():
+            parts = named.where((F.col("size") > MEMBERS) & (copies <= F.col("entries"))).withColumnRenamed("family", "token")
+            proposed = proposed.union(_candidates(parts, buckets))
+            rest = families.join(sizes.where((F.col("size") > MEMBERS) & (copies > F.col("entries"))).select("family"), "family").select("root")
+            if not rest.isEmpty():
+                many = opened.select("token", "cid", "root").join(rest, "root")
+                size = many.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+                proposed = proposed.union(_candidates(many.join(size, "token").join(vectors, "cid"), buckets))
+            proposed = proposed.distinct()
+        proposed = stage(proposed)
+        if not proposed.isEmpty():
+            links = stage(links.union(_verified(proposed, sets)))
+    return _labels(links)
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node").alias("cid"), "label")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id, cid (the name of its shingle set).
+    """One row per row of `docs`: doc_id, n_shingles, component_id, cid (its shingle set's name), text_key, stays.
 
     Words are maximal runs of other characters than ASCII white space, A-Z lower-cased. A document's
     set holds the distinct shingles of `width` words; with fewer words, the whole sequence as one.
@@ -305,6 +404,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
     links, null only where all ids reachable are null. A null text, an empty one or one without
     words has no shingles, links with nothing and is its own component. Repeated rows, and rows that
     repeat an id with another text, are documents of their own. An empty table gives no rows.
+    `stays` marks the row of smallest id in its component (then of smallest text_key, the xxhash64 of
+    its text; rows equal in both stay together).
     """
     own = texts(docs, id_col, text_col)
     for seed in itertools.count(1):
@@ -312,14 +413,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
         clash = rows.where("is_doc").groupBy("cid").agg((F.min("check") != F.max("check")).alias("clash"))
         if clash.where("clash").isEmpty():
             break
-    found = rows.where("is_doc").select("doc_id", "n", "cid")
+    found = rows.where("is_doc").select("doc_id", "text_key", "n", "cid", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key").alias("place"))
     labels = class_roots(own, rows, width, seed)
     named = found.where("n > 0")
     if labels is not None:
         named = named.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     else:
         named = named.withColumn("label", F.col("cid"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cid")
-    alone = found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cid")
+    least = named.groupBy("label").agg(F.min("place").alias("least"))
+    linked = named.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "cid", "text_key", (F.col("place") == F.col("least")).alias("stays"))
+    alone = found.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cid", "text_key", F.lit(True).alias("stays"))
     return linked.union(alone)
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: one document of each component."""
+    gone = stage(near_duplicates(docs, width, id_col, text_col).where(~F.col("stays")).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct())
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    key = [F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("_key")]
+    tagged = docs.select(F.struct(*docs.columns).alias("_row"), *key)
+    same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key"))
+    return tagged.join(F.broadcast(gone) if few else gone, same, "left_anti").select("_row.*")
