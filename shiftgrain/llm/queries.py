@@ -123,4 +123,22 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op10_suffix_dedup": """
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT doc_id, k, substr(x, 2 * k + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS k FROM h)),
+        least AS (SELECT s, min(doc_id) AS first_doc FROM w GROUP BY s),
+        gone AS (SELECT w.doc_id, w.k FROM w JOIN least USING (s) WHERE first_doc < w.doc_id),
+        steps AS (SELECT doc_id, k, CASE WHEN k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 1 ELSE 0 END AS step FROM gone),
+        runs AS (SELECT doc_id, k, sum(step) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM steps),
+        spans AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM runs GROUP BY doc_id, run),
+        cuts AS (
+            SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS low, a AS high FROM spans
+            UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
+        kept AS (
+            SELECT c.doc_id, string_agg(substr(x, 2 * low + 1, coalesce(2 * (high - low), len(x))), '' ORDER BY low) AS y
+            FROM cuts c JOIN h USING (doc_id) GROUP BY c.doc_id),
+        sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+        SELECT h.doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(y, x))) AS kept_sha256
+        FROM h LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
