@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +57,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in the checkpoint folder, so a lost executor re-reads files, not history."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def env_int(name: str, default: int) -> int:
+    return int(os.environ.get(name, default))
+
+
+def limit_solver_threads(n: int = 2) -> None:
+    """Cap the linear-algebra threads of the driver process.
+
+    A small dense solve beside a local-mode JVM that owns all cores crawls when every core gets a
+    spinning solver thread. Does nothing where the library or its setter is not found.
+    """
+    import ctypes
+    import glob
+
+    import numpy
+
+    for lib in glob.glob(os.path.join(os.path.dirname(numpy.__file__), os.pardir, "numpy.libs", "*openblas*")):
+        handle = ctypes.CDLL(lib)
+        for setter in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(handle, setter):
+                getattr(handle, setter)(n)
+                return
