@@ -8,6 +8,10 @@ numpy on bootstrap samples, one task each; scoring reads every word of every tex
 
 The samples are bounded (POSITIVES, UNLABELLED), so the model is a few thousand numbers whatever the
 table's size. Scoring has no shuffle.
+
+Features are words and word prefixes by number of occurrences, so a class that is spread over many
+inflected words is seen in every language. The features that differ most between the classes are
+ranked and the penalty weighs them; there is no fixed limit of significance.
 """
 
 from __future__ import annotations
@@ -19,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrain.llm.common import is_fold, stage, texts
-from shiftgrain.llm.words import utf8, word_hashes
+from shiftgrain.llm.words import prefix_hashes, utf8, word_hashes
 
 #: Bounds of the training samples, by order of a hash of the id.
 POSITIVES, UNLABELLED = 3000, 6000
 MEMBERS = 3
-#: Words of a member, and how clearly a word must tell the classes apart (in standard errors).
-VOCABULARY, CLEAR = 1024, 4.0
+#: Features of a member, the bytes of the word prefixes (inflected words share them), and up to how many
+#: occurrences of a token count.
+VOCABULARY, PREFIXES, LEVELS = 1024, (4, 5, 6, 7), 3
 EPOCHS, RATE, PENALTY = 400, 0.05, 1e-3
 
 #: ASCII marks count as white space, so a word is the same with any punctuation.
@@ -33,15 +38,24 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every word and every word prefix of PREFIXES bytes."""
     data, offsets = utf8(column)
-    return word_hashes(_PLAIN[data], offsets)
+    plain = _PLAIN[data]
+    hashes, first = word_hashes(plain, offsets)
+    text, stems = prefix_hashes(plain, offsets, PREFIXES)
+    return np.r_[np.repeat(np.arange(len(offsets) - 1), np.diff(first)), text], np.r_[hashes, stems]
 
 
-def _presence(sets: list[np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, term) of each term present in a document."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    found = np.concatenate([*sets, np.zeros(0, np.uint64)])
+def _features(tokens: np.ndarray) -> np.ndarray:
+    """Sorted distinct features of a text: token h is h at its first occurrence, h + 1 at its second, up to LEVELS."""
+    once, n = np.unique(tokens, return_counts=True)
+    with np.errstate(over="ignore"):
+        return np.sort(np.concatenate([once[n > k] + np.uint64(k) for k in range(LEVELS)]))
+
+
+def _known(row: np.ndarray, found: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those (row, found) whose hash is one of the sorted `terms`, as (row, place)."""
     if not len(terms):
         return row[:0], np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(terms, found), len(terms) - 1)
@@ -49,8 +63,14 @@ def _presence(sets: list[np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np
     return row[hit], at[hit]
 
 
+def _presence(sets: list[np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, term) of each term present in a document."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return _known(row, np.concatenate([*sets, np.zeros(0, np.uint64)]), terms)
+
+
 def choose_terms(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
-    """Sorted words whose share among the positives differs clearly from that among the negatives.
+    """The VOCABULARY features whose shares among positives and negatives differ most, sorted.
 
     The negatives' share is the unlabelled share less the positives' part in it.
     """
@@ -62,7 +82,7 @@ def choose_terms(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior
     spread = lambda s, n: (s * (1 - s) + 1 / n) / n
     z = np.abs(share_p - share_n) / np.sqrt(spread(share_p, len(positive)) + spread(share_n, len(unlabelled)))
     best = np.argsort(-z, kind="stable")[:VOCABULARY]
-    return np.sort(terms[best[z[best] >= CLEAR]])
+    return np.sort(terms[best])
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -94,8 +114,10 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 def _word_sets(batches):
     for batch in batches:
-        hashes, first = _words(batch.column("text"))
-        sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
+        text, tokens = _tokens(batch.column("text"))
+        tokens = tokens[np.argsort(text, kind="stable")]
+        first = np.r_[0, np.cumsum(np.bincount(text, minlength=batch.num_rows))]
+        sets = [_features(tokens[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
         yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(sets, pa.binary())], names=["positive", "words"])
 
 
@@ -136,23 +158,28 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, id_col:
 
 def score_texts(docs: DataFrame, members: list[tuple[np.ndarray, np.ndarray, float]], threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted): the members' mean probability for every whole text."""
-    model = docs.sparkSession.sparkContext.broadcast(members)  # at most MEMBERS x VOCABULARY numbers
+    terms = np.unique(np.concatenate([t for t, _, _ in members]))
+    weights = np.zeros((len(members), len(terms)))
+    for k, (t, w, _) in enumerate(members):
+        weights[k, np.searchsorted(terms, t)] = w
+    with np.errstate(over="ignore"):
+        tokens = np.unique(np.concatenate([terms - np.uint64(k) for k in range(LEVELS)]))
+    model = docs.sparkSession.sparkContext.broadcast((tokens, terms, weights, [b for _, _, b in members]))  # at most MEMBERS x VOCABULARY terms
 
     def run(batches):
+        tokens, terms, weights, bias = model.value
         for batch in batches:
-            hashes, first = _words(batch.column("text"))
-            n = len(first) - 1
-            row = np.repeat(np.arange(n), np.diff(first))
-            total = np.zeros(n)
-            for terms, weights, bias in model.value:
-                f = np.full(n, bias)
-                if len(terms) and len(hashes):
-                    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-                    hit = terms[at] == hashes
-                    pair = np.unique(row[hit] * len(terms) + at[hit])
-                    f += np.bincount(pair // len(terms), weights[pair % len(terms)], n)
-                total += 1 / (1 + np.exp(-np.clip(f, -500, 500)))
-            score = total / len(model.value)
+            n = batch.num_rows
+            row, at = _known(*_tokens(batch.column("text")), tokens)
+            pair, times = np.unique(row * max(len(tokens), 1) + at, return_counts=True)
+            f = np.tile(np.array(bias)[:, None], n)
+            for k in range(LEVELS if len(terms) else 0):
+                more = pair[times > k]
+                with np.errstate(over="ignore"):
+                    row, at = _known(more // len(tokens), tokens[more % len(tokens)] + np.uint64(k), terms)
+                f += [np.bincount(row, w[at], n) for w in weights]
+            total = (1 / (1 + np.exp(-np.clip(f, -500, 500)))).sum(0)
+            score = total / len(bias)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")

@@ -87,6 +87,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return out, first
 
 
+def prefix_hashes(data: np.ndarray, offsets: np.ndarray, widths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the first w bytes of every word longer than w bytes, for each w of `widths`, A-Z lower-cased."""
+    starts, ends, first = word_spans(data, offsets)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    table, whose, out = powers(max(widths)), [], []
+    for w in widths:
+        long = ends - starts > w
+        at, total = starts[long], np.zeros(int(long.sum()), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(w):
+                total += _FOLDED_WORDS[data[at + k]] * table[k]
+            out.append(mix(total + np.uint64(w << 32)))
+        whose.append(text[long])
+    return np.concatenate(whose), np.concatenate(out)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word shingles; a shorter text is one shingle, no words give none."""
     words, first = word_hashes(data, offsets)

@@ -36,6 +36,16 @@ def test_toxic_words_are_found_and_clean_documents_left_alone(tables):
     assert hits.where("predicted = 1").count() >= 0.95 * hits.count() > 0
 
 
+def test_toxic_documents_are_found_in_every_language(tables):
+    docs, labels = tables
+    rows = T.toxicity(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and toxic = 1").collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["lang"], []).append(r["predicted"])
+    print("held-out toxic documents found:", {k: (sum(v), len(v)) for k, v in found.items()})
+    assert set(found) == {"de", "en", "es", "fr"} and all(sum(v) >= 0.6 * len(v) for v in found.values())
+
+
 @pytest.mark.parametrize("score,column", [(T.toxicity, "toxic"), (Q.quality, "quality")])
 def test_edges(spark, score, column):
     rng = random.Random(3)
