@@ -36,13 +36,14 @@ def st2(t):
 
 @query("ST3_frozen_stream_scores")
 def st3(t):
-    """Score two seasons with a frozen model the way a landing batch does."""
+    """Score every landed season with a frozen model the way a landing batch does."""
     from shiftgrain.models.chance import ChanceModel
     from shiftgrain.operators.shots import chance_features
     from shiftgrain.sources.landing import write_season_table
 
     base = f"{checkpoint_dir(t.spark)}/landing/{uuid.uuid4().hex}"
     write_season_table(t.events, f"{base}/events")
-    model, _ = ChanceModel.fit(chance_features(t.events, t.bios), trees=3, depth=3, folds=2)
-    ST.score_seasons(f"{base}/events", f"{base}/xg", t.bios, model, [2022, 2024])
+    model, _ = ChanceModel.fit(chance_features(t.events, t.bios))
+    seasons = sorted(r[0] for r in t.spark.read.parquet(f"{base}/events").select("season").distinct().collect())
+    ST.score_seasons(f"{base}/events", f"{base}/xg", t.bios, model, seasons)
     return t.spark.read.parquet(f"{base}/xg").groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.sum("xg").alias("xg"))
