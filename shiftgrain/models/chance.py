@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -12,6 +12,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shiftgrain.session import checkpoint_dir, cut_lineage
+
 # The features of a chance, numeric then categorical, and the number of folds.
 NUMERIC = (
     "distance", "abs_angle", "x_adj", "abs_y", "time_since_last", "time_since_shot", "dist_from_last", "speed_from_last",
@@ -20,6 +22,8 @@ NUMERIC = (
 )
 CATEGORICAL = ("shot_type", "zone", "last_event_type")
 FOLDS = 5
+#: Size of the fit: most trees, their depth and rate, and how many trees may follow the best one on held-out games.
+TREES, DEPTH, STEP, PATIENCE = 4000, 6, 0.04, 50
 
 
 def piecewise(v, points: Sequence[tuple[float, float]]) -> Column:
@@ -42,16 +46,14 @@ def prepared(features: DataFrame) -> DataFrame:
     return features.withColumns({c: F.col(c).cast("double") for c in NUMERIC}).withColumns(flags).withColumn("label", F.col("goal").cast("double"))
 
 
-def pipeline(trees: int, depth: int, step: float, seed: int, early_stop: bool = True) -> Pipeline:
+def pipeline(trees: int, depth: int, step: float, seed: int) -> Pipeline:
     """Indexers, imputation, assembly and boosted trees; unseen categories go to a class of their own."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep", stringOrderType="alphabetAsc") for c in CATEGORICAL]
     imp = Imputer(inputCols=list(NUMERIC), outputCols=[f"{c}_f" for c in NUMERIC], strategy="median")
     cols = [f"{c}_f" for c in NUMERIC] + [f"{c}_missing" for c in ("time_since_last", "time_since_shot", "since_faceoff", "off_wing")] + [f"{c}_ix" for c in CATEGORICAL]
     asm = VectorAssembler(inputCols=cols, outputCol="features")
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, minInstancesPerNode=5,
-                        seed=seed, checkpointInterval=-1)
-    if early_stop:
-        gbt.setValidationIndicatorCol("valid")
+                        seed=seed, checkpointInterval=25)
     return Pipeline(stages=[*idx, imp, asm, gbt])
 
 
@@ -59,6 +61,20 @@ def raw_score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("raw", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def best_rounds(losses: Callable[[int], list[float]], most: int, patience: int = PATIENCE) -> int:
+    """The number of trees with the least held-out loss; `losses(n)` has those of 1 to n trees.
+
+    The number tried doubles until `patience` trees after the best one have not improved on it, or `most` is reached.
+    """
+    n = min(2 * patience, most)
+    while True:
+        found = losses(n)
+        best = min(range(len(found)), key=found.__getitem__) + 1
+        if n >= most or n - best >= patience:
+            return best
+        n = min(2 * n, most)
+
+
 class ChanceModel:
     """Out-of-fold boosted trees, an isotonic curve on their predictions, and the final frozen pair."""
 
@@ -66,23 +82,28 @@ class ChanceModel:
         self.trees, self.curve, self.rounds = trees, curve, rounds
 
     @classmethod
-    def fit(cls, features: DataFrame, trees: int = 60, depth: int = 5, step: float = 0.1, folds: int = FOLDS, seed: int = 7) -> tuple[ChanceModel, DataFrame]:
-        """Each fold is scored by a model that saw none of its games; early stopping watches that fold.
+    def fit(cls, features: DataFrame, trees: int = TREES, depth: int = DEPTH, step: float = STEP, folds: int = FOLDS, seed: int = 7) -> tuple[ChanceModel, DataFrame]:
+        """Each fold is scored by a model that saw none of its games, with the number of trees that is best on it.
 
         The final model uses the mean number of rounds. Returns the model and out-of-fold predictions.
         """
+        checkpoint_dir(features.sparkSession)  # trees are checkpointed as they grow
         data = prepared(with_fold(features, folds)).persist()
         try:
             oof, used = None, []
-            for k in range(folds):
-                m = pipeline(trees, depth, step, seed).fit(data.withColumn("valid", F.col("fold") == k))
-                used.append(m.stages[-1].getNumTrees)
-                part = raw_score(m, data.where(F.col("fold") == k)).select("game_id", "event_idx", "season", "goal", "raw")
+            for k in sorted(r["fold"] for r in data.select("fold").distinct().collect()):
+                rest, mine = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
+
+                def losses(n: int) -> list[float]:
+                    m = pipeline(n, depth, step, seed).fit(rest)
+                    return m.stages[-1].evaluateEachIteration(PipelineModel(m.stages[:-1]).transform(mine))
+
+                used.append(best_rounds(losses, trees))
+                m = pipeline(used[-1], depth, step, seed).fit(rest)
+                part = raw_score(m, mine).select("game_id", "event_idx", "season", "goal", "raw")
                 oof = part if oof is None else oof.unionByName(part)
             rounds = max(1, round(sum(used) / len(used)))
-            final = pipeline(rounds, depth, step, seed, early_stop=False).fit(data)
-            from shiftgrain.session import cut_lineage
-
+            final = pipeline(rounds, depth, step, seed).fit(data)
             oof = cut_lineage(oof)
         finally:
             data.unpersist()

@@ -29,8 +29,7 @@ def m1(t):
 
 
 def _fit(t):
-    """A small booster keeps the registered query short; size is a parameter of the fit."""
-    return ChanceModel.fit(X.chance_features(t.events, t.bios), trees=5, depth=3, folds=3)
+    return ChanceModel.fit(X.chance_features(t.events, t.bios))
 
 
 @query("M2_chance_oof")
@@ -59,7 +58,7 @@ def m5(t):
 def m5b(t):
     """Predicted chance over the offensive zone for every shot type, other features at their median."""
     feats = X.chance_features(t.events, t.bios)
-    model, _ = ChanceModel.fit(feats, trees=5, depth=3, folds=3)
+    model, _ = ChanceModel.fit(feats)
     med = feats.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5).alias(c) for c in NUMERIC])
     kinds = feats.select("shot_type").distinct()
     g = prediction_grid(kinds).crossJoin(F.broadcast(med))

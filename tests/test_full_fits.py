@@ -5,8 +5,9 @@ from types import SimpleNamespace
 import numpy as np
 
 from shiftgrain.models import blockfit as BF
+from shiftgrain.models import chance as CH
 from shiftgrain.models import gram as GM
-from shiftgrain.plans import q_models, q_rows, q_stream
+from shiftgrain.plans import q_chance, q_models, q_rows, q_stream
 from shiftgrain.sources.landing import write_season_table
 
 
@@ -68,3 +69,22 @@ def test_influence_of_dependent_free_columns():
     B = np.array([[4.0, 2.0, 2.0], [2.0, 2.0, 2.0], [2.0, 2.0, 2.0]])
     found = GM.Influence.of(B, B + np.diag([1.0, 0.0, 0.0]))
     assert np.isfinite(found.parameters) and np.isfinite(found.spread).all()
+
+
+def test_chance_fit_is_registered_at_full_size(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(q_chance.X, "chance_features", lambda e, b: None)
+    monkeypatch.setattr(q_chance.ChanceModel, "fit", lambda features, **kw: asked.update(kw))
+    q_chance._fit(SimpleNamespace(events=None, bios=None))
+    assert asked == {} and (CH.TREES, CH.DEPTH, CH.STEP, CH.FOLDS) == (4000, 6, 0.04, 5)
+
+
+def test_rounds_pass_a_bump_and_stop_after_patience():
+    tried = []
+
+    def losses(n):
+        tried.append(n)
+        return [abs(k - 130) + (5 if k % 7 == 0 else 0) for k in range(1, n + 1)]
+
+    assert CH.best_rounds(losses, 4000) == 130 and tried == [100, 200]
+    assert CH.best_rounds(lambda n: list(range(n, 0, -1)), 300) == 300
