@@ -9,8 +9,9 @@ of SPAN bytes are therefore all that has to be sorted, and only those that can r
    so equal windows have owners of equal hash at equal places. Blocks of documents send the distinct
    owner hashes they have with the number of documents; hashes of one document are forgotten.
 2. Blocks send the bytes around the owners that are left, each different context once, to buckets by
-   hash. A bucket puts the windows of its contexts in suffix order and marks those whose previous or
-   next smaller entry shares SPAN bytes. Bytes are compared, not hashes.
+   hash. A bucket sorts the windows of its contexts, groups equal ones and marks those of a later
+   document than the group's smallest. Bytes are compared, not hashes. This takes the place of
+   longest-previous-factor values and previous or next smaller positions, which are not computed.
 3. Marks go back to the blocks, become spans, and are cut out of the whole texts.
 
 Exact copies of an earlier document are recognised by digest and take no part in 1 and 2. A hash in
