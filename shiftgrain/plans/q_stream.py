@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from shiftgrain.models.chance import input_signature, saved_fit
+from shiftgrain.operators.shots import chance_features
 from shiftgrain.plans.catalog import query
 from shiftgrain.session import checkpoint_dir
+from shiftgrain.sources.landing import write_season_table
 from shiftgrain.streaming import incremental as ST
 
 C = F.col
@@ -34,16 +37,23 @@ def st2(t):
     return d.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "event_id")
 
 
-@query("ST3_frozen_stream_scores")
-def st3(t):
-    """Score every landed season with a frozen model the way a landing batch does."""
-    from shiftgrain.models.chance import ChanceModel
-    from shiftgrain.operators.shots import chance_features
-    from shiftgrain.sources.landing import write_season_table
-
+def _scored_landing(t):
+    """Land every season of events and score each with the saved model, the way a landing batch does."""
     base = f"{checkpoint_dir(t.spark)}/landing/{uuid.uuid4().hex}"
     write_season_table(t.events, f"{base}/events")
-    model, _ = ChanceModel.fit(chance_features(t.events, t.bios))
+    model, _ = saved_fit(chance_features(t.events, t.bios), input_signature(t.spark, [f"{t.folder}/events.parquet"]))
     seasons = sorted(r[0] for r in t.spark.read.parquet(f"{base}/events").select("season").distinct().collect())
     ST.score_seasons(f"{base}/events", f"{base}/xg", t.bios, model, seasons)
-    return t.spark.read.parquet(f"{base}/xg").groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.sum("xg").alias("xg"))
+    return t.spark.read.parquet(f"{base}/xg")
+
+
+@query("ST3_frozen_stream_scores")
+def st3(t):
+    return _scored_landing(t).groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.sum("xg").alias("xg"))
+
+
+@query("ST3_scored_shots", "SELECT e.season, count(*) AS n, true AS valid FROM ev e JOIN xg USING (game_id, event_idx) GROUP BY 1")
+def st3b(t):
+    """Each modelled shot of each landed season is scored once."""
+    s = _scored_landing(t).groupBy("season").agg(F.count_distinct("game_id", "event_idx").alias("n"), F.count(F.lit(1)).alias("m"), F.min("xg").alias("low"), F.max("xg").alias("high"))
+    return s.select("season", "n", ((C("n") == C("m")) & (C("low") >= 0) & (C("high") <= 1)).alias("valid"))

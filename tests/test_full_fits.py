@@ -12,24 +12,23 @@ from shiftgrain.sources.landing import write_season_table
 
 
 def test_stream_scores_every_landed_season(spark, monkeypatch):
-    """ST3 fits with default size and scores each season of the landed table."""
+    """ST3 takes the fit of default size and scores each season of the landed table."""
     events = spark.createDataFrame([(1, 2021), (2, 2022), (3, 2023), (4, 2024), (5, 2026)], "game_id long, season int")
     asked = {}
 
-    class Model:
-        @staticmethod
-        def fit(features, **kw):
-            asked["size"] = kw
-            return None, None
+    def fit(features, name, **kw):
+        asked["size"] = kw
+        return None, None
 
     def score(table, out, bios, model, seasons):
         asked["seasons"] = seasons
         write_season_table(spark.read.parquet(table).selectExpr("game_id", "season", "0.1D AS xg"), out)
 
-    monkeypatch.setattr("shiftgrain.models.chance.ChanceModel", Model)
-    monkeypatch.setattr("shiftgrain.operators.shots.chance_features", lambda e, b: e)
+    monkeypatch.setattr(q_stream, "saved_fit", fit)
+    monkeypatch.setattr(q_stream, "input_signature", lambda *a: "x")
+    monkeypatch.setattr(q_stream, "chance_features", lambda e, b: e)
     monkeypatch.setattr(q_stream.ST, "score_seasons", score)
-    got = {r["season"]: r["n"] for r in q_stream.st3(SimpleNamespace(spark=spark, events=events, bios=None)).collect()}
+    got = {r["season"]: r["n"] for r in q_stream.st3(SimpleNamespace(spark=spark, folder="", events=events, bios=None)).collect()}
     assert asked == {"size": {}, "seasons": [2021, 2022, 2023, 2024, 2026]} and got == dict.fromkeys(asked["seasons"], 1)
 
 
@@ -74,17 +73,7 @@ def test_influence_of_dependent_free_columns():
 def test_chance_fit_is_registered_at_full_size(monkeypatch):
     asked = {}
     monkeypatch.setattr(q_chance.X, "chance_features", lambda e, b: None)
-    monkeypatch.setattr(q_chance.ChanceModel, "fit", lambda features, **kw: asked.update(kw))
-    q_chance._fit(SimpleNamespace(events=None, bios=None))
-    assert asked == {} and (CH.TREES, CH.DEPTH, CH.STEP, CH.FOLDS) == (4000, 6, 0.04, 5)
-
-
-def test_rounds_pass_a_bump_and_stop_after_patience():
-    tried = []
-
-    def losses(n):
-        tried.append(n)
-        return [abs(k - 130) + (5 if k % 7 == 0 else 0) for k in range(1, n + 1)]
-
-    assert CH.best_rounds(losses, 4000) == 130 and tried == [100, 200]
-    assert CH.best_rounds(lambda n: list(range(n, 0, -1)), 300) == 300
+    monkeypatch.setattr(q_chance, "input_signature", lambda *a: "x")
+    monkeypatch.setattr(q_chance, "saved_fit", lambda features, name, **kw: asked.update(kw))
+    q_chance._fit(SimpleNamespace(spark=None, folder="", events=None, bios=None))
+    assert asked == {} and (CH.TREES, CH.DEPTH, CH.STEP, CH.FOLDS, CH.PATIENCE) == (4000, 6, 0.04, 5, 50)
