@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from shiftgrain.functions import scalars as S
 
-# Rink grid origin, cell size and number of cells along x and y.
-X_LO, Y_LO, CELL, N_X, N_Y = 25, -43, 3, 22, 29
+# The rink grid's origin, cell size and number of cells along x and y (to x = 100, y = 44.5), the
+# shots that an entity needs for a grid, and the blur's width in cells.
+X_LO, Y_LO, CELL, N_X, N_Y = 25.0, -42.5, 3.0, 25, 29
+SHOOTER_SHOTS, GOALIE_SHOTS, SIGMA = 25, 100, 1.1
 
 
 def shot_grid(shots: DataFrame, entity: str, min_shots: int) -> DataFrame:
@@ -30,19 +32,36 @@ def shot_grid(shots: DataFrame, entity: str, min_shots: int) -> DataFrame:
     return cells.join(big, "entity", "left_semi")
 
 
-def blur(cells: DataFrame, measures: list[str], sigma: float = 1.2) -> DataFrame:
-    """Separable Gaussian blur, zero-padded at the borders: one pass along x, one along y."""
+def blur(cells: DataFrame, measures: list[str], sigma: float = SIGMA) -> DataFrame:
+    """Separable Gaussian blur, zero-padded at the borders: along x, then along y; rows of cells that it reaches.
+
+    One shuffle by entity makes dense grids of N_X * N_Y numbers a measure, and both passes run inside them.
+    """
     r = max(1, round(3 * sigma))
     w = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1)]
-    taps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(v / sum(w)).alias("w")) for d, v in zip(range(-r, r + 1), w)])
+    taps = [(d, v / sum(w)) for d, v in zip(range(-r, r + 1), w)]
+    own = F.map_from_entries(F.collect_list(F.struct((F.col("iy") * N_X + F.col("ix")).alias("c"), F.struct(*[F.col(m).cast("double").alias(m) for m in measures]).alias("v"))))
+    grids = cells.groupBy("entity").agg(own.alias("own"))
+    every = F.sequence(F.lit(0), F.lit(N_X * N_Y - 1))
+
+    def dense(m: str) -> Column:
+        return F.transform(every, lambda c: F.coalesce(F.try_element_at("own", c)[m], F.lit(0.0)))
+
+    def smoothed(m: str, along_x: bool) -> Column:
+        step, n = (1, N_X) if along_x else (N_X, N_Y)
+
+        def cell(c: Column) -> Column:
+            at = c % N_X if along_x else F.floor(c / N_X)
+            return sum((F.when((at + d).between(0, n - 1), F.get(m, c + d * step) * v).otherwise(0.0) for d, v in taps), F.lit(0.0))
 
-    def spread(df: DataFrame, axis: str, n: int) -> DataFrame:
-        other = "iy" if axis == "ix" else "ix"
-        hit = df.select("entity", "ix", "iy", *measures, F.explode(taps).alias("t"))
-        hit = hit.withColumn(axis, F.col(axis) + F.col("t.d")).where(F.col(axis).between(0, n - 1))
-        return hit.groupBy("entity", axis, other).agg(*[F.sum(F.col(m) * F.col("t.w")).alias(m) for m in measures])
+        return F.transform(every, cell)
 
-    return spread(spread(cells, "ix", N_X), "iy", N_Y)
+    grids = grids.withColumns({m: dense(m) for m in measures})
+    for along_x in (True, False):
+        grids = grids.withColumns({m: smoothed(m, along_x) for m in measures})
+    long = grids.select("entity", F.posexplode(F.arrays_zip(*measures)).alias("c", "v"))
+    reached = long.where(" OR ".join(f"v.`{m}` <> 0" for m in measures))
+    return reached.select("entity", (F.col("c") % N_X).alias("ix"), F.floor(F.col("c") / N_X).cast("int").alias("iy"), *[F.col("v")[m].alias(m) for m in measures])
 
 
 def grid_rows(cells: DataFrame, measure: str) -> DataFrame:

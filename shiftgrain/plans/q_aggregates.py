@@ -333,23 +333,30 @@ def a27(t):
     return RT.team_index(t.shifts, t.headers)
 
 
-CTES["cells"] = """
-SELECT shooter_id AS entity, ix, iy, count(*) AS s, sum(goal)::BIGINT AS g, coalesce(sum(xg), 0) AS xg FROM (SELECT *, floor((abs(x) - 25) / 3.0)::BIGINT AS ix,
-  floor((y * CASE WHEN x >= 0 THEN 1 ELSE -1 END + 43) / 3.0)::BIGINT AS iy FROM scored) WHERE ix BETWEEN 0 AND 21 AND iy BETWEEN 0 AND 28 GROUP BY 1, 2, 3"""
+_CELLS = """
+SELECT entity, ix, iy, count(*) AS s, sum(goal)::BIGINT AS g, coalesce(sum(xg), 0) AS xg FROM (SELECT {who} AS entity, *, floor((abs(x) - 25) / 3.0)::BIGINT AS ix,
+  floor((y * CASE WHEN x >= 0 THEN 1 ELSE -1 END + 42.5) / 3.0)::BIGINT AS iy FROM {rows}) WHERE entity IS NOT NULL AND ix BETWEEN 0 AND 24 AND iy BETWEEN 0 AND 28 GROUP BY 1, 2, 3"""
+CTES["cells"] = _CELLS.format(who="shooter_id", rows="scored")
+CTES["goalie_cells"] = _CELLS.format(who="goalie_id", rows="onice")
 
 
-@query("A28_shot_grid", "SELECT entity, ix, iy, s, g, round(xg, 6) AS xg FROM cells WHERE entity IN (SELECT entity FROM cells GROUP BY 1 HAVING sum(s) >= 10)")
+@query("A28_shot_grid", "SELECT entity, ix, iy, s, g, round(xg, 6) AS xg FROM cells WHERE entity IN (SELECT entity FROM cells GROUP BY 1 HAVING sum(s) >= 25)")
 def a28(t):
-    return GR.shot_grid(t.scored_shots, "shooter_id", 10)
+    return GR.shot_grid(t.scored_shots, "shooter_id", GR.SHOOTER_SHOTS)
+
+
+@query("A28_goalie_grid", "SELECT entity, ix, iy, s, g, round(xg, 6) AS xg FROM goalie_cells WHERE entity IN (SELECT entity FROM goalie_cells GROUP BY 1 HAVING sum(s) >= 100)")
+def a28b(t):
+    return GR.shot_grid(t.shots_onice, "goalie_id", GR.GOALIE_SHOTS)
 
 
 @query("A29_blurred_grid", """SELECT entity, ix, iy, round(sum(v), 6) AS s FROM (
  SELECT entity, ix, iy + d AS iy, v * w AS v FROM (SELECT entity, ix + d AS ix, iy, s * w AS v FROM cells,
-  (SELECT d, exp(-0.5 * (d / 1.2) ** 2) / sum(exp(-0.5 * (d / 1.2) ** 2)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS d)) WHERE ix + d BETWEEN 0 AND 21
-   AND entity IN (SELECT entity FROM cells GROUP BY 1 HAVING sum(s) >= 10)),
-  (SELECT d, exp(-0.5 * (d / 1.2) ** 2) / sum(exp(-0.5 * (d / 1.2) ** 2)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS d))) WHERE iy BETWEEN 0 AND 28 GROUP BY 1, 2, 3""")
+  (SELECT d, exp(-0.5 * (d / 1.1) ** 2) / sum(exp(-0.5 * (d / 1.1) ** 2)) OVER () AS w FROM (SELECT unnest(range(-3, 4)) AS d)) WHERE ix + d BETWEEN 0 AND 24
+   AND entity IN (SELECT entity FROM cells GROUP BY 1 HAVING sum(s) >= 25)),
+  (SELECT d, exp(-0.5 * (d / 1.1) ** 2) / sum(exp(-0.5 * (d / 1.1) ** 2)) OVER () AS w FROM (SELECT unnest(range(-3, 4)) AS d))) WHERE iy BETWEEN 0 AND 28 GROUP BY 1, 2, 3""")
 def a29(t):
-    return GR.blur(GR.shot_grid(t.scored_shots, "shooter_id", 10), ["s"])
+    return GR.blur(GR.shot_grid(t.scored_shots, "shooter_id", GR.SHOOTER_SHOTS), ["s"])
 
 
 @query("A32_reliability", """SELECT bin, count(*) AS n, round(avg(xg), 6) AS mean_p, round(avg(goal), 6) AS rate FROM (SELECT *, least(floor(xg / 0.05), 19)::BIGINT AS bin FROM scored WHERE xg IS NOT NULL) GROUP BY 1""")

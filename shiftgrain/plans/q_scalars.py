@@ -217,11 +217,11 @@ def p25(t):
     return t.shots.select(*KEY, piecewise("distance", curve).alias("p"))
 
 
-@query("P26_bin_index", """SELECT game_id, event_idx, least(floor(xg / 0.05), 19)::BIGINT AS bin, CASE WHEN abs(x) >= 25 AND abs(x) < 91 THEN floor((abs(x) - 25) / 3.0)::BIGINT END AS ix
+@query("P26_bin_index", """SELECT game_id, event_idx, least(floor(xg / 0.05), 19)::BIGINT AS bin, CASE WHEN abs(x) >= 25 AND abs(x) < 100 THEN floor((abs(x) - 25) / 3.0)::BIGINT END AS ix
  FROM xg JOIN shots USING (game_id, event_idx)""")
 def p26(t):
     return t.xg.join(t.shots.select(*KEY, "x"), list(KEY)).select(
-        *KEY, F.least(F.floor(C("xg") / 0.05), F.lit(19)).alias("bin"), S.grid_cell(F.abs("x"), 25, 3, 22).alias("ix"))
+        *KEY, F.least(F.floor(C("xg") / 0.05), F.lit(19)).alias("bin"), S.grid_cell(F.abs("x"), 25, 3, 25).alias("ix"))
 
 
 VENUE_CASE = "CASE raw_venue WHEN 'Brand#1' THEN 'Brand#2' WHEN 'Brand#7' THEN 'Brand#8' WHEN 'Brand#13' THEN 'Brand#14' ELSE raw_venue END"
