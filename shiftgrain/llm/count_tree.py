@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 
-GROUPS = 128
+GROUPS = 512
 FANOUT = 16
 
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    return np.bincount((hashes & hashes.dtype.type(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
 class CountTree:

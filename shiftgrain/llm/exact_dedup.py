@@ -135,7 +135,7 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of `docs` that stay, with all their columns; rows equal in id and text leave one."""
     found = stage(exact_dedup(docs, id_col, text_col))
     key = [F.col(f"`{id_col}`").cast("long").alias("_id"), F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256).alias("_sha")]
-    tagged = docs.select(F.struct(*docs.columns).alias("_row"), *key)
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *key)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
     stay = tagged.join(gone, F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
     repeated = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from shiftgrain.llm.common import shuffle_partitions, stage, texts
 from shiftgrain.llm.components import components
-from shiftgrain.llm.count_tree import GROUPS, CountTree, count_vector, similar
+from shiftgrain.llm.count_tree import CountTree, count_vector, similar
 from shiftgrain.llm.perfect_hash import mix
 from shiftgrain.llm.words import shingle_sets, utf8
 
@@ -185,9 +185,10 @@ def block_plan(keys: DataFrame) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> DataFrame:
-    """Stage table (cid, n, hashes binary, counts binary) of the classes `wanted` (cid, doc).
+    """Stage table (cid, n, hashes binary, fine binary) of the classes `wanted` (cid, doc).
 
-    A repeated document repeats its class.
+    `fine` has the low 16 bits of every hash, sorted: two bytes a hash bound an overlap from above
+    almost as well as eight. A repeated document repeats its class.
     """
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = wanted.select("cid", F.col("doc").alias("_doc"))
@@ -197,23 +198,41 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> Dat
             sets, names = _sets(batch, width, seed)
             keep = pa.array([c == w for (c, _), w in zip(names, batch.column("cid").to_pylist())], pa.bool_())
             out = [batch.column("cid"), pa.array([len(s) for s in sets], pa.int64())]
-            out += [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_narrow(count_vector(s)) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=["cid", "n", "hashes", "counts"]).filter(keep)
+            out += [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([np.sort(s.astype(np.uint16)).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["cid", "n", "hashes", "fine"]).filter(keep)
 
     own = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return stage(own.select("text", "cid").mapInArrow(run, "cid long, n long, hashes binary, counts binary"))
-
-
-def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in one byte each where they fit, in four otherwise; the length tells."""
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
-
-
-def _points(rows: pd.DataFrame) -> np.ndarray:
-    out = np.empty((len(rows), GROUPS), np.int32)
-    for k, raw in enumerate(rows["counts"]):
-        out[k] = np.frombuffer(raw, np.uint8 if len(raw) == GROUPS else np.uint32)
-    return out
+    return stage(own.select("text", "cid").mapInArrow(run, "cid long, n long, hashes binary, fine binary"))
+
+
+class Fine:
+    """Upper bounds of the overlap of classes from the low 16 bits of their hashes."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.bits = [np.frombuffer(f, np.uint16) for f in rows["fine"]]
+        self.n = rows["n"].to_numpy(np.int64)
+        self.seen = np.zeros(1 << 16, np.int32)
+
+    @property
+    def points(self) -> np.ndarray:
+        return np.stack([count_vector(b) for b in self.bits])
+
+    def keep(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs whose bound allows the similarity, and their bounds."""
+        bound = np.zeros(len(i), np.int64)
+        by = np.argsort(i, kind="stable")
+        for own in np.split(by, np.flatnonzero(np.diff(i[by])) + 1) if len(i) else ():
+            left, times = np.unique(self.bits[i[own[0]]], return_counts=True)
+            self.seen[left] = times
+            for k in own.tolist():
+                right = self.bits[j[k]]
+                # A repeated value counts as often as it stands in both: its r-th copy needs r copies on the left.
+                first = np.flatnonzero(np.r_[True, right[1:] != right[:-1]])
+                copy = np.arange(len(right)) - np.repeat(first, np.diff(np.r_[first, len(right)]))
+                bound[k] = (self.seen[right] > copy).sum()
+            self.seen[left] = 0
+        fits = (NUM + DEN) * bound >= NUM * (self.n[i] + self.n[j])
+        return i[fits], j[fits], bound[fits]
 
 
 def _join_labels(labels: np.ndarray, x: int, y: int) -> None:
@@ -230,7 +249,7 @@ def _block_links(rows: pd.DataFrame) -> np.ndarray:
             for y in np.flatnonzero(labels != labels[x]).tolist():
                 if labels[x] != labels[y] and similar(sets[x], sets[y], NUM, DEN):
                     _join_labels(labels, x, y)
-        tree = CountTree(_points(rows), rows["n"].to_numpy(np.int64), NUM, DEN)
+        tree = CountTree(np.stack([count_vector(h) for h in sets]), rows["n"].to_numpy(np.int64), NUM, DEN)
         for i, j, _ in tree.candidates(labels):
             for x, y in zip(i.tolist(), j.tolist()):
                 if labels[x] != labels[y] and similar(sets[x], sets[y], NUM, DEN):
@@ -252,14 +271,14 @@ def block_links(sets: DataFrame, plan: DataFrame) -> DataFrame:
         links = links[links[:, 0] != links[:, 1]]
         return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
-    dealt = sets.join(F.broadcast(plan) if few else plan, "cid").select("bucket", "key", "part", "rank", "cid", "n", "hashes", "counts")
+    dealt = sets.join(F.broadcast(plan) if few else plan, "cid").select("bucket", "key", "part", "rank", "cid", "n", "hashes")
     return stage(dealt.groupBy("bucket").applyInPandas(run, "a long, b long"))
 
 
 def _family_pairs(members: DataFrame, buckets: int, best_only: bool) -> DataFrame:
     """(a, b): pairs of classes of one family and different groups whose count vectors allow the similarity.
 
-    `members` is (family, root, cid, n, counts). With `best_only`, each member outside the family's
+    `members` is (family, root, cid, n, fine). With `best_only`, each member outside the family's
     largest group proposes only its likeliest partner.
     """
 
@@ -271,7 +290,9 @@ def _family_pairs(members: DataFrame, buckets: int, best_only: bool) -> DataFram
             names, group = np.unique(root, return_inverse=True)
             inner = group == np.bincount(group).argmax()
             best, partner = np.full(len(cids), -1), np.zeros(len(cids), np.int64)
-            for i, j, overlap in CountTree(_points(block), block["n"].to_numpy(np.int64), NUM, DEN).candidates(root):
+            fine = Fine(block)
+            for i, j, _ in CountTree(fine.points, fine.n, NUM, DEN).candidates(root):
+                i, j, overlap = fine.keep(i, j)
                 if not best_only:
                     out.append(np.stack([cids[i], cids[j]], axis=1))
                     continue
@@ -286,14 +307,14 @@ def _family_pairs(members: DataFrame, buckets: int, best_only: bool) -> DataFram
         links = np.sort(np.concatenate(out), axis=1)
         return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
-    dealt = members.withColumn("bucket", F.pmod(F.xxhash64("family"), F.lit(buckets))).select("bucket", "family", "root", "cid", "n", "counts")
+    dealt = members.withColumn("bucket", F.pmod(F.xxhash64("family"), F.lit(buckets))).select("bucket", "family", "root", "cid", "n", "fine")
     return dealt.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
 
 
 def _candidates(members: DataFrame, buckets: int) -> DataFrame:
     """(a, b): class pairs of one token whose roots differ and whose count vectors allow the similarity.
 
-    `members` is (token, size, cid, root, n, counts), `size` the token's number of classes. Tokens of
+    `members` is (token, size, cid, root, n, fine), `size` the token's number of classes. Tokens of
     more than MEMBERS classes are cut into parts, and each pair of parts is a block.
     """
     cuts = F.ceil(F.col("size") / MEMBERS).cast("int")
@@ -309,17 +330,18 @@ def _candidates(members: DataFrame, buckets: int) -> DataFrame:
                 continue
             cids = block["cid"].to_numpy(np.int64)
             part = block["part"].to_numpy()
-            tree = CountTree(_points(block), block["n"].to_numpy(np.int64), NUM, DEN)
-            for i, j, _ in tree.candidates(block["root"].to_numpy(np.int64)):
+            fine = Fine(block)
+            for i, j, _ in CountTree(fine.points, fine.n, NUM, DEN).candidates(block["root"].to_numpy(np.int64)):
                 if low != high:  # pairs inside a part belong to the part's own block
                     across = part[i] != part[j]
                     i, j = i[across], j[across]
+                i, j, _ = fine.keep(i, j)
                 a.append(np.minimum(cids[i], cids[j]))
                 b.append(np.maximum(cids[i], cids[j]))
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return cut.select("bucket", "token", "low", "high", "part", "cid", "root", "n", "counts").groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
+    return cut.select("bucket", "token", "low", "high", "part", "cid", "root", "n", "fine").groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -358,9 +380,8 @@ def class_roots(docs: DataFrame, rows: DataFrame, width: int, seed: int) -> Data
     links = block_links(sets, block_plan(keys))
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hint = F.broadcast if few else (lambda df: df)
+    roots = stage(_relabelled(keys.select("cid", F.col("cid").alias("root")), components(links)))
     for best_only in (True, False):
-        labels = _labels(links)
-        roots = stage(keys.select("cid").join(labels, "cid", "left").select("cid", F.coalesce("label", "cid").alias("root")))
         rooted = shared.join(hint(roots), "cid")
         met = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         opened = stage(rooted.join(met.select("token", "low"), "token"))  # hashes at which different groups meet
@@ -369,7 +390,7 @@ def class_roots(docs: DataFrame, rows: DataFrame, width: int, seed: int) -> Data
         # A family: groups that such hashes connect. Every pair of them that can link is inside one.
         families = components(opened.select(F.col("root").alias("a"), F.col("low").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("label").alias("family"))
         asked = opened.select("cid", "root").distinct().join(families, "root")
-        vectors = sets.select("cid", "n", "counts")
+        vectors = sets.select("cid", "n", "fine")
         entries = opened.groupBy("root").agg(F.count(F.lit(1)).alias("entries")).join(families, "root").groupBy("family").agg(F.sum("entries").alias("entries"))
         sizes = stage(asked.groupBy("family").agg(F.count(F.lit(1)).alias("size")).join(entries, "family"))
         named = asked.join(sizes, "family").join(vectors, "cid")
@@ -385,14 +406,16 @@ def class_roots(docs: DataFrame, rows: DataFrame, width: int, seed: int) -> Data
                 size = many.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
                 proposed = proposed.union(_candidates(many.join(size, "token").join(vectors, "cid"), buckets))
             proposed = proposed.distinct()
-        proposed = stage(proposed)
-        if not proposed.isEmpty():
-            links = stage(links.union(_verified(proposed, sets)))
-    return _labels(links)
+        found = stage(_verified(stage(proposed), sets))
+        if not found.isEmpty():
+            ends = found.join(hint(roots.select(F.col("cid").alias("a"), F.col("root").alias("x"))), "a").join(hint(roots.select(F.col("cid").alias("b"), F.col("root").alias("y"))), "b")
+            roots = stage(_relabelled(roots, components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())))
+    return roots.select("cid", F.col("root").alias("label"))
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return components(links).select(F.col("node").alias("cid"), "label")
+def _relabelled(roots: DataFrame, labels: DataFrame) -> DataFrame:
+    """`roots` (cid, root) with each root replaced by its label (node, label), where it has one."""
+    return roots.join(labels, F.col("root") == F.col("node"), "left").select("cid", F.coalesce("label", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,6 +454,6 @@ def one_of_each_group(docs: DataFrame, width: int = 5, id_col: str = "doc_id", t
     gone = stage(near_duplicates(docs, width, id_col, text_col).where(~F.col("stays")).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct())
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     key = [F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("_key")]
-    tagged = docs.select(F.struct(*docs.columns).alias("_row"), *key)
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *key)
     same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_gone_key"))
     return tagged.join(F.broadcast(gone) if few else gone, same, "left_anti").select("_row.*")

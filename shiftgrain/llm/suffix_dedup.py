@@ -376,7 +376,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("place", F.coalesce("doc_id", F.lit(LAST))).withColumn("digest", F.unhex(F.sha2("text", 256)))
     return rows.withColumn("key", F.xxhash64("place", "digest"))
 
