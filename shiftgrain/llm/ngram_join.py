@@ -293,6 +293,8 @@ def _family_pairs(members: DataFrame, buckets: int, best_only: bool) -> DataFram
             fine = Fine(block)
             for i, j, _ in CountTree(fine.points, fine.n, NUM, DEN).candidates(root):
                 i, j, overlap = fine.keep(i, j)
+                if not len(i):
+                    continue
                 if not best_only:
                     out.append(np.stack([cids[i], cids[j]], axis=1))
                     continue

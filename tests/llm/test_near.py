@@ -120,3 +120,30 @@ def test_word_and_shingle_hashes_follow_the_definition():
             assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
     assert [len(s) for s in shingle_sets(data, offsets)] == [len(shingles_of(t)) for t in texts]
+
+
+def test_fine_bounds_are_multiset_overlaps_and_lose_nothing():
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, 400).astype(np.uint64) >> np.uint64(rng.integers(0, 50))) for _ in range(12)]
+    sets += [np.unique(np.r_[sets[k][: 9 * len(sets[k]) // 10], rng.integers(0, 2**63, 3).astype(np.uint64)]) for k in range(12)]
+    rows = pd.DataFrame({"n": [len(s) for s in sets], "fine": [np.sort(s.astype(np.uint16)).tobytes() for s in sets]})
+    fine = J.Fine(rows)
+    i, j = (x.astype(np.int64) for x in np.triu_indices(len(sets), 1))
+    a, b, bound = fine.keep(i, j)
+    kept = dict(zip(zip(a.tolist(), b.tolist()), bound.tolist()))
+    for x, y in zip(i.tolist(), j.tolist()):
+        values = np.unique(np.r_[fine.bits[x], fine.bits[y]])
+        overlap = sum(min(int((fine.bits[x] == v).sum()), int((fine.bits[y] == v).sum())) for v in values)
+        assert kept.get((x, y), overlap) == overlap
+        assert (x, y) in kept or 9 * overlap < 4 * (len(sets[x]) + len(sets[y]))
+        assert (x, y) in kept or not similar(sets[x], sets[y])
+    assert len(kept) < len(i) and not fine.seen.any()
+    assert all(len(x) == 0 for x in fine.keep(i[:0], j[:0]))
+
+
+def test_names_with_dots_and_clashes_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (3, None, 5, 6)], "doc_id long, text string, `a.b` int, _row int")
+    kept = J.one_of_each_group(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d e f", 1, 2), (3, None, 5, 6)]
