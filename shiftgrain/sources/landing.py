@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,22 +31,23 @@ _DETAILS = T.StructType(
     + [T.StructField(n, _INT, True) for n in ("xCoord", "yCoord")]
     + [T.StructField(n, _TXT, True) for n in ("zoneCode", "shotType", "descKey")]
 )
-_PLAY = _struct(
+PLAY = _struct(
     eventId=_ID, sortOrder=_ID, typeDescKey=_TXT, timeInPeriod=_TXT, situationCode=_TXT, homeTeamDefendingSide=_TXT,
     periodDescriptor=_struct(number=_INT, periodType=_TXT), details=_DETAILS,
 )
-_SPOT = _struct(playerId=_ID, teamId=_ID, firstName=_NAME, lastName=_NAME, positionCode=_TXT, sweaterNumber=_INT)
+SPOT = _struct(playerId=_ID, teamId=_ID, firstName=_NAME, lastName=_NAME, positionCode=_TXT, sweaterNumber=_INT)
 GAME_SCHEMA = _struct(
     id=_ID, gameDate=_TXT, gameType=_INT, homeTeam=_TEAM, awayTeam=_TEAM, venue=_NAME,
-    plays=T.ArrayType(_PLAY), rosterSpots=T.ArrayType(_SPOT),
+    plays=T.ArrayType(PLAY), rosterSpots=T.ArrayType(SPOT),
 )
-SHIFT_SCHEMA = _struct(data=T.ArrayType(_struct(
+SHIFT = _struct(
     gameId=_ID, playerId=_ID, firstName=_TXT, lastName=_TXT, teamAbbrev=_TXT, teamId=_ID, period=_INT,
     startTime=_TXT, endTime=_TXT, duration=_TXT,
-)))
-PLAYER_SCHEMA = _struct(
+)
+SHIFT_SCHEMA = _struct(data=T.ArrayType(SHIFT))
+PLAYER = _struct(
     playerId=_ID, firstName=_NAME, lastName=_NAME, birthDate=_TXT, shootsCatches=_TXT, heightInInches=_INT,
-    weightInPounds=_INT, draftDetails=_struct(year=_INT, overallPick=_INT), _corrupt=_TXT,
+    weightInPounds=_INT, draftDetails=_struct(year=_INT, overallPick=_INT),
 )
 
 
@@ -61,7 +62,11 @@ def _abbrev(team_id):
 
 def game_events(games: DataFrame, *extra: Column) -> DataFrame:
     """One row per play with its owner, place and role ids; plays without a clock are dropped."""
-    p = games.select("id", "homeTeam", "awayTeam", F.explode("plays").alias("p"))
+    return play_rows(games.select("id", "homeTeam", "awayTeam", F.explode("plays").alias("p")), *extra)
+
+
+def play_rows(p: DataFrame, *extra: Column) -> DataFrame:
+    """Event rows of (id, homeTeam, awayTeam, p), a play a row."""
     p = p.where("p.periodDescriptor.number is not null and p.timeInPeriod <> ''")
     d = "p.details."
     return p.select(
@@ -107,7 +112,11 @@ def game_header_rows(games: DataFrame) -> DataFrame:
 
 def read_shifts(spark: SparkSession, path: str) -> DataFrame:
     """Shift chart files to interval rows; rows without a clock or with no length are dropped."""
-    s = spark.read.schema(SHIFT_SCHEMA).json(path, multiLine=True).select(F.explode("data").alias("d")).select("d.*")
+    return shift_entries(spark.read.schema(SHIFT_SCHEMA).json(path, multiLine=True).select(F.explode("data").alias("d")).select("d.*"))
+
+
+def shift_entries(s: DataFrame) -> DataFrame:
+    """Interval rows of shift chart entries."""
     s = s.where("duration <> '' and startTime <> '' and endTime <> ''")
     return s.select(
         F.col("gameId").alias("game_id"), S.season_of_id("gameId").cast("long").alias("season"), F.col("playerId").alias("player_id"),
@@ -116,50 +125,17 @@ def read_shifts(spark: SparkSession, path: str) -> DataFrame:
     ).where("end_g > start_g")
 
 
-def read_players(spark: SparkSession, path: str) -> DataFrame:
-    """Player files to one bio row each; unreadable files are skipped, of a repeated player the file last by path counts."""
-    p = spark.read.schema(PLAYER_SCHEMA).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
-    p = p.where("_corrupt is null and playerId is not null")
+def first_bios(p: DataFrame, order: Column) -> DataFrame:
+    """One bio row a player, the first by `order`."""
     bios = p.select(
         F.col("playerId").alias("player_id"), S.full_name("firstName.default", "lastName.default").alias("name"),
         F.col("birthDate").try_cast("date").alias("birthdate"), F.when(F.col("shootsCatches").isin("L", "R"), F.col("shootsCatches")).alias("hand"),
         F.col("heightInInches").alias("height_in"), F.col("weightInPounds").alias("weight_lb"),
-        F.col("draftDetails.year").alias("draft_year"), F.col("draftDetails.overallPick").alias("draft_overall"), F.col("_metadata.file_path").alias("_file"),
+        F.col("draftDetails.year").alias("draft_year"), F.col("draftDetails.overallPick").alias("draft_overall"), order.alias("_order"),
     )
-    rest = [c for c in bios.columns if c not in ("player_id", "_file")]
-    last = bios.groupBy("player_id").agg(F.max_by(F.struct(*rest), "_file").alias("bio"))
-    return last.select("player_id", "bio.*")
-
-
-# --- tabular time-on-ice reports ----------------------------------------------------------------
-
-# Fixed value: a report cell; group 1 is its class list, group 2 its text.
-CELL = r'<td[^>]*class="([^"]*)"[^>]*>([^<]*)</td>'
-
-
-def report_shifts(pages: DataFrame, roster: DataFrame) -> DataFrame:
-    """HTML time-on-ice reports to shift rows.
-
-    A header cell ("12 SURNAME, NAME") opens a player; the cells after it come in groups of five
-    (shift, period, start, end, length). `pages` carries (game_id, team, season, html) and one page
-    is one team's report, so the windows below read the cells of one page.
-    """
-    classes = F.regexp_extract_all("html", F.lit(CELL), F.lit(1))
-    texts = F.regexp_extract_all("html", F.lit(CELL), F.lit(2))
-    c = pages.select("game_id", "team", "season", F.posexplode(F.arrays_zip(classes.alias("k"), texts.alias("v"))).alias("pos", "c"))
-    c = c.select("game_id", "team", "season", "pos", F.col("c.k").contains("playerHeading").alias("head"), F.trim("c.v").alias("v"))
-    page = Window.partitionBy("game_id", "team").orderBy("pos")
-    c = c.withColumn("block", F.count_if("head").over(page)).where("block > 0")
-    c = c.withColumn("number", F.first(F.when(F.col("head"), F.regexp_extract("v", r"^(\d+)", 1).try_cast("int"))).over(Window.partitionBy("game_id", "team", "block").orderBy("pos")))
-    c = c.withColumn("i", F.row_number().over(Window.partitionBy("game_id", "team", "block").orderBy("pos")) - 2).where("i >= 0")
-    g = c.groupBy("game_id", "team", "season", "number", "block", F.floor(F.col("i") / 5).alias("row"))
-    cell = lambda k: F.max(F.when(F.col("i") % 5 == k, F.col("v")))
-    rows = g.agg(cell(1).alias("p"), cell(2).alias("s"), cell(3).alias("e"))
-    start, end = (F.trim(F.element_at(F.split(x, "/"), 1)) for x in ("s", "e"))
-    period = F.when(F.col("p") == "OT", 4).otherwise(F.col("p").try_cast("int"))
-    rows = rows.select("game_id", "team", "season", "number", period.alias("period"), S.game_seconds(period, start).alias("start_g"), S.game_seconds(period, end).alias("end_g"))
-    rows = rows.where("end_g > start_g")
-    return rows.join(roster.select("season", "team", "number", "player_id"), ["season", "team", "number"]).drop("number")
+    rest = [c for c in bios.columns if c not in ("player_id", "_order")]
+    first = bios.groupBy("player_id").agg(F.min_by(F.struct(*rest), "_order").alias("bio"))
+    return first.select("player_id", "bio.*")
 
 
 def count_cells(pages: DataFrame, key: str, html: str, cell: str, header: str) -> DataFrame:
@@ -207,8 +183,12 @@ def full_seasons(df: DataFrame, min_games: int = 200) -> DataFrame:
 
 
 def write_season_table(df: DataFrame, path: str) -> None:
-    """Replace exactly the seasons present in `df`; a rerun leaves the table unchanged."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(path)
+    """Replace exactly the seasons present in `df`; a rerun leaves the table unchanged.
+
+    Rows are rebalanced by season first: a season becomes files of the advisory size, however many
+    tasks made its rows, and a big season is split instead of written by one task.
+    """
+    df.hint("rebalance", F.col("season")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(path)
 
 
 def replace_seasons(old: DataFrame, new: DataFrame) -> DataFrame:

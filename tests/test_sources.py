@@ -28,22 +28,6 @@ def test_game_json(spark, tmp_path):
     assert (r.player_id, r.season, r.player_name, r.team) == (10, 2024, "Al Ox", "AAA")
 
 
-def test_players_skip_broken_file(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"playerId": 7, "firstName": {"default": "A"}, "birthDate": "1999-01-02", "shootsCatches": "L"}))
-    (tmp_path / "b.json").write_text("{broken")
-    rows = L.read_players(spark, str(tmp_path)).collect()
-    assert [(r.player_id, str(r.birthdate), r.hand) for r in rows] == [(7, "1999-01-02", "L")]
-
-
-def test_report_cells_to_shifts(spark):
-    td = lambda c, v: f'<td class="{c}">{v}</td>'
-    html = "<table>" + td("playerHeading", "9 OX, AL") + "".join(td("x", v) for v in ("1", "1", "00:10 / 19:50", "00:55 / 19:05", "00:45", "2", "OT", "00:00 / 5:00", "00:30 / 4:30", "00:30")) + "</table>"
-    pages = spark.createDataFrame([(1, "AAA", 2024, html)], "game_id long, team string, season long, html string")
-    roster = spark.createDataFrame([(2024, "AAA", 9, 10)], "season long, team string, number int, player_id long")
-    got = sorted((r.player_id, r.period, r.start_g, r.end_g) for r in L.report_shifts(pages, roster).collect())
-    assert got == [(10, 1, 10, 55), (10, 4, 3600, 3630)]
-
-
 def test_season_overwrite_is_idempotent_and_partial(spark, tmp_path):
     p = str(tmp_path / "t")
     L.write_season_table(spark.createDataFrame([(1, 2023), (2, 2024)], "v int, season int"), p)
@@ -52,6 +36,12 @@ def test_season_overwrite_is_idempotent_and_partial(spark, tmp_path):
     assert sorted((r.v, r.season) for r in spark.read.parquet(p).collect()) == [(9, 2024), (1, 2023)] or sorted(r.v for r in spark.read.parquet(p).collect()) == [1, 9]
 
 
+def test_season_files_do_not_grow_with_tasks(spark, tmp_path):
+    L.write_season_table(spark.range(4000).repartition(40).selectExpr("id", "CAST(2020 + id % 4 AS int) AS season"), str(tmp_path / "t"))
+    files = list((tmp_path / "t").glob("season=*/*.parquet"))
+    assert len(files) <= 8 and spark.read.parquet(str(tmp_path / "t")).count() == 4000
+
+
 def test_read_or_build_reuses_fresh_table(spark, tmp_path):
     src, out, calls = tmp_path / "in", str(tmp_path / "out"), []
     spark.range(3).write.parquet(str(src))
