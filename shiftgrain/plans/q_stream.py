@@ -16,18 +16,37 @@ from shiftgrain.streaming import incremental as ST
 C = F.col
 
 
-def _season(ts: str = "ts"):
-    return (2021 + F.floor((F.dayofyear(ts) - 1) / 8)).cast("int")
+_DELIVERED = """SELECT season, game_id, event_id, event_type, CASE WHEN game_id % 3 = 0 THEN 3 ELSE 2 END AS version, CASE WHEN game_id % 3 = 0 THEN 2 * value ELSE value END AS value
+ FROM feed WHERE NOT (game_id % 3 = 0 AND event_id % 10 = 7)"""
 
 
-@query("ST1_incremental_landing", "SELECT CAST(2021 + (dayofyear(ts) - 1) // 8 AS BIGINT) AS season, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
-def st1(t):
-    """Drain the event file as a stream into a season table through per-batch upserts, then read it."""
+def _landed(t):
+    """Three deliveries of every game drained as a stream into a season table.
+
+    Version 2 of all games comes first; then, late, version 1 with other values; then version 3 of
+    every third game, doubled and without some of its events.
+    """
     base = f"{checkpoint_dir(t.spark)}/landing/{uuid.uuid4().hex}"
-    s = ST.feed_stream(t.spark, t.folder).select("*", _season().alias("season"), C("event_id").alias("game_id"), F.lit(1).alias("version"))
-    ST.start_landing(s, f"{base}/table", f"{base}/progress").awaitTermination()
-    got = t.spark.read.parquet(f"{base}/table")
-    return got.groupBy("season", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    rows = t.feed.select("season", "game_id", "event_id", "event_type", "value")
+    third = rows.where("game_id % 3 = 0 AND event_id % 10 <> 7").withColumn("value", C("value") * 2)
+    for version, part in ((2, rows), (1, rows.withColumn("value", C("value") + 1000)), (3, third)):
+        part.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(f"{base}/inbox")
+    schema = t.spark.read.parquet(f"{base}/inbox").schema
+    files = max(1, len(t.spark.read.parquet(f"{base}/inbox").inputFiles()) // 6)
+    ST.start_landing(ST.delivery_stream(t.spark, f"{base}/inbox", schema, files), f"{base}/table", f"{base}/progress").awaitTermination()
+    return t.spark.read.parquet(f"{base}/table")
+
+
+@query("ST1_incremental_landing", f"SELECT season, event_type, count(*) AS n, round(sum(value), 4) AS value FROM ({_DELIVERED}) GROUP BY 1, 2")
+def st1(t):
+    """What has landed after all deliveries, by season and type."""
+    return _landed(t).groupBy("season", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+
+
+@query("ST2_late_games", f"SELECT game_id, version, count(*) AS n, round(sum(value), 4) AS value FROM ({_DELIVERED}) GROUP BY 1, 2")
+def st2b(t):
+    """Only the newest version of every game remains, although the oldest arrives after it."""
+    return _landed(t).groupBy("game_id", "version").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
 @query("ST2_latest_version", "SELECT user_id, event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ts, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1, 2")

@@ -1,24 +1,63 @@
 """Incremental landing: new or repaired games arrive as files, touched seasons are rewritten.
 
-A game is replaced as a whole, so there is no windowed state and no watermark: a late file is an
-upsert by key, decided by version. Every batch is idempotent, so a replay after a failure gives the
-same table.
+A game is replaced as a whole, and which version counts is decided by state, not by arrival: a keyed
+state holds the newest version seen of every (game, part), so a late delivery of an older version is
+dropped in the stream, whenever it comes. There is no watermark, as a repair may come years later. A
+game is dealt to PARTS keys by row, so one busy game is no single task; a part that has not seen the
+newest version yet is settled by the upsert, which compares versions of whole games. Every batch is
+idempotent, so a replay after a failure gives the same table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from shiftgrain.models.chance import ChanceModel
 from shiftgrain.operators.shots import chance_features
 from shiftgrain.session import cut_lineage
 from shiftgrain.sources import landing as L
 
+#: Keys that the rows of one game are dealt to.
+PARTS = 64
+
+
+class NewestVersion(StatefulProcessor):
+    """Passes on the rows of a key whose version is not older than the newest that the key has seen."""
+
+    def __init__(self, version: str, names: list[str]):
+        self.version, self.names = version, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "version long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = self.held.get()[0] if self.held.exists() else None
+        newest = before
+        for frame in rows:
+            top = int(frame[self.version].max())
+            newest = top if newest is None else max(newest, top)
+            yield frame.loc[frame[self.version] >= newest, self.names]
+        if newest is not None and newest != before:
+            self.held.update((newest,))
+
+    def close(self) -> None:
+        pass
+
+
+def newest_in_stream(stream: DataFrame, game: str, version: str) -> DataFrame:
+    """The stream without rows of a version older than one that its game's part has already brought. Null versions count as -1."""
+    rows = stream.withColumn(version, F.coalesce(F.col(version).cast("long"), F.lit(-1).cast("long")))
+    names = rows.columns
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(PARTS)))
+    return dealt.groupBy(game, "_part").transformWithStateInPandas(NewestVersion(version, names), rows.schema, "Append", "None")
+
 
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The newest version of each key; the whole row breaks ties so a replay picks the same one.
@@ -56,23 +95,21 @@ def upsert_games(batch: DataFrame, path: str, game: str = "game_id", version: st
     if not seasons:
         return []
     old = _stored(spark, path)
-    merged = new
-    if old is not None:
-        both = old.where(F.col("season").isin(*seasons)).unionByName(new, allowMissingColumns=True)
-        merged = newest_games(both, game, version).dropDuplicates()
-    L.write_season_table(cut_lineage(merged), path)
+    both = new if old is None else old.where(F.col("season").isin(*seasons)).unionByName(new, allowMissingColumns=True)
+    L.write_season_table(cut_lineage(newest_games(both, game, version).dropDuplicates()), path)
     return seasons
 
 
 def start_landing(stream: DataFrame, table: str, checkpoint: str, after: Callable[[list[int]], None] | None = None, game: str = "game_id", version: str = "version"):
-    """Drain what has arrived, upsert it, then call `after` with the touched seasons."""
+    """Drain what has arrived, drop late deliveries of older versions, upsert the rest, then call `after` with the touched seasons."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
     def step(batch: DataFrame, _: int) -> None:
         seasons = upsert_games(batch, table, game, version)
         if seasons and after is not None:
             after(seasons)
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return newest_in_stream(stream, game, version).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def game_file_stream(spark: SparkSession, inbox: str) -> DataFrame:
@@ -96,7 +133,6 @@ def score_seasons(events_table: str, xg_table: str, hands: DataFrame, model: Cha
     L.write_season_table(xg, xg_table)
 
 
-def feed_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The supplied event table as a file stream."""
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    return spark.readStream.schema(T.StructType(schema.fields)).option("pathGlobFilter", "events.parquet").parquet(folder)
+def delivery_stream(spark: SparkSession, inbox: str, schema: T.StructType, files: int = 1) -> DataFrame:
+    """Delivered tables of one schema as a stream, at most `files` files a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(inbox)
