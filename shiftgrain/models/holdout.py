@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,38 +75,69 @@ def calibration_slope(rows: DataFrame, tol: float = 1e-9) -> float:
             return low + (high - low) * at[k] / (at[k] - at[k + 1])
 
 
-def poisson_weight(key: Column) -> Column:
-    """A Poisson(1) bootstrap count from a hash: the inverse of the distribution function."""
-    u = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / float(1 << 40)
-    out, cum, p = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        cum += p
-        out = F.when(u >= cum, k).otherwise(out)
-        p /= k
-    return out
+#: Correlation with the target that a candidate needs by itself to pass the gate (fixed value).
+OWN = 0.15
+#: Modulus and factors of the resampling hash; every product fits into a long, in any engine.
+PRIME, BY_ID, BY_DRAW, SHIFT, TWIST = 2147483647, 48271, 69621, 12345, 39373
+#: Chances of at most 0, 1, 2, ... of a Poisson count of mean 1, to the last place of a double.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+
+
+def resample_weights(ids: np.ndarray, draws: int) -> np.ndarray:
+    """Poisson(1) counts (id, draw), by inversion of a hash that any engine can compute."""
+    draw = np.arange(draws, dtype=np.int64)
+    h = (ids.astype(np.int64)[:, None] % PRIME * BY_ID + draw[None, :] * BY_DRAW + SHIFT) % PRIME
+    for _ in range(2):
+        h = (h * h + h * TWIST + draw[None, :]) % PRIME
+    return np.searchsorted(POISSON, h / PRIME, "right")
+
+
+def resampled_moments(players: DataFrame, a: str, b: str, actual: str, weight: str, draws: int) -> DataFrame:
+    """(draw, nine weighted moments): every task adds up all draws of its players and sends one row a draw.
+
+    Players weigh `weight` times a Poisson(1) count of their own in each draw. Rows with a null in any
+    of the columns take no part.
+    """
+    names = ["s", "sa", "sb", "sy", "saa", "sbb", "syy", "say", "sby"]
+
+    def run(batches):
+        total = np.zeros((draws, len(names)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                x, z, y, w = (part.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "y", "w"))
+                one = np.ones(len(x))
+                moments = np.stack([one, x, z, y, x * x, z * z, y * y, x * y, z * y], axis=1) * w[:, None]
+                total += resample_weights(part.column("player_id").to_numpy(), draws).T.astype(float) @ moments
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), *(pa.array(np.ascontiguousarray(c)) for c in total.T)], ["draw", *names])
+
+    rows = players.select("player_id", *[F.col(c).cast("double").alias(n) for c, n in ((a, "a"), (b, "b"), (actual, "y"), (weight, "w"))]).dropna()
+    partial = rows.mapInArrow(run, "draw long, " + ", ".join(f"{n} double" for n in names))
+    return partial.groupBy("draw").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def paired_bootstrap(players: DataFrame, a: str, b: str, actual: str, weight: str, draws: int = 2000) -> DataFrame:
-    """Share of resamples in which candidate `a` correlates better with the target than `b`.
+    """One row: how often candidate `a` correlates better with the target than `b`, its gain with a 90 % interval, the verdict.
 
-    The player table is small (one row per player); every draw weighs it by hashed Poisson counts, so
-    the whole bootstrap is one grouped aggregate of (draw) moments.
+    It passes when the gain's lower end is above zero, it wins in 95 % of the draws, and its own
+    correlation with the target over all players exceeds OWN. Draws without a correlation do not count.
     """
-    seq = F.sequence(F.lit(0), F.lit(draws - 1))
-    x = players.select("player_id", F.col(a).alias("a"), F.col(b).alias("b"), F.col(actual).alias("y"), F.col(weight).alias("w0"), F.explode(seq).alias("draw"))
-    w = F.col("w0") * poisson_weight(F.struct("player_id", "draw"))
-    m = lambda e: F.sum(F.col("w") * e)
     c = F.col
-    g = x.withColumn("w", w).where("w > 0").groupBy("draw").agg(
-        F.sum("w").alias("s"), m(c("a")).alias("sa"), m(c("b")).alias("sb"), m(c("y")).alias("sy"), m(c("a") * c("a")).alias("saa"), m(c("b") * c("b")).alias("sbb"),
-        m(c("y") * c("y")).alias("syy"), m(c("a") * c("y")).alias("say"), m(c("b") * c("y")).alias("sby"))
 
     def corr(k: str) -> Column:
         cov = c(f"s{k}y") - c(f"s{k}") * c("sy") / c("s")
-        return cov / F.sqrt((c(f"s{k}{k}") - c(f"s{k}") ** 2 / c("s")) * (c("syy") - c("sy") ** 2 / c("s")))
-
-    d = g.select("draw", (corr("a") - corr("b")).alias("gain")).where("gain is not null and not isnan(gain)")
-    return d.agg(F.count(F.lit(1)).alias("draws"), F.avg((F.col("gain") > 0).cast("double")).alias("p_better"), F.avg("gain").alias("mean_gain"))
+        spread = (c(f"s{k}{k}") - c(f"s{k}") ** 2 / c("s")) * (c("syy") - c("sy") ** 2 / c("s"))
+        return F.when(spread > 0, cov / F.sqrt(spread))
+
+    moments = resampled_moments(players, a, b, actual, weight, draws).where("s > 0")
+    gains = moments.select((corr("a") - corr("b")).alias("gain")).where("gain is not null")
+    out = gains.agg(
+        F.count(F.lit(1)).alias("draws"), F.avg((c("gain") > 0).cast("double")).alias("p_better"), F.avg("gain").alias("mean_gain"),
+        F.percentile("gain", F.lit(0.05)).alias("low"), F.percentile("gain", F.lit(0.95)).alias("high"),
+    )
+    own = weighted_errors(players.dropna(subset=[a, b, actual, weight]), a, actual, weight).select(c("corr").alias("own_corr"))
+    good = (c("low") > 0) & (c("p_better") >= 0.95) & (c("own_corr") > OWN)
+    return out.crossJoin(F.broadcast(own)).withColumn("verdict", F.when(good, "PASS").otherwise("FAIL"))
 
 
 def count_check(rows: DataFrame, r: float) -> DataFrame:

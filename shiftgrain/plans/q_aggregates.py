@@ -395,10 +395,10 @@ SELECT shooter_id AS player_id, season, CAST(own AS VARCHAR) || 'v' || CAST(opp
  FROM onice WHERE goal = 1 AND sit_home_n IS NOT NULL AND sit_away_n IS NOT NULL) WHERE NOT (own = 5 AND opp IN (5, 4))"""
 
 
-@query("A35_unpriced_goals", """SELECT player_id, count(*) AS up_window, count(*) FILTER (season = 2024) AS up_last,
- (SELECT array_to_string(list(label || ':' || CAST(n AS VARCHAR) ORDER BY label), ',') FROM (SELECT label, count(*) AS n FROM unpriced u2 WHERE u2.player_id = u.player_id AND u2.season = 2024 GROUP BY 1)) AS detail FROM unpriced u GROUP BY 1""")
+@query("A35_unpriced_goals", """SELECT player_id, count(*) AS up_window, count(*) FILTER (season = (SELECT max(season) FROM onice)) AS up_last,
+ (SELECT array_to_string(list(label || ':' || CAST(n AS VARCHAR) ORDER BY label), ',') FROM (SELECT label, count(*) AS n FROM unpriced u2 WHERE u2.player_id = u.player_id AND u2.season = (SELECT max(season) FROM onice) GROUP BY 1)) AS detail FROM unpriced u GROUP BY 1""")
 def a35(t):
-    d = RT.unpriced_goals(t.shots_onice, 2024)
+    d = RT.unpriced_goals(t.shots_onice, t.shots_onice.agg(F.max("season")).first()[0] or 0)
     txt = F.transform(F.map_entries("detail"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
     return d.select("player_id", "up_window", "up_last", F.when(F.size("detail") > 0, F.array_join(txt, ",")).alias("detail"))
 

@@ -150,10 +150,11 @@ def season_states(t):
     return j.select("player_id", "season", "n", "secs", (0.3 * (C("n") - 3) / (C("n") + 10)).alias("shoot"), (C("position") == "D").cast("double").alias("is_d"), age.alias("age"), S.age_z(age).alias("z"))
 
 
-@query("M27_effective", """SELECT player_id, season AS last_season, round(shoot + (1 - is_d) * (-0.1 * z2 - 0.2 * z2 * z2) + is_d * (-0.05 * z2 - 0.15 * z2 * z2 - 0.3), 6) AS shoot FROM (SELECT *, CASE WHEN age IS NOT NULL THEN z + (2025 - season) / 10 ELSE z END AS z2,
+@query("M27_effective", """SELECT player_id, season AS last_season, round(shoot + (1 - is_d) * (-0.1 * z2 - 0.2 * z2 * z2) + is_d * (-0.05 * z2 - 0.15 * z2 * z2 - 0.3), 6) AS shoot FROM (SELECT *, CASE WHEN age IS NOT NULL THEN z + ((SELECT max(season) + 1 FROM season_states) - season) / 10 ELSE z END AS z2,
  row_number() OVER (PARTITION BY player_id ORDER BY season DESC) AS rn FROM season_states) WHERE rn = 1""")
 def m27(t):
-    return CD.effective(season_states(t), {"shoot": CURVE}, target=2025).select("player_id", "last_season", "shoot")
+    st = season_states(t)
+    return CD.effective(st, {"shoot": CURVE}, target=last_season(st) + 1).select("player_id", "last_season", "shoot")
 
 
 @query("M28_environment", """SELECT round(sum(dur * exp(e + 0.05 * c_home + 0.2 * ozone - 0.15 * dzone + 0.06 * trail - 0.04 * lead1)) / sum(dur), 6) AS env FROM (SELECT game_id, stint_idx, home, shooter_id, any_value(duration_s) AS dur, any_value(c_home) AS c_home, any_value(ozone) AS ozone,
@@ -170,34 +171,57 @@ def m36(t):
     return tr.select("player_id", F.size("seasons").alias("seasons"), F.aggregate("seasons", F.lit(0.0), lambda a, x: a + x["value"]).alias("total"))
 
 
-CTES["train_c"] = "SELECT player_id, 0.0::DOUBLE AS league, sum(shoot * secs) / sum(secs) AS pooled, arg_max(shoot, season) AS last FROM season_states WHERE season <= 2023 GROUP BY 1"
-CTES["hold"] = "SELECT t.player_id, t.n, t.secs / 3600.0 AS hours, coalesce(league, 0) AS league, coalesce(pooled, 0) AS pooled, coalesce(last, 0) AS last FROM season_states t LEFT JOIN train_c USING (player_id) WHERE t.season = 2024"
+CTES["train_c"] = "SELECT player_id, 0.0::DOUBLE AS league, sum(shoot * secs) / sum(secs) AS pooled, arg_max(shoot, season) AS last FROM season_states WHERE season < (SELECT max(season) FROM season_states) GROUP BY 1"
+CTES["hold"] = "SELECT t.player_id, t.n, t.secs / 3600.0 AS hours, coalesce(league, 0) AS league, coalesce(pooled, 0) AS pooled, coalesce(last, 0) AS last FROM season_states t LEFT JOIN train_c USING (player_id) WHERE t.season = (SELECT max(season) FROM season_states)"
 _SC = """SELECT '{c}' AS candidate, count(*) AS n, round(sum(2 * (CASE WHEN n > 0 THEN n * ln(n / mu) ELSE 0 END - (n - mu))) / count(*) * 1000, 4) AS dev1000, round(sum(hours * abs(mu - n) / hours) / sum(hours), 6) AS mae FROM (SELECT *, exp(2.0 + {c}) * hours AS mu FROM hold)"""
 
 
+def last_season(df) -> int:
+    return df.agg(F.max("season")).first()[0] or 0
+
+
+def _split(t):
+    """(candidates fitted on every season before the last, rows of the last season)."""
+    st = season_states(t)
+    last = last_season(st)
+    return HO.candidates(st.where(C("season") < last), "shoot", "secs"), st.where(C("season") == last)
+
+
 @query("M37_holdout_scores", " UNION ALL ".join(_SC.format(c=c) for c in ("league", "pooled", "last")))
 def m37(t):
-    st = season_states(t)
-    fit = HO.candidates(st.where("season <= 2023"), "shoot", "secs")
-    target = st.where("season = 2024").select("player_id", "n", (C("secs") / 3600.0).alias("hours"))
+    fit, held = _split(t)
+    target = held.select("player_id", "n", (C("secs") / 3600.0).alias("hours"))
     s = HO.score_candidates(target, fit, ["league", "pooled", "last"], F.lit(2.0))
     return s.select("candidate", "n", F.round("dev1000", 4).alias("dev1000"), "mae")
 
 
 @query("M38_calibration_slope")
 def m38(t):
-    st = season_states(t)
-    fit = HO.candidates(st.where("season <= 2023"), "shoot", "secs")
-    rows = st.where("season = 2024").join(fit, "player_id").select("n", F.lit(2.0).alias("base"), C("pooled").alias("term"), F.log(C("secs") / 3600.0).alias("offset"))
+    fit, held = _split(t)
+    rows = held.join(fit, "player_id").select("n", F.lit(2.0).alias("base"), C("pooled").alias("term"), F.log(C("secs") / 3600.0).alias("offset"))
     return t.spark.createDataFrame([("pooled", float(HO.calibration_slope(rows)))], "block string, slope double")
 
 
-@query("M39_paired_bootstrap")
+DRAWS = 2000
+_TWIST = f"((h::BIGINT * h + h * {HO.TWIST} + draw) % {HO.PRIME})"
+CTES["resampled"] = f"""
+SELECT draw, pooled AS a, last AS b, n / secs AS y, secs * len([c FOR c IN {[float(x) for x in HO.POISSON]} IF c <= h / {HO.PRIME}.0]) AS w
+FROM (SELECT * EXCLUDE h, {_TWIST} AS h FROM (SELECT * EXCLUDE h, {_TWIST} AS h FROM (
+ SELECT player_id, pooled, last, n::DOUBLE AS n, secs, draw, (player_id % {HO.PRIME} * {HO.BY_ID} + draw * {HO.BY_DRAW} + {HO.SHIFT}) % {HO.PRIME} AS h
+ FROM (SELECT * FROM season_states JOIN train_c USING (player_id) WHERE season = (SELECT max(season) FROM season_states)), (SELECT unnest(range({DRAWS}))::BIGINT AS draw))))"""
+CTES["gains"] = """
+SELECT draw, (say - sa * sy / s) / sqrt((saa - sa * sa / s) * (syy - sy * sy / s)) - (sby - sb * sy / s) / sqrt((sbb - sb * sb / s) * (syy - sy * sy / s)) AS gain
+FROM (SELECT draw, sum(w) AS s, sum(w * a) AS sa, sum(w * b) AS sb, sum(w * y) AS sy, sum(w * a * a) AS saa, sum(w * b * b) AS sbb, sum(w * y * y) AS syy, sum(w * a * y) AS say, sum(w * b * y) AS sby FROM resampled GROUP BY 1)"""
+
+
+@query("M39_paired_bootstrap", f"""SELECT *, CASE WHEN low > 0 AND p_better >= 0.95 AND own_corr > {HO.OWN} THEN 'PASS' ELSE 'FAIL' END AS verdict FROM
+ (SELECT count(*) AS draws, avg((gain > 0)::INT::DOUBLE) AS p_better, avg(gain) AS mean_gain, quantile_cont(gain, 0.05) AS low, quantile_cont(gain, 0.95) AS high FROM gains),
+ (SELECT (say / w - sa * sy / w / w) / sqrt((saa / w - sa * sa / w / w) * (syy / w - sy * sy / w / w)) AS own_corr FROM (SELECT sum(secs)::DOUBLE AS w, sum(secs * pooled) AS sa, sum(secs * (n / secs)) AS sy, sum(secs * pooled * pooled) AS saa,
+  sum(secs * (n / secs) * (n / secs)) AS syy, sum(secs * pooled * (n / secs)) AS say FROM season_states JOIN train_c USING (player_id) WHERE season = (SELECT max(season) FROM season_states)))""")
 def m39(t):
-    st = season_states(t)
-    fit = HO.candidates(st.where("season <= 2023"), "shoot", "secs")
-    p = st.where("season = 2024").join(fit, "player_id").select("player_id", "pooled", "last", (C("n") / C("secs")).alias("rate"), "secs")
-    return HO.paired_bootstrap(p, "pooled", "last", "rate", "secs", draws=2000)
+    fit, held = _split(t)
+    p = held.join(fit, "player_id").select("player_id", "pooled", "last", (C("n") / C("secs")).alias("rate"), "secs")
+    return HO.paired_bootstrap(p, "pooled", "last", "rate", "secs", draws=DRAWS)
 
 
 @query("M40_count_check", """SELECT count(*) AS rows, sum(n)::BIGINT AS actual, round(sum(mu), 4) AS expected, round(avg(n * n), 6) AS n2, round(avg(mu + mu * mu), 6) AS poisson2, round(avg(mu + mu * mu * 1.5), 6) AS nb2, round(avg(CASE WHEN n = 0 THEN 1 ELSE 0 END), 6) AS zero,

@@ -177,15 +177,17 @@ def j19(t):
     return g.join(u.select("player_id", "season", "unit_id"), ["player_id", "season"], "left").select(*KEY, F.coalesce("unit_id", F.lit(-1)).alias("unit_id"))
 
 
-@query("J20_unseen_default", """SELECT r.player_id, round(coalesce(p.rate, d.mean, 0), 6) AS rate FROM (SELECT DISTINCT player_id, position FROM roster WHERE season = 2024) r
- LEFT JOIN (SELECT shooter_id AS player_id, avg(xg) AS rate FROM onice WHERE season = 2021 AND xg IS NOT NULL GROUP BY 1) p USING (player_id)
- LEFT JOIN (SELECT position, avg(rate) AS mean FROM (SELECT shooter_id AS player_id, avg(xg) AS rate FROM onice WHERE season = 2021 AND xg IS NOT NULL GROUP BY 1)
-  JOIN (SELECT DISTINCT player_id, position FROM roster WHERE season = 2021) USING (player_id) GROUP BY 1) d USING (position)""")
+@query("J20_unseen_default", """SELECT r.player_id, round(coalesce(p.rate, d.mean, 0), 6) AS rate FROM (SELECT DISTINCT player_id, position FROM roster WHERE season = (SELECT max(season) FROM roster)) r
+ LEFT JOIN (SELECT shooter_id AS player_id, avg(xg) AS rate FROM onice WHERE season = (SELECT min(season) FROM roster) AND xg IS NOT NULL GROUP BY 1) p USING (player_id)
+ LEFT JOIN (SELECT position, avg(rate) AS mean FROM (SELECT shooter_id AS player_id, avg(xg) AS rate FROM onice WHERE season = (SELECT min(season) FROM roster) AND xg IS NOT NULL GROUP BY 1)
+  JOIN (SELECT DISTINCT player_id, position FROM roster WHERE season = (SELECT min(season) FROM roster)) USING (player_id) GROUP BY 1) d USING (position)""")
 def j20(t):
-    train = t.shots_onice.where("season = 2021 and xg is not null").groupBy(C("shooter_id").alias("player_id")).agg(F.avg("xg").alias("rate"))
-    pos = t.roster.where("season = 2021").select("player_id", "position")
+    """Rates of the first season given to the players of the last one, unseen players get their position's mean."""
+    first, last = t.roster.agg(F.min("season"), F.max("season")).first()
+    train = t.shots_onice.where((C("season") == first) & C("xg").isNotNull()).groupBy(C("shooter_id").alias("player_id")).agg(F.avg("xg").alias("rate"))
+    pos = t.roster.where(C("season") == first).select("player_id", "position")
     mean = train.join(pos, "player_id").groupBy("position").agg(F.avg("rate").alias("mean"))
-    target = t.roster.where("season = 2024").select("player_id", "position")
+    target = t.roster.where(C("season") == last).select("player_id", "position")
     return P.with_default(target, train, mean, "rate").select("player_id", "rate")
 
 
