@@ -75,14 +75,14 @@ def weighted_mean(v: str, w: str, cond: Column) -> Column:
     return F.sum(F.col(v) * ww) / F.greatest(F.sum(ww), F.lit(EPS))
 
 
-def goals_above(p: DataFrame, gate: float, kap: float, slices: int = 128) -> DataFrame:
+def goals_above(p: DataFrame, gate: float, kap: float) -> DataFrame:
     """Goals above the position's weighted mean per 60, and its percentile within position."""
     ok = F.col("toi") >= gate
     base = p.groupBy("is_d").agg(*[weighted_mean(v, "toi", ok).alias(f"b_{v}") for v in ("scoring", "playmaking", "defence")])
     d = p.join(F.broadcast(base), "is_d")
     ga = (F.col("scoring") - F.col("b_scoring")) + kap * (F.col("playmaking") - F.col("b_playmaking")) + kap * (F.col("defence") - F.col("b_defence"))
     d = d.withColumn("ga60", ga).withColumn("_e", F.when(ok, F.col("ga60"))).drop("b_scoring", "b_playmaking", "b_defence")
-    return ordinal_percentile(d, ["is_d"], "_e", "player_id", "ga60_pct", slices).drop("_e")
+    return ordinal_percentile(d, ["is_d"], "_e", "player_id", "ga60_pct").drop("_e")
 
 
 def archetypes(p: DataFrame, cols: list[str], gate: float, band: tuple[float, float] = BAND) -> DataFrame:

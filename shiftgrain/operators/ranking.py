@@ -2,9 +2,9 @@
 
 A group such as "all forwards" can hold most rows, so a plain window over it is one task. Ranks are
 therefore taken in two steps: the group is cut into value slices, rows are ranked inside a slice,
-and slice totals give the offset. The cut points are the values with the smallest hashes of the
-group, so they follow the value distribution, are the same in every evaluation of the plan, and the
-row_number filter that picks them is applied inside each task before its shuffle.
+and slice totals give the offset. A group has as many slices as its size asks for, at SLICE_ROWS rows
+each. The cut points are the keys whose hash falls below the share of keys that are wanted: a filter
+without a window, which follows the key distribution and is the same in every evaluation of the plan.
 """
 
 from __future__ import annotations
@@ -14,27 +14,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 128
+#: Rows of a slice, and slices of a group at most (a bigger group has bigger slices).
+SLICE_ROWS, MOST_SLICES = 100_000, 65_536
 
 
-def _sliced(df: DataFrame, group: Sequence[str], key: str, slices: int) -> DataFrame:
+def _sliced(df: DataFrame, group: Sequence[str], key: str, rows: int) -> DataFrame:
     """Add `_slice`: how many of the group's cut points lie at or below `key`.
 
-    `group` holds few distinct labels (position, metric), so the cut-point table is at most
-    labels x slices values and is broadcast.
+    `group` holds few distinct labels (position, metric), so the tables of sizes and of cut points,
+    MOST_SLICES a label, are broadcast. A row finds its slice in two steps of the root of their number.
     """
     group = list(group)
-    pick = Window.partitionBy(*group).orderBy("_h", key)
+    wanted = F.least(F.ceil(F.count(F.lit(1)) / rows), F.lit(MOST_SLICES)) - 1
+    sizes = df.groupBy(*group).agg((wanted / F.count(F.lit(1))).alias("_share")).where(F.col("_share") > 0)
     cuts = (
-        df.select(*group, key, F.xxhash64(key).alias("_h"))
-        .withColumn("_rn", F.row_number().over(pick))
-        .where(F.col("_rn") <= slices - 1)
+        df.select(*group, key, (F.pmod(F.xxhash64(key), F.lit(1 << 52)) / float(1 << 52)).alias("_h"))
+        .join(F.broadcast(sizes), group)
+        .where(F.col("_h") < F.col("_share"))
         .groupBy(*group)
         .agg(F.array_sort(F.collect_set(key)).alias("_cuts"))
     )
+    step = F.ceil(F.sqrt(F.size("_cuts").cast("double"))).cast("int")
+    cuts = cuts.withColumn("_step", step).withColumn("_heads", F.filter("_cuts", lambda c, k: k % F.col("_step") == 0))
     out = df.join(F.broadcast(cuts), group, "left")
-    below = F.size(F.filter("_cuts", lambda c: c <= F.col(key)))
-    return out.withColumn("_slice", F.coalesce(below, F.lit(0))).drop("_cuts")
+    runs = F.size(F.filter("_heads", lambda c: c <= F.col(key)))
+    tail = F.slice("_cuts", F.greatest(runs - 1, F.lit(0)) * F.col("_step") + 1, F.col("_step"))
+    below = F.when(runs > 0, (runs - 1) * F.col("_step") + F.size(F.filter(tail, lambda c: c <= F.col(key)))).otherwise(0)
+    return out.withColumn("_slice", F.coalesce(below, F.lit(0))).drop("_cuts", "_step", "_heads")
 
 
 def _before(df: DataFrame, group: Sequence[str], order: str, weight: str) -> DataFrame:
@@ -57,47 +63,47 @@ def _before(df: DataFrame, group: Sequence[str], order: str, weight: str) -> Dat
     )
 
 
-def positions(counts: DataFrame, group: Sequence[str], value: str, weight: str, slices: int = SLICES) -> DataFrame:
+def positions(counts: DataFrame, group: Sequence[str], value: str, weight: str, rows: int = SLICE_ROWS) -> DataFrame:
     """Distinct values with the number of rows below them and in their whole group."""
-    return _before(_sliced(counts, group, value, slices), group, value, weight)
+    return _before(_sliced(counts, group, value, rows), group, value, weight)
 
 
-def tie_average_rank(df: DataFrame, group: Sequence[str], value: str, name: str, slices: int = SLICES) -> DataFrame:
+def tie_average_rank(df: DataFrame, group: Sequence[str], value: str, name: str, rows: int = SLICE_ROWS) -> DataFrame:
     """Rank over group size with ties averaged; rows without a value get null.
 
     Equal values are first counted together (map-side), so the ranking reads distinct values.
     """
     group = list(group)
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    ranked = positions(counts, group, value, "_cnt", slices)
+    ranked = positions(counts, group, value, "_cnt", rows)
     rank = (F.col("_below") + (F.col("_cnt") + 1) / 2) / F.col("_n")
     return df.join(ranked.select(*group, value, rank.alias(name)), [*group, value], "left")
 
 
-def percentile(df: DataFrame, group: Sequence[str], value: str, name: str, higher: Column | None = None, slices: int = SLICES) -> DataFrame:
+def percentile(df: DataFrame, group: Sequence[str], value: str, name: str, higher: Column | None = None, rows: int = SLICE_ROWS) -> DataFrame:
     """Percentile 0-100 within the group, half-even rounded; `higher` false reverses it as 1 - rank."""
-    out = tie_average_rank(df, group, value, "_r", slices)
+    out = tie_average_rank(df, group, value, "_r", rows)
     r = F.col("_r") if higher is None else F.when(higher, F.col("_r")).otherwise(1 - F.col("_r"))
     return out.withColumn(name, F.bround(r * 100, 0)).drop("_r")
 
 
-def ordinal(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, size: str | None = None, slices: int = SLICES) -> DataFrame:
+def ordinal(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, size: str | None = None, rows: int = SLICE_ROWS) -> DataFrame:
     """Exact 0-based position by the unique key `order`, optionally with the group size."""
     group = list(group)
     base = df.withColumn("_key", F.struct(*order)).withColumn("_one", F.lit(1))
     if not group:
         group, base = ["_g"], base.withColumn("_g", F.lit(0))
-    out = _before(_sliced(base, group, "_key", slices), group, "_key", "_one")
+    out = _before(_sliced(base, group, "_key", rows), group, "_key", "_one")
     out = out.withColumn(name, F.col("_below").cast("long"))
     if size:
         out = out.withColumn(size, F.col("_n").cast("long"))
     return out.drop("_key", "_one", "_below", "_n", "_g")
 
 
-def ordinal_percentile(df: DataFrame, group: Sequence[str], value: str, tiebreak: str, name: str, slices: int = SLICES) -> DataFrame:
+def ordinal_percentile(df: DataFrame, group: Sequence[str], value: str, tiebreak: str, name: str, rows: int = SLICE_ROWS) -> DataFrame:
     """position / (n - 1) x 100, half-even; groups of one row and rows without a value get null."""
     group = list(group)
-    have = ordinal(df.where(F.col(value).isNotNull()), group, [value, tiebreak], "_pos", "_size", slices)
+    have = ordinal(df.where(F.col(value).isNotNull()), group, [value, tiebreak], "_pos", "_size", rows)
     pct = F.when(F.col("_size") > 1, F.bround(F.col("_pos") / (F.col("_size") - 1) * 100, 0))
     return df.join(have.select(*group, tiebreak, pct.alias(name)), [*group, tiebreak], "left")
 
@@ -108,9 +114,9 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def every_nth(df: DataFrame, order: Sequence[str], k: int, slices: int = SLICES) -> DataFrame:
+def every_nth(df: DataFrame, order: Sequence[str], k: int, rows: int = SLICE_ROWS) -> DataFrame:
     """An even sample of at most `k` rows along `order`."""
-    pos = ordinal(df, [], order, "_pos", "_size", slices)
+    pos = ordinal(df, [], order, "_pos", "_size", rows)
     step = F.greatest(F.lit(1), F.floor(F.col("_size") / k))
     return pos.where((F.col("_pos") % step == 0) & (F.col("_pos") / step < k)).drop("_pos", "_size")
 
