@@ -125,6 +125,12 @@ def unpriced_goals(onice: DataFrame, last_season: int) -> DataFrame:
     )
 
 
+def skater_groups(roster: DataFrame) -> DataFrame:
+    """(player_id, grp): D or F by the position of a skater's last season, one row a player."""
+    last = roster.groupBy("player_id").agg(F.max_by("position", "season").alias("position")).where("position <> 'G'")
+    return last.select("player_id", F.when(F.col("position") == "D", "D").otherwise("F").alias("grp"))
+
+
 def team_index(shifts: DataFrame, games: DataFrame) -> DataFrame:
     a = shifts.select("team", "player_id").distinct().groupBy("team").agg(F.count(F.lit(1)).alias("players"))
     g = games.select(F.explode(F.array("home_team", "away_team")).alias("team"), "game_id").distinct()

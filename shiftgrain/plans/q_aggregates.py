@@ -207,7 +207,7 @@ CTES["poss"] = "SELECT player_id, CASE WHEN position = 'D' THEN 'D' ELSE 'F' END
  FROM onice_rates JOIN poss USING (player_id)""")
 def a13(t):
     rates = RT.onice_rates(B.onice_sums(t.stints))
-    pos = t.roster.where("position <> 'G'").select("player_id", F.when(C("position") == "D", "D").otherwise("F").alias("grp")).distinct()
+    pos = RT.skater_groups(t.roster)
     df = rates.join(pos, "player_id")
     ranked = RT.ranked_metrics(df, "player_id", "grp", {"ev_xgf60": (True, "ev_onice_s", 300), "ev_xga60": (False, "ev_onice_s", 300)})
     return ranked.drop("ev_onice_s", "n_zs")
@@ -386,7 +386,7 @@ def a33(t):
 @query("A34_weighted_means", "SELECT grp2 AS grp, round(sum(ev_xgf60 * ev_onice_s) / sum(ev_onice_s), 6) AS wmean FROM onice_rates JOIN poss USING (player_id) WHERE ev_xgf60 IS NOT NULL GROUP BY 1")
 def a34(t):
     rates = RT.onice_rates(B.onice_sums(t.stints))
-    pos = t.roster.where("position <> 'G'").select("player_id", F.when(C("position") == "D", "D").otherwise("F").alias("grp")).distinct()
+    pos = RT.skater_groups(t.roster)
     return rates.join(pos, "player_id").groupBy("grp").agg(RT.weighted_mean("ev_xgf60", "ev_onice_s").alias("wmean"))
 
 

@@ -252,7 +252,7 @@ def a38(t):
 @query("M15_impact_percentiles", """SELECT player_id, CASE WHEN ev_off_toi >= 5 THEN round_even(100 * (rank() OVER (PARTITION BY grp2, ev_off_toi >= 5 ORDER BY ev_off) + (count(*) OVER (PARTITION BY grp2, ev_off_toi >= 5, ev_off) - 1) / 2)
  / count(*) OVER (PARTITION BY grp2, ev_off_toi >= 5), 0) END AS ev_off_pct FROM (SELECT r.player_id, round(ev_off, 6) AS ev_off, ev_off_toi, grp2 FROM ratings r JOIN poss USING (player_id))""")
 def m15(t):
-    pos = t.roster.where("position <> 'G'").select("player_id", F.when(C("position") == "D", "D").otherwise("F").alias("grp")).distinct()
+    pos = RT.skater_groups(t.roster)
     d = _ratings(t).withColumn("ev_off", F.round("ev_off", 6)).join(pos, "player_id")
     return RT.ranked_metrics(d, "player_id", "grp", {"ev_off": (True, "ev_off_toi", 5)}).select("player_id", "ev_off_pct")
 

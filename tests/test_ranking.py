@@ -46,3 +46,10 @@ def test_slices_follow_the_size_of_the_group(spark):
     assert per < 19000 / 5
     inside = R._sliced(df, ["g"], "id", 500).groupBy("g", "_slice").agg({"id": "max"}).withColumnRenamed("max(id)", "top").orderBy("g", "_slice").collect()
     assert [r["top"] for r in inside] == sorted(r["top"] for r in inside)
+
+
+def test_a_player_who_changes_position_has_one_group(spark):
+    from shiftgrain.operators.rates import skater_groups
+
+    roster = spark.createDataFrame([(1, 2021, "D"), (1, 2023, "C"), (2, 2022, "G"), (3, 2021, "L"), (3, 2022, "D")], "player_id long, season long, position string")
+    assert sorted(tuple(r) for r in skater_groups(roster).collect()) == [(1, "F"), (3, "D")]
