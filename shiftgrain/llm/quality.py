@@ -180,7 +180,13 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
 
 
 def good_documents(docs: DataFrame, model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose text scores at least `threshold`, with all their columns."""
+    """The rows of `docs` whose text scores at least `threshold`, with all their columns.
+
+    Null and empty texts score the share of good labels. Without a model (no labelled document) nothing
+    can be judged and every row stays.
+    """
+    if model is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{k}" for k in range(len(docs.columns))]
     where = docs.columns.index(text_col)

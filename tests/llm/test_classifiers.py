@@ -30,7 +30,7 @@ def test_quality_on_held_out_documents(tables):
 def test_toxic_words_are_found_and_clean_documents_left_alone(tables):
     docs, labels = tables
     n = outcomes(T.toxicity(docs, labels), labels, "toxic")
-    assert n[1, 0] <= 2 and n[1, 1] / (n[1, 1] + n[0, 1]) > 0.45
+    assert n[1, 0] <= 2 and n[1, 1] / (n[1, 1] + n[0, 1]) > 0.8
     telling = "lower(text) rlike '(^|[^a-z])(idiot|moron|scum)([^a-z]|$)'"
     hits = T.toxicity(docs, labels).join(docs.where(telling).select("doc_id"), "doc_id")
     assert hits.where("predicted = 1").count() >= 0.95 * hits.count() > 0

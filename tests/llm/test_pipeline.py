@@ -1,5 +1,7 @@
 """The pipeline's stages, each against brute force on what the one before kept."""
 
+import random
+
 import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
@@ -40,3 +42,41 @@ def test_stages_on_the_smallest_table(spark):
     want = sum(len(saved.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows[4])
     assert sum(r["length"] for r in tables[5].collect()) == want
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, tables[5].collect()))
+
+
+def written(spark, folder, rows, labels):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, cid int, `a.b` string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def prose(seed, n=80):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["tree", "river", "stone", "cloud", "amber", "window", "garden", "letter"]) + str(rng.randrange(40)) for _ in range(n))
+
+
+def test_odd_rows_go_through_every_stage(spark, tmp_path):
+    """Null ids, null, empty, repeated and long texts, equal and near copies, clashing and dotted column names."""
+    near = prose(1).split()
+    near[40] = "changed"
+    texts = [(1, prose(1)), (2, " ".join(near)), (3, prose(3)), (4, prose(3)), (5, None), (6, ""), (None, prose(7)), (None, None), (8, prose(8)), (8, prose(8)), (9, "word " * 30000)]
+    rows = [(i, t, "en", "s", len(t or ""), "r", 7, "x") for i, t in texts]
+    folder = written(spark, tmp_path, rows, [(1, 1, 0), (3, 1, 0), (None, 1, 0), (8, None, 0)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        kept = step(spark, docs, folder)
+        assert kept.columns == docs.columns
+        docs = corpus_pipeline.stage(kept)
+    left = sorted((r["doc_id"] for r in docs.collect()), key=repr)
+    assert {1, 4, 8, 9} <= set(left) and not {2, 3} & set(left) and left.count(8) >= 1
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert {p["doc_id"] for p in pieces} == set(left)
+    assert all(p["length"] <= 1024 for p in pieces)
+
+
+def test_empty_tables_and_no_labels(spark, tmp_path):
+    folder = written(spark, tmp_path / "a", [], [])
+    assert corpus_pipeline.run(spark, folder).collect() == []
+    folder = written(spark, tmp_path / "b", [(1, prose(1), "en", "s", 1, "r", 1, "x")], [])
+    assert {p["doc_id"] for p in corpus_pipeline.run(spark, folder).collect()} == {1}
