@@ -59,10 +59,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def env_int(name: str, default: int) -> int:
-    return int(os.environ.get(name, default))
-
-
 def limit_solver_threads(n: int = 2) -> None:
     """Cap the linear-algebra threads of the driver process.
 
