@@ -2,17 +2,21 @@
 
 A line's tokens are its distinct words, ordered by rarity. Two lines of Jaccard similarity 4/5 share
 a token among the first n - ceil(4n/5) + 1 of each, their sizes differ by at most a quarter, the
-tokens from the shared one on must suffice for the overlap, and 64-bit maps of their tokens differ in
-no more bits than the sets may differ in tokens. Lines of one token set are one class.
-
-1. Prefix tokens go packed to buckets, with size, position, map and first place of their class; a
-   task sends a class once. In a bucket every class proposes its earliest partner that passes the
-   filters, so a family of m near copies proposes m pairs, not their square.
-2. Sets verify the pairs. A class that failed but had further partners proposes all of them.
-3. A line goes if an earlier line, in order of document and line, has the same set or a verified one.
-
-The words whose counts order the tokens are the COMMON most frequent ones; all others come first, by
-hash. That order decides how much is compared, never what is found.
+tokens from the shared one on must suffice for the overlap, and 64-bit parity maps of their tokens
+differ in no more bits than the sets may differ in tokens. Lines of one token set are one class.
+
+1. Texts are read once. A slice of them is written as its classes, whose words are codes in the
+   slice's own dictionary, with the place of every line and the counts of frequent words.
+2. Prefix tokens go packed to buckets, with size, position, map and first place of their class. In a
+   bucket every class proposes its earliest partner that passes the filters, so a family of m near
+   copies proposes m pairs, not their square. A token of very many lines is cut into pairs of parts.
+3. Sets verify the pairs. A class that failed but had further partners proposes all of them, in the
+   buckets that said so; the open tokens stay a table, joined by bucket.
+4. A line goes if an earlier line, in order of document and line, has the same set or a verified one.
+
+Where only some classes or tokens are wanted, slices leave out most others by a bit map of fixed
+size; a join with the table decides. The words whose counts order the tokens are the COMMON most
+frequent ones; all others come first, by hash. That order decides how much is compared, never what is found.
 """
 
 from __future__ import annotations
@@ -26,23 +30,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftgrain.llm.common import shuffle_partitions, slices, stage
+from shiftgrain.llm.common import shuffle_partitions, stage
 from shiftgrain.llm.perfect_hash import mix
 from shiftgrain.llm.words import utf8, word_hashes
 
 NUM, DEN = 4, 5
-#: Words whose frequency is known to the order, and the share of a batch's lines that makes a word frequent.
+#: Words whose frequency is known to the order, and the share of a slice's lines that makes a word frequent.
 COMMON, COMMON_SHARE, COMMON_LEAST = 200_000, 5e-5, 4
-#: Prefix tokens of a bucket; pairs examined at a time; names or tokens broadcast at a time.
-BUCKET, PAIRS, NAMES = 1_000_000, 2_000_000, 1_000_000
-#: Documents whose lines are worked on at a time.
-ROWS = 2500
+#: Prefix tokens of a bucket; pairs examined at a time; documents whose line lists are broadcast.
+BUCKET, PAIRS, NAMES = 1_000_000, 2_000_000, 250_000
+#: Bytes of text in a slice; one longer text is a slice of its own.
+SLICE = 8 << 20
+#: Lines of a word from which on its postings are cut into pairs of parts.
+HOT = 1_000_000
+#: Bits of the maps that tell a slice what is wanted.
+WANTED_BITS = 1 << 24
 #: The order of rows without an id: after all others.
 LAST = (1 << 63) - 1
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def text_slices(batches, size: int):
+    """Arrow batches of at most `size` bytes of text, or one row."""
+    for batch in batches:
+        _, offsets = utf8(batch.column("text"))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
 
 
 class Lines:
-    """The lines of a batch of texts and their distinct words."""
+    """The lines of a batch of texts and the distinct words of each, as codes in a sorted dictionary."""
 
     def __init__(self, column: pa.Array, seed: int):
         data, offsets = utf8(column)
@@ -55,61 +75,122 @@ class Lines:
         begin = np.searchsorted(self.text, np.arange(len(offsets) - 1))
         self.number = np.arange(len(edges)) - begin[self.text] if len(edges) else edges
         hashes, first = word_hashes(data, np.r_[edges, len(data)])
-        line = np.repeat(np.arange(len(edges)), np.diff(first))
-        by = np.lexsort((hashes, line))
-        line, hashes = line[by], hashes[by]
-        fresh = np.r_[True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])] if len(line) else np.zeros(0, bool)
-        self.line, self.word = line[fresh], hashes[fresh]
+        line = np.repeat(np.arange(len(edges), dtype=np.uint64), np.diff(first))
+        self.dictionary, code = np.unique(hashes, return_inverse=True)
+        key = np.unique((line << np.uint64(32)) | code.astype(np.uint64))
+        self.line, self.code = (key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64)
         self.size = np.bincount(self.line, minlength=len(edges))
-        with np.errstate(over="ignore"):
-            one, two = np.zeros(len(edges), np.uint64), np.zeros(len(edges), np.uint64)
-            np.add.at(one, self.line, mix(self.word + np.uint64(seed)))
-            np.add.at(two, self.line, mix(self.word ^ np.uint64(0xA0761D6478BD642F)))
-            self.cid, self.check = mix(one).view(np.int64), mix(two + self.size.astype(np.uint64)).view(np.int64)
+        self.cid, self.check = np.zeros(len(edges), np.int64), np.zeros(len(edges), np.int64)
+        has = np.flatnonzero(self.size)
+        if len(has):
+            starts = np.r_[0, np.cumsum(self.size[has])[:-1]]
+            with np.errstate(over="ignore"):
+                one = np.add.reduceat(mix(self.dictionary + np.uint64(seed))[self.code], starts)
+                two = np.add.reduceat(mix(self.dictionary ^ np.uint64(0xA0761D6478BD642F))[self.code], starts)
+                self.cid[has], self.check[has] = mix(one).view(np.int64), mix(two + self.size[has].astype(np.uint64)).view(np.int64)
+
+
+#: Arrays of a slice's classes: the words of all, class after class, are dictionary[code].
+_SLICE = {"dictionary": np.uint64, "code": np.uint32, "sizes": np.uint32, "cids": np.int64, "places": np.int64, "numbers": np.uint32}
 
 
 def line_rows(docs: DataFrame, seed: int) -> DataFrame:
-    """Stage table: (place, line, cid, check, n) of every line with words, and (word, seen) of frequent words of a batch."""
+    """Stage table of three kinds of rows.
+
+    0: (place, line, cid, check, n) of every line with words; 1: (cid, check) as a frequent word of a
+    slice and its lines; 2: the arrays of _SLICE, packed, for the classes of a slice with their first places.
+    """
+    names = ["kind", "place", "line", "cid", "check", "n", *_SLICE]
 
     def run(batches):
-        for batch in slices(batches, ROWS):
+        for batch in text_slices(batches, SLICE):
             lines = Lines(batch.column("text"), seed)
-            has = lines.size > 0
-            word, seen = np.unique(lines.word, return_counts=True)
-            often = seen >= max(COMMON_LEAST, COMMON_SHARE * has.sum())
-            word, seen = word[often].view(np.int64), seen[often].astype(np.int64)
-            n, k = int(has.sum()), len(word)
-            places = batch.column("place").to_numpy()[lines.text[has]]
-            none = np.zeros(k, np.int64)
-            columns = (np.r_[places, none], np.r_[lines.number[has], none], np.r_[lines.cid[has], word], np.r_[lines.check[has], seen], np.r_[lines.size[has], none])
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.ones(n, bool), np.zeros(k, bool)]), *(pa.array(c.astype(np.int64)) for c in columns)], names=["is_line", "place", "line", "cid", "check", "n"])
-
-    return stage(docs.mapInArrow(run, "is_line boolean, place long, line long, cid long, check long, n long"))
-
-
-def prefixes(lines: Lines, chosen: np.ndarray, common: np.ndarray, seen: np.ndarray):
-    """(line, token, position) of the prefix tokens of the chosen lines, rarest first."""
-    mask = np.zeros(len(lines.size), bool)
-    mask[chosen] = True
-    inside = mask[lines.line]
-    line, word = lines.line[inside], lines.word[inside]
-    rank = np.zeros(len(word), np.int64)
-    if len(common) and len(word):
-        at = np.minimum(np.searchsorted(common, word), len(common) - 1)
-        rank = np.where(common[at] == word, seen[at], 0)
-    by = np.lexsort((word, rank, line))
-    line, word = line[by], word[by]
-    begin = np.searchsorted(line, line)
-    position = np.arange(len(line)) - begin
-    n = lines.size[line]
+            place = batch.column("place").to_numpy()[lines.text]
+            has = np.flatnonzero(lines.size)
+            if not len(has):
+                continue
+            seen = np.bincount(lines.code, minlength=len(lines.dictionary))
+            often = seen >= max(COMMON_LEAST, COMMON_SHARE * len(has))
+            word, seen = lines.dictionary[often].view(np.int64), seen[often]
+            by = has[np.lexsort((lines.number[has], place[has]))]
+            _, first = np.unique(lines.cid[by], return_index=True)
+            chosen = np.sort(by[first])
+            inside = np.zeros(len(lines.size), bool)
+            inside[chosen] = True
+            arrays = (lines.dictionary, lines.code[inside[lines.line]], lines.size[chosen], lines.cid[chosen], place[chosen], lines.number[chosen])
+            packed = [_planes(x.astype(t)) for x, t in zip(arrays, _SLICE.values())]
+            n, k = len(has), len(word)
+            none, rest = np.zeros(k + 1, np.int64), np.zeros(1, np.int64)
+            columns = (
+                np.repeat([0, 1, 2], [n, k, 1]),
+                np.r_[place[has], none],
+                np.r_[lines.number[has], none],
+                np.r_[lines.cid[has], word, rest],
+                np.r_[lines.check[has], seen, rest],
+                np.r_[lines.size[has], none],
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c.astype(np.int64)) for c in columns), *(pa.array([None] * (n + k) + [x], pa.binary()) for x in packed)], names=names
+            )
+
+    kinds = "kind long, place long, line long, cid long, check long, n long, " + ", ".join(f"{c} binary" for c in _SLICE)
+    return stage(docs.mapInArrow(run, kinds))
+
+
+def slices_of(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 2").select(*_SLICE)
+
+
+def _unpacked(batches):
+    """The arrays of each slice, one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {c: _from_planes(batch.column(c)[k].as_py(), t) for c, t in _SLICE.items()}
+
+
+def prefixes(s: dict[str, np.ndarray], common: np.ndarray, seen: np.ndarray):
+    """(class, token, position, lines of the token) of the prefix tokens of a slice's classes, rarest first."""
+    rank = np.zeros(len(s["dictionary"]), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s["dictionary"]), len(common) - 1)
+        rank = np.where(common[at] == s["dictionary"], seen[at], 0)
+    order = np.lexsort((s["dictionary"], rank))
+    turn = np.empty(len(order), np.uint64)
+    turn[order] = np.arange(len(order), dtype=np.uint64)
+    size = s["sizes"].astype(np.int64)
+    key = np.sort((np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(32)) | turn[s["code"]])
+    owner, word = (key >> np.uint64(32)).astype(np.int64), order[(key & _LOW).astype(np.int64)]
+    position = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+    n = size[owner]
     keep = position < n - (NUM * n + DEN - 1) // DEN + 1
-    return line[keep], word[keep], position[keep]
+    return owner[keep], s["dictionary"][word[keep]], position[keep], rank[word[keep]]
+
+
+def parity_maps(s: dict[str, np.ndarray]) -> np.ndarray:
+    """64 bits a class, each the parity of the words that fall on it: sets that differ in d words differ in at most d bits."""
+    bits = (np.uint64(1) << (s["dictionary"] >> np.uint64(58)))[s["code"]]
+    size = s["sizes"].astype(np.int64)
+    return np.bitwise_xor.reduceat(bits, np.cumsum(size) - size)
+
+
+def class_keys(cid: np.ndarray, place: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A number for a class at its first place."""
+    return cid ^ (place << 20) ^ line.astype(np.int64)
 
 
-def bit_maps(lines: Lines) -> np.ndarray:
-    out = np.zeros(len(lines.size), np.uint64)
-    np.bitwise_or.at(out, lines.line, np.uint64(1) << (lines.word >> np.uint64(58)))
-    return out
+def wanted_map(rows: DataFrame, column: str):
+    """Broadcast bit map of the low bits of `column`: what is not in it is not in `rows`. At most WANTED_BITS bits."""
+    low = F.col(column).bitwiseAND(F.lit(WANTED_BITS - 1))
+    words = rows.select(low.alias("low")).selectExpr("shiftright(low, 6) AS at", "shiftleft(1L, CAST(low & 63 AS INT)) AS bit")
+    out = np.zeros(WANTED_BITS // 64, np.int64)
+    for r in words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[r["at"]] = r["bits"]
+    return rows.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+
+
+def in_map(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    low = x.view(np.uint64) & np.uint64(64 * len(bits) - 1)
+    return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
 
 _POSTING = {"token": np.uint64, "cid": np.int64, "map": np.uint64, "place": np.int64, "line": np.uint32, "n": np.uint32, "position": np.uint32}
@@ -124,33 +205,40 @@ def _from_planes(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def postings(docs: DataFrame, seed: int, order, buckets: int, only=None) -> DataFrame:
-    """Packed prefix tokens by bucket; `only` is a broadcast sorted array of the tokens wanted, or None."""
+def _dealt(token: np.ndarray, cid: np.ndarray, lines: np.ndarray, buckets: int, hot: int):
+    """(posting, bucket): one bucket a posting; of a hot token, one for each other part of its classes."""
+    parts = 1 + lines // hot
+    at = np.repeat(np.arange(len(token)), parts)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+    p = parts[at]
+    part = (mix(cid[at].view(np.uint64)) % p.astype(np.uint64)).astype(np.int64)
+    pair = np.minimum(part, other) * p + np.maximum(part, other)
+    with np.errstate(over="ignore"):
+        return at, (mix(token[at] + mix(pair.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+
+
+def postings(slices: DataFrame, order, buckets: int, only=None) -> DataFrame:
+    """Packed prefix tokens by bucket; `only` is a broadcast map of the tokens wanted, or None."""
 
     def run(batches):
         common, seen = order.value
-        for batch in slices(batches, ROWS):
-            lines = Lines(batch.column("text"), seed)
-            place = batch.column("place").to_numpy()[lines.text]
-            by = np.lexsort((lines.number, place))
-            by = by[lines.size[by] > 0]
-            _, first = np.unique(lines.cid[by], return_index=True)
-            chosen = by[first]
-            line, token, position = prefixes(lines, chosen, common, seen)
+        for s in _unpacked(batches):
+            owner, token, position, lines = prefixes(s, common, seen)
             if only is not None:
-                at = np.minimum(np.searchsorted(only.value, token), len(only.value) - 1)
-                keep = only.value[at] == token
-                line, token, position = line[keep], token[keep], position[keep]
-            maps = bit_maps(lines)
-            fields = {"token": token, "cid": lines.cid[line], "map": maps[line], "place": place[line], "line": lines.number[line], "n": lines.size[line], "position": position}
-            bucket = (mix(token) % np.uint64(buckets)).astype(np.int64)
+                keep = in_map(only.value, token)
+                owner, token, position, lines = owner[keep], token[keep], position[keep], lines[keep]
+            at, bucket = _dealt(token, s["cids"][owner], lines, buckets, HOT)
             by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            rows = [(int(k), *(_planes(fields[c][by[cuts[k] : cuts[k + 1]]].astype(t)) for c, t in _POSTING.items())) for k in np.flatnonzero(np.diff(cuts))]
+            at, bucket = at[by], bucket[by]
+            own = owner[at]
+            maps = parity_maps(s)
+            fields = {"token": token[at], "cid": s["cids"][own], "map": maps[own], "place": s["places"][own], "line": s["numbers"][own], "n": s["sizes"][own], "position": position[at]}
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+            rows = [(int(bucket[a]), *(_planes(fields[c][a:b].astype(t)) for c, t in _POSTING.items())) for a, b in zip(first, np.r_[first[1:], len(bucket)])]
             columns = list(zip(*rows)) or [()] * (1 + len(_POSTING))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", *_POSTING])
 
-    return docs.mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in _POSTING))
+    return slices.mapInArrow(run, "bucket long, " + ", ".join(f"{c} binary" for c in _POSTING))
 
 
 def _passes(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -163,14 +251,16 @@ def _passes(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
     return (DEN * a >= NUM * b) & (DEN * b >= NUM * a) & (before + after >= least) & (differ <= a + b - 2 * least)
 
 
-def partners(p: dict[str, np.ndarray], every: bool):
-    """(later, earlier, token, more): pairs of postings that pass; the earliest of each posting only unless `every`.
+def partners(p: dict[str, np.ndarray], asking: np.ndarray | None = None):
+    """(later, earlier, more): the earliest posting that passes with each; with `asking`, all that pass with those.
 
     Postings of a token are in order of first place; `more` says that others pass too.
     """
     begin = np.flatnonzero(np.r_[True, p["token"][1:] != p["token"][:-1]])
     start = np.repeat(begin, np.diff(np.r_[begin, len(p["token"])]))
     earlier = np.arange(len(start)) - start
+    if asking is not None:
+        earlier = np.where(asking, earlier, 0)
     out = []
     # Slices of postings whose partners number PAIRS at most; one posting with more is cut further.
     total = np.cumsum(earlier)
@@ -184,7 +274,7 @@ def partners(p: dict[str, np.ndarray], every: bool):
         if len(i):
             first = np.r_[True, i[1:] != i[:-1]]
             more = np.r_[~first[1:], False]
-            pick = np.ones(len(i), bool) if every else first
+            pick = first if asking is None else np.ones(len(i), bool)
             out.append((i[pick], j[pick], more[pick]))
         a = b
     if not out:
@@ -192,90 +282,98 @@ def partners(p: dict[str, np.ndarray], every: bool):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _meet(every: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        p = {c: np.concatenate([_from_planes(x, t) for x in rows[c]]) for c, t in _POSTING.items()}
-        by = np.lexsort((p["line"], p["place"], p["cid"], p["token"]))
-        p = {c: x[by] for c, x in p.items()}
-        fresh = np.r_[True, (p["token"][1:] != p["token"][:-1]) | (p["cid"][1:] != p["cid"][:-1])]
-        p = {c: x[fresh] for c, x in p.items()}  # the first place of each class
-        by = np.lexsort((p["cid"], p["line"], p["place"], p["token"]))
-        p = {c: x[by] for c, x in p.items()}
-        i, j, more = partners(p, every)
-        found = pd.DataFrame({"a": p["cid"][i], "b": p["cid"][j], "token": p["token"][i].view(np.int64), "more": more})
-        # One row of a pair, and every token that has more for its class.
-        return found[~found.duplicated(["a", "b"]) | found["more"]]
-
-    return run
-
-
-def class_words(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """Stage table (cid, words binary) of the classes `wanted` (cid)."""
-    spark = docs.sparkSession
-    few = wanted.limit(NAMES + 1).count() <= NAMES
-    names = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.toLocalIterator()] if few else [], np.int64)))
-
-    def run(batches):
-        sent: set[int] = set()
-        for batch in slices(batches, ROWS):
-            lines = Lines(batch.column("text"), seed)
-            cut = np.searchsorted(lines.line, np.arange(len(lines.size) + 1))
-            take = lines.size > 0
-            if few:
-                at = np.minimum(np.searchsorted(names.value, lines.cid), max(0, len(names.value) - 1))
-                take &= names.value[at] == lines.cid
-            rows = []
-            for k in np.flatnonzero(take).tolist():
-                cid = int(lines.cid[k])
-                if cid not in sent:
-                    sent.add(cid)
-                    rows.append((cid, lines.word[cut[k] : cut[k + 1]].tobytes()))
-            columns = list(zip(*rows)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["cid", "words"])
-
-    found = docs.mapInArrow(run, "cid long, words binary")
-    return stage((found if few else found.join(wanted, "cid", "left_semi")).groupBy("cid").agg(F.first("words").alias("words")))
-
-
-def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-
-    def run(batches):
+def _bucket_postings(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The postings of a bucket by token and first place, each class of a token once."""
+    p = {c: np.concatenate([_from_planes(x, t) for x in rows[c]]) for c, t in _POSTING.items()}
+    by = np.lexsort((p["line"], p["place"], p["cid"], p["token"]))
+    p = {c: x[by] for c, x in p.items()}
+    fresh = np.r_[True, (p["token"][1:] != p["token"][:-1]) | (p["cid"][1:] != p["cid"][:-1])]
+    p = {c: x[fresh] for c, x in p.items()}
+    by = np.lexsort((p["cid"], p["line"], p["place"], p["token"]))
+    return {c: x[by] for c, x in p.items()} | {"key": class_keys(p["cid"], p["place"], p["line"])[by]}
+
+
+def _meet(rows: pd.DataFrame) -> pd.DataFrame:
+    """Each class with its earliest partner of each token."""
+    p = _bucket_postings(rows)
+    i, j, more = partners(p)
+    found = pd.DataFrame({"bucket": rows["bucket"].iloc[0], "cid": p["cid"][i], "a": p["key"][i], "b": p["key"][j], "token": p["token"][i].view(np.int64), "more": more})
+    # One row of a pair, and every token that has more for its class.
+    return found[~found.duplicated(["a", "b"]) | found["more"]]
+
+
+def _meet_again(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """All partners of the classes and tokens asked for."""
+    if not len(rows) or not len(asked):
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("cid", "a", "b")})
+    p = _bucket_postings(rows)
+    asking = pd.MultiIndex.from_arrays([p["token"].view(np.int64), p["cid"]]).isin(pd.MultiIndex.from_frame(asked[["token", "cid"]]))
+    i, j, _ = partners(p, asking)
+    return pd.DataFrame({"cid": p["cid"][i], "a": p["key"][i], "b": p["key"][j]}).drop_duplicates()
+
+
+def similar_classes(pairs: DataFrame, slices: DataFrame) -> DataFrame:
+    """Stage table (cid): classes of the pairs (cid, a, b) whose sets are similar."""
+    wanted = wanted_map(pairs.select("a").union(pairs.select("b")), "a")
+
+    def words(batches):
+        for s in _unpacked(batches):
+            key = class_keys(s["cids"], s["places"], s["numbers"])
+            ends = np.cumsum(s["sizes"].astype(np.int64))
+            # Six bytes tell words apart: two of one pair's words agree in them by chance once in 10^11 pairs.
+            short = np.sort(s["dictionary"] << np.uint64(16))
+            by = np.argsort(s["dictionary"] << np.uint64(16))
+            turn = np.empty(len(by), np.int64)
+            turn[by] = np.arange(len(by))
+            take = np.flatnonzero(in_map(wanted.value, key))
+            sets = []
+            for k in take.tolist():
+                low = short[np.sort(turn[s["code"][ends[k] - s["sizes"][k] : ends[k]]])]
+                sets.append(low.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(sets, pa.binary())], names=["key", "words"])
+
+    def same(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                both = np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)
-                keep.append(DEN * len(both) >= NUM * (len(x) // 8 + len(y) // 8 - len(both)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both = np.concatenate([_six(x), _six(y)])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(DEN * shared >= NUM * (len(both) - shared))
+            yield batch.select(["cid"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = slices.mapInArrow(words, "key long, words binary")
+    left, right = sets.select(F.col("key").alias("a"), F.col("words").alias("left")), sets.select(F.col("key").alias("b"), F.col("words").alias("right"))
+    joined = pairs.join(left, "a").join(right, "b").select("cid", "left", "right")
+    return stage(joined.mapInArrow(same, "cid long").distinct())
+
 
-    left, right = words.select(F.col("cid").alias("a"), F.col("words").alias("left")), words.select(F.col("cid").alias("b"), F.col("words").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+def _six(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
 
 
-def repeated_classes(docs: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
-    """Stage table (cid): classes whose first line is similar to an earlier line."""
-    spark = docs.sparkSession
-    most = rows.where("not is_line").groupBy("cid").agg(F.sum("check").alias("seen")).orderBy(F.desc("seen"), "cid").limit(COMMON).collect()
+def repeated_classes(rows: DataFrame) -> DataFrame:
+    """Table (cid): classes whose first line is similar to an earlier line."""
+    spark = rows.sparkSession
+    most = rows.where("kind = 1").groupBy("cid").agg(F.sum("check").alias("seen")).orderBy(F.desc("seen"), "cid").limit(COMMON).collect()
     common, seen = np.array([r["cid"] for r in most], np.int64).view(np.uint64), np.array([r["seen"] for r in most], np.int64)
     by = np.argsort(common)
     order = spark.sparkContext.broadcast((common[by], seen[by]))
-    size = rows.where("is_line").groupBy("cid").agg(F.first("n").alias("n")).agg(F.sum(F.col("n") - F.floor((NUM * F.col("n") + DEN - 1) / DEN) + 1)).first()[0] or 0
+    prefix = F.col("n") - F.floor((NUM * F.col("n") + DEN - 1) / DEN) + 1
+    size = rows.where("kind = 0").groupBy("cid").agg(F.first("n").alias("n")).agg(F.sum(prefix)).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-size // BUCKET))
-    kind = "a long, b long, token long, more boolean"
-    found = stage(postings(docs, seed, order, buckets).groupBy("bucket").applyInPandas(_meet(False), kind))
-    pairs = found.select("a", "b").distinct()
-    words = class_words(docs, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), seed)
-    done = stage(verified(pairs, words).select(F.col("a").alias("cid")).distinct())
-    left = stage(found.where("more").select(F.col("a").alias("cid"), "token").distinct().join(done, "cid", "left_anti"))
-    tokens = left.select("token").distinct().orderBy("token")
-    n = tokens.count()
-    for start in range(0, n, NAMES):  # all of them, NAMES at a time
-        part = np.sort(np.array([r[0] for r in tokens.offset(start).limit(NAMES).toLocalIterator()], np.int64).view(np.uint64))
-        again = postings(docs, seed, order, buckets, spark.sparkContext.broadcast(part)).groupBy("bucket").applyInPandas(_meet(True), kind)
-        rest = stage(again.select("a", "b").distinct().join(left.select(F.col("cid").alias("a")).distinct(), "a", "left_semi"))
-        more = class_words(docs, rest.select(F.col("a").alias("cid")).union(rest.select("b")).distinct(), seed)
-        done = stage(done.union(verified(rest, more).select(F.col("a").alias("cid"))).distinct())
-    return done
+    slices = slices_of(rows)
+    found = stage(postings(slices, order, buckets).groupBy("bucket").applyInPandas(_meet, "bucket long, cid long, a long, b long, token long, more boolean"))
+    done = similar_classes(found.select("cid", "a", "b").distinct(), slices)
+    left = stage(found.where("more").select("bucket", "token", "cid").join(done, "cid", "left_anti"))
+    if left.isEmpty():
+        return done
+    again = postings(slices, order, buckets, wanted_map(left, "token")).groupBy("bucket").cogroup(left.groupBy("bucket")).applyInPandas(_meet_again, "cid long, a long, b long")
+    tried = found.select("cid", "a", "b")
+    rest = stage(again.distinct().join(tried, ["cid", "a", "b"], "left_anti"))
+    return done.union(similar_classes(rest, slices)).distinct()
 
 
 def _dropped(keyed: DataFrame) -> DataFrame:
@@ -283,10 +381,11 @@ def _dropped(keyed: DataFrame) -> DataFrame:
     docs = keyed.select("place", "text")
     for seed in itertools.count(1):
         rows = line_rows(docs, seed)
-        if rows.where("is_line").groupBy("cid").agg((F.min("check") != F.max("check")).alias("clash")).where("clash").isEmpty():
+        lines = rows.where("kind = 0").select("cid", "check", "place", "line")
+        if lines.groupBy("cid").agg((F.min("check") != F.max("check")).alias("clash")).where("clash").isEmpty():
             break
-    done = repeated_classes(docs, rows, seed).withColumn("again", F.lit(True))
-    lines = rows.where("is_line").select("cid", "place", "line")
+    done = repeated_classes(rows).withColumn("again", F.lit(True))
+    lines = lines.drop("check")
     first = lines.groupBy("cid").agg(F.min(F.struct("place", "line")).alias("first")).join(done, "cid", "left")
     gone = lines.join(first, "cid").where(F.col("again") | (F.struct("place", "line") > F.col("first")))
     return stage(gone.groupBy("place").agg(F.collect_set("line").alias("lines")))  # at most a document's lines
@@ -317,7 +416,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["doc_id", "n_lines", "n_removed", "removed", "kept_sha256", "kept_text"])
 
-    few = gone.limit(NAMES + 1).count() <= NAMES // 4
+    few = gone.limit(NAMES + 1).count() <= NAMES
     return keyed.join(F.broadcast(gone) if few else gone, "place", "left").select("doc_id", "text", "lines").mapInArrow(
         run, "doc_id long, n_lines long, n_removed long, removed array<long>, kept_sha256 string, kept_text string"
     )

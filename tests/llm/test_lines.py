@@ -54,7 +54,10 @@ def corpus(seed, n=70):
 def test_lines_equal_all_pairs(spark, monkeypatch, seed, small):
     if small:
         monkeypatch.setattr(D, "BUCKET", 50)
-        monkeypatch.setattr(D, "NAMES", 40)
+        monkeypatch.setattr(D, "NAMES", 10)
+        monkeypatch.setattr(D, "HOT", 20)
+        monkeypatch.setattr(D, "SLICE", 400)
+        monkeypatch.setattr(D, "WANTED_BITS", 1 << 10)
         monkeypatch.setattr(D, "COMMON", 5)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, line long, cid string")
