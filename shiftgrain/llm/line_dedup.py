@@ -77,7 +77,8 @@ class Lines:
         hashes, first = word_hashes(data, np.r_[edges, len(data)])
         line = np.repeat(np.arange(len(edges), dtype=np.uint64), np.diff(first))
         self.dictionary, code = np.unique(hashes, return_inverse=True)
-        key = np.unique((line << np.uint64(32)) | code.astype(np.uint64))
+        key = np.sort((line << np.uint64(32)) | code.astype(np.uint64))
+        key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
         self.line, self.code = (key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64)
         self.size = np.bincount(self.line, minlength=len(edges))
         self.cid, self.check = np.zeros(len(edges), np.int64), np.zeros(len(edges), np.int64)
@@ -242,61 +243,81 @@ def postings(slices: DataFrame, order, buckets: int, only=None) -> DataFrame:
 
 
 def _passes(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of postings of one token can be similar: length, position and map filters."""
-    a, b = p["n"][i].astype(np.int64), p["n"][j].astype(np.int64)
-    least = -(-NUM * (a + b) // (NUM + DEN))
-    after = np.minimum(a - p["position"][i], b - p["position"][j])  # the shared token and all behind it
-    before = np.minimum(p["position"][i], p["position"][j]).astype(np.int64)
-    differ = np.bitwise_count(p["map"][i] ^ p["map"][j])
-    return (DEN * a >= NUM * b) & (DEN * b >= NUM * a) & (before + after >= least) & (differ <= a + b - 2 * least)
+    """Which pairs of postings of one token and fitting sizes can be similar: map and position filters."""
+    both = p["n"][i] + p["n"][j]
+    least = -(-NUM * both // (NUM + DEN))
+    keep = np.flatnonzero(np.bitwise_count(p["map"][i] ^ p["map"][j]) <= both - 2 * least)
+    i, j, least = i[keep], j[keep], least[keep]
+    at, other = p["position"][i], p["position"][j]
+    after = np.minimum(p["n"][i] - at, p["n"][j] - other)  # the shared token and all behind it
+    return keep[np.minimum(at, other) + after >= least]
 
 
-def partners(p: dict[str, np.ndarray], asking: np.ndarray | None = None):
-    """(later, earlier, more): the earliest posting that passes with each; with `asking`, all that pass with those.
+def _pairs(p: dict[str, np.ndarray]):
+    """(i, j) of postings of one token whose sizes fit and that pass, PAIRS examined at a time.
 
-    Postings of a token are in order of first place; `more` says that others pass too.
+    Postings are in order of token and size, so the partners of one lie in a run before it.
     """
-    begin = np.flatnonzero(np.r_[True, p["token"][1:] != p["token"][:-1]])
-    start = np.repeat(begin, np.diff(np.r_[begin, len(p["token"])]))
-    earlier = np.arange(len(start)) - start
-    if asking is not None:
-        earlier = np.where(asking, earlier, 0)
-    out = []
-    # Slices of postings whose partners number PAIRS at most; one posting with more is cut further.
-    total = np.cumsum(earlier)
+    group = np.cumsum(np.r_[False, p["token"][1:] != p["token"][:-1]]) << 32
+    n = p["n"].astype(np.int64)
+    low = np.searchsorted(group + n, group + -(-NUM * n // DEN))
+    many = np.arange(len(n)) - low
+    total = np.cumsum(many)
     a = 0
-    while a < len(start):
+    while a < len(n):
         b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, side="right")))
-        i = np.repeat(np.arange(a, b), earlier[a:b])
-        j = np.arange(len(i)) - np.repeat(np.cumsum(earlier[a:b]) - earlier[a:b], earlier[a:b]) + start[i]
+        i = np.repeat(np.arange(a, b), many[a:b])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(many[a:b]) - many[a:b], many[a:b]) + low[i]
         keep = _passes(p, i, j)
-        i, j = i[keep], j[keep]
-        if len(i):
-            first = np.r_[True, i[1:] != i[:-1]]
-            more = np.r_[~first[1:], False]
-            pick = first if asking is None else np.ones(len(i), bool)
-            out.append((i[pick], j[pick], more[pick]))
+        if len(keep):
+            yield i[keep], j[keep]
         a = b
-    if not out:
-        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+
+
+def earliest_partners(p: dict[str, np.ndarray]):
+    """(later, earlier, more): each posting with the partner of earliest place; `more` says that others pass too."""
+    size = len(p["turn"])
+    best, count = np.full(size, size, np.int64), np.zeros(size, np.int64)
+    for i, j in _pairs(p):
+        swap = p["turn"][i] < p["turn"][j]
+        later, earlier = np.where(swap, j, i), np.where(swap, i, j)
+        np.minimum.at(best, later, p["turn"][earlier])
+        np.add.at(count, later, 1)
+    # Places of one token differ, but a place occurs with several tokens: turns number postings, not places.
+    at = np.empty(size, np.int64)
+    at[p["turn"]] = np.arange(size)
+    later = np.flatnonzero(count)
+    return later, at[best[later]], count[later] > 1
+
+
+def all_partners(p: dict[str, np.ndarray], asking: np.ndarray):
+    """(later, earlier): the postings `asking` with every partner that passes."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i, j in _pairs(p):
+        swap = p["turn"][i] < p["turn"][j]
+        later, earlier = np.where(swap, j, i), np.where(swap, i, j)
+        keep = asking[later]
+        out.append((later[keep], earlier[keep]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _bucket_postings(rows: pd.DataFrame) -> dict[str, np.ndarray]:
-    """The postings of a bucket by token and first place, each class of a token once."""
+    """The postings of a bucket by token and size, each class of a token once, with its turn by first place."""
     p = {c: np.concatenate([_from_planes(x, t) for x in rows[c]]) for c, t in _POSTING.items()}
-    by = np.lexsort((p["line"], p["place"], p["cid"], p["token"]))
-    p = {c: x[by] for c, x in p.items()}
-    fresh = np.r_[True, (p["token"][1:] != p["token"][:-1]) | (p["cid"][1:] != p["cid"][:-1])]
-    p = {c: x[fresh] for c, x in p.items()}
-    by = np.lexsort((p["cid"], p["line"], p["place"], p["token"]))
-    return {c: x[by] for c, x in p.items()} | {"key": class_keys(p["cid"], p["place"], p["line"])[by]}
+    by = np.lexsort((p["cid"], p["line"], p["place"]))
+    with np.errstate(over="ignore"):
+        _, first = np.unique(mix(p["token"][by] + mix(p["cid"][by].view(np.uint64))), return_index=True)
+    turn = np.sort(first)
+    by = by[turn]
+    order = np.lexsort((p["n"][by], p["token"][by]))
+    p = {c: x[by[order]] for c, x in p.items()}
+    return p | {"n": p["n"].astype(np.int32), "position": p["position"].astype(np.int32), "turn": order, "key": class_keys(p["cid"], p["place"], p["line"])}
 
 
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     """Each class with its earliest partner of each token."""
     p = _bucket_postings(rows)
-    i, j, more = partners(p)
+    i, j, more = earliest_partners(p)
     found = pd.DataFrame({"bucket": rows["bucket"].iloc[0], "cid": p["cid"][i], "a": p["key"][i], "b": p["key"][j], "token": p["token"][i].view(np.int64), "more": more})
     # One row of a pair, and every token that has more for its class.
     return found[~found.duplicated(["a", "b"]) | found["more"]]
@@ -308,7 +329,7 @@ def _meet_again(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("cid", "a", "b")})
     p = _bucket_postings(rows)
     asking = pd.MultiIndex.from_arrays([p["token"].view(np.int64), p["cid"]]).isin(pd.MultiIndex.from_frame(asked[["token", "cid"]]))
-    i, j, _ = partners(p, asking)
+    i, j = all_partners(p, asking)
     return pd.DataFrame({"cid": p["cid"][i], "a": p["key"][i], "b": p["key"][j]}).drop_duplicates()
 
 
@@ -366,14 +387,18 @@ def repeated_classes(rows: DataFrame) -> DataFrame:
     buckets = max(shuffle_partitions(spark), -(-size // BUCKET))
     slices = slices_of(rows)
     found = stage(postings(slices, order, buckets).groupBy("bucket").applyInPandas(_meet, "bucket long, cid long, a long, b long, token long, more boolean"))
-    done = similar_classes(found.select("cid", "a", "b").distinct(), slices)
+    # The partner that most tokens propose decides for nearly all; classes that fail try their others.
+    votes = found.groupBy("cid", "a", "b").agg(F.count(F.lit(1)).alias("votes"))
+    first = stage(votes.groupBy("cid", "a").agg(F.min(F.struct(-F.col("votes"), "b"))["b"].alias("b")))
+    done = similar_classes(first, slices)
+    tried = stage(found.select("cid", "a", "b").distinct().join(done, "cid", "left_anti").join(first, ["cid", "a", "b"], "left_anti"))
+    done = stage(done.union(similar_classes(tried, slices)))
     left = stage(found.where("more").select("bucket", "token", "cid").join(done, "cid", "left_anti"))
     if left.isEmpty():
         return done
     again = postings(slices, order, buckets, wanted_map(left, "token")).groupBy("bucket").cogroup(left.groupBy("bucket")).applyInPandas(_meet_again, "cid long, a long, b long")
-    tried = found.select("cid", "a", "b")
-    rest = stage(again.distinct().join(tried, ["cid", "a", "b"], "left_anti"))
-    return done.union(similar_classes(rest, slices)).distinct()
+    rest = stage(again.distinct().join(found.select("cid", "a", "b"), ["cid", "a", "b"], "left_anti"))
+    return done.union(similar_classes(rest, slices))
 
 
 def _dropped(keyed: DataFrame) -> DataFrame:
