@@ -2,7 +2,7 @@
 
 A line's tokens are its distinct words, ordered by rarity. Two lines of Jaccard similarity 4/5 share
 a token among the first n - ceil(4n/5) + 1 of each, their sizes differ by at most a quarter, the
-tokens from the shared one on must suffice for the overlap, and 64-bit parity maps of their tokens
+tokens from the shared one on must suffice for the overlap, and 128-bit parity maps of their tokens
 differ in no more bits than the sets may differ in tokens. Lines of one token set are one class.
 
 1. Texts are read once. A slice of them is written as its classes, whose words are codes in the
@@ -167,11 +167,13 @@ def prefixes(s: dict[str, np.ndarray], common: np.ndarray, seen: np.ndarray):
     return owner[keep], s["dictionary"][word[keep]], position[keep], rank[word[keep]]
 
 
-def parity_maps(s: dict[str, np.ndarray]) -> np.ndarray:
-    """64 bits a class, each the parity of the words that fall on it: sets that differ in d words differ in at most d bits."""
-    bits = (np.uint64(1) << (s["dictionary"] >> np.uint64(58)))[s["code"]]
+def parity_maps(s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits a class, each the parity of the words that fall on it: sets that differ in d words differ in at most d bits."""
+    place = s["dictionary"] >> np.uint64(57)
+    bit = np.uint64(1) << (place & np.uint64(63))
     size = s["sizes"].astype(np.int64)
-    return np.bitwise_xor.reduceat(bits, np.cumsum(size) - size)
+    starts = np.cumsum(size) - size
+    return tuple(np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0))[s["code"]], starts) for half in (place < 64, place >= 64))
 
 
 def class_keys(cid: np.ndarray, place: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -194,7 +196,8 @@ def in_map(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
 
-_POSTING = {"token": np.uint64, "cid": np.int64, "map": np.uint64, "place": np.int64, "line": np.uint32, "n": np.uint32, "position": np.uint32}
+#: A token is known by its low 32 bits inside a bucket: others that share them only add comparisons.
+_POSTING = {"token": np.uint32, "cid": np.int64, "low": np.uint64, "high": np.uint64, "place": np.int64, "line": np.uint32, "n": np.uint32, "position": np.uint32}
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -232,8 +235,8 @@ def postings(slices: DataFrame, order, buckets: int, only=None) -> DataFrame:
             by = np.argsort(bucket, kind="stable")
             at, bucket = at[by], bucket[by]
             own = owner[at]
-            maps = parity_maps(s)
-            fields = {"token": token[at], "cid": s["cids"][own], "map": maps[own], "place": s["places"][own], "line": s["numbers"][own], "n": s["sizes"][own], "position": position[at]}
+            low, high = parity_maps(s)
+            fields = {"token": token[at], "cid": s["cids"][own], "low": low[own], "high": high[own], "place": s["places"][own], "line": s["numbers"][own], "n": s["sizes"][own], "position": position[at]}
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
             rows = [(int(bucket[a]), *(_planes(fields[c][a:b].astype(t)) for c, t in _POSTING.items())) for a, b in zip(first, np.r_[first[1:], len(bucket)])]
             columns = list(zip(*rows)) or [()] * (1 + len(_POSTING))
@@ -246,7 +249,8 @@ def _passes(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
     """Which pairs of postings of one token and fitting sizes can be similar: map and position filters."""
     both = p["n"][i] + p["n"][j]
     least = -(-NUM * both // (NUM + DEN))
-    keep = np.flatnonzero(np.bitwise_count(p["map"][i] ^ p["map"][j]) <= both - 2 * least)
+    differ = np.bitwise_count(p["low"][i] ^ p["low"][j]) + np.bitwise_count(p["high"][i] ^ p["high"][j])
+    keep = np.flatnonzero(differ <= both - 2 * least)
     i, j, least = i[keep], j[keep], least[keep]
     at, other = p["position"][i], p["position"][j]
     after = np.minimum(p["n"][i] - at, p["n"][j] - other)  # the shared token and all behind it
@@ -306,7 +310,7 @@ def _bucket_postings(rows: pd.DataFrame) -> dict[str, np.ndarray]:
     p = {c: np.concatenate([_from_planes(x, t) for x in rows[c]]) for c, t in _POSTING.items()}
     by = np.lexsort((p["cid"], p["line"], p["place"]))
     with np.errstate(over="ignore"):
-        _, first = np.unique(mix(p["token"][by] + mix(p["cid"][by].view(np.uint64))), return_index=True)
+        _, first = np.unique(mix(p["token"][by].astype(np.uint64) + mix(p["cid"][by].view(np.uint64))), return_index=True)
     turn = np.sort(first)
     by = by[turn]
     order = np.lexsort((p["n"][by], p["token"][by]))
@@ -318,7 +322,7 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     """Each class with its earliest partner of each token."""
     p = _bucket_postings(rows)
     i, j, more = earliest_partners(p)
-    found = pd.DataFrame({"bucket": rows["bucket"].iloc[0], "cid": p["cid"][i], "a": p["key"][i], "b": p["key"][j], "token": p["token"][i].view(np.int64), "more": more})
+    found = pd.DataFrame({"bucket": rows["bucket"].iloc[0], "cid": p["cid"][i], "a": p["key"][i], "b": p["key"][j], "token": p["token"][i].astype(np.int64), "more": more})
     # One row of a pair, and every token that has more for its class.
     return found[~found.duplicated(["a", "b"]) | found["more"]]
 
@@ -328,7 +332,7 @@ def _meet_again(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     if not len(rows) or not len(asked):
         return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("cid", "a", "b")})
     p = _bucket_postings(rows)
-    asking = pd.MultiIndex.from_arrays([p["token"].view(np.int64), p["cid"]]).isin(pd.MultiIndex.from_frame(asked[["token", "cid"]]))
+    asking = pd.MultiIndex.from_arrays([p["token"].astype(np.int64), p["cid"]]).isin(pd.MultiIndex.from_frame(asked[["token", "cid"]]))
     i, j = all_partners(p, asking)
     return pd.DataFrame({"cid": p["cid"][i], "a": p["key"][i], "b": p["key"][j]}).drop_duplicates()
 
