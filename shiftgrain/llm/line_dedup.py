@@ -38,9 +38,9 @@ NUM, DEN = 4, 5
 #: Words whose frequency is known to the order, and the share of a slice's lines that makes a word frequent.
 COMMON, COMMON_SHARE, COMMON_LEAST = 200_000, 5e-5, 4
 #: Prefix tokens of a bucket; pairs examined at a time; documents whose line lists are broadcast.
-BUCKET, PAIRS, NAMES = 1_000_000, 2_000_000, 250_000
+BUCKET, PAIRS, NAMES = 400_000, 500_000, 250_000
 #: Bytes of text in a slice; one longer text is a slice of its own.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Lines of a word from which on its postings are cut into pairs of parts.
 HOT = 1_000_000
 #: Bits of the maps that tell a slice what is wanted.
@@ -434,7 +434,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = _dropped(keyed)
 
     def run(batches):
-        for batch in batches:
+        for batch in text_slices(batches, SLICE):
             rows = []
             for text, lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist()):
                 parts, drop = text.split("\n"), set(lines or ())
