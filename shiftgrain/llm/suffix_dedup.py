@@ -9,9 +9,9 @@ of SPAN bytes are therefore all that has to be sorted, and only those that can r
    so equal windows have owners of equal hash at equal places. Blocks of documents send the distinct
    owner hashes they have with the number of documents; hashes of one document are forgotten.
 2. Blocks send the bytes around the owners that are left, each different context once, to buckets by
-   hash. A bucket sorts the windows of its contexts, groups equal ones and marks those of a later
-   document than the group's smallest. Bytes are compared, not hashes. This takes the place of
-   longest-previous-factor values and previous or next smaller positions, which are not computed.
+   hash. A bucket sorts the windows of its contexts as suffixes, takes the common prefixes of
+   neighbours, finds the previous and next smaller documents and from them the longest previous
+   factor of each entry, and marks those where it reaches SPAN. Bytes are compared, not hashes.
 3. Marks go back to the blocks, become spans, and are cut out of the whole texts.
 
 Exact copies of an earlier document are recognised by digest and take no part in 1 and 2. A hash in
@@ -187,8 +187,48 @@ def previous_matches(context: np.ndarray, token: np.ndarray, place: np.ndarray,
     return marks
 
 
+def common_prefixes(rows: np.ndarray) -> np.ndarray:
+    """Bytes that each row has in common with the one before it (0 for the first), up to SPAN."""
+    lcp = np.zeros(len(rows), np.int64)
+    for a in range(1, len(rows), 100_000):
+        b = min(a + 100_000, len(rows))
+        other = rows[a:b, :SPAN] != rows[a - 1 : b - 1, :SPAN]
+        lcp[a:b] = np.where(other.any(axis=1), other.argmax(axis=1), SPAN)
+    return lcp
+
+
+def previous_smaller(place: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the nearest entry before each one whose place is smaller, and the prefix shared with it.
+
+    All entries still open move on together along the pointers found so far. One whose shared prefix has
+    fallen below SPAN stops where it is: a match that short removes nothing.
+    """
+    at = np.arange(len(place)) - 1
+    shared = lcp.copy()
+    live = np.flatnonzero(shared >= SPAN)  # the first entry shares nothing
+    live = live[place[at[live]] >= place[live]]
+    while len(live):
+        step = at[live]
+        onward, least = at[step], np.minimum(shared[live], shared[step])
+        at[live], shared[live] = onward, least
+        live = live[least >= SPAN]
+        live = live[place[at[live]] >= place[live]]
+    return at, np.where(place[at] < place, shared, 0)
+
+
+def longest_previous_factors(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For entries in suffix order the longest prefix, if SPAN bytes, shared with one of a smaller place.
+
+    The best match sits at the previous or at the next smaller position. Values below SPAN are lower bounds,
+    as the search for them stops early.
+    """
+    _, left = previous_smaller(place, lcp)
+    _, right = previous_smaller(place[::-1], np.r_[0, lcp[:0:-1]])
+    return np.maximum(left, right[::-1])
+
+
 def _suffix_runs(context, place, low, heads, size, marks) -> None:
-    """Sort the windows of `heads` as suffixes cut at SPAN and mark those with a smaller place in their run."""
+    """Sort the windows of `heads` as suffixes cut at SPAN; mark those whose longest previous factor is SPAN."""
     source = np.repeat(heads, size)
     back = np.arange(len(source)) - np.repeat(np.cumsum(size) - size, size) + low[source]
     window = np.empty((len(source), 56), np.uint8)
@@ -197,12 +237,10 @@ def _suffix_runs(context, place, low, heads, size, marks) -> None:
         at = (LEFT - back[a : a + 100_000])[:, None] + np.arange(SPAN)
         window[a : a + 100_000, :SPAN] = context[source[a : a + 100_000, None], at]
     words = window.view(">u8").astype(np.uint64)
+    # Equal suffixes stand by place, so that pointers double their reach at every step.
     order = np.lexsort((place[source], *(words[:, k] for k in range(6, -1, -1))))
-    words = words[order]
-    # Entries of a run share SPAN bytes. Sorted by place inside it, the first is the previous or next smaller one of all larger.
-    run = np.r_[True, (words[1:] != words[:-1]).any(axis=1)]
-    least = place[source[order]][np.flatnonzero(run)[np.cumsum(run) - 1]]
-    hit = order[place[source[order]] > least]
+    factor = longest_previous_factors(place[source[order]], common_prefixes(window[order]))
+    hit = order[factor >= SPAN]
     np.bitwise_or.at(marks, source[hit], np.int64(1) << back[hit].astype(np.int64))
 
 

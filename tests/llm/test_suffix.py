@@ -112,3 +112,27 @@ def test_empty_table_and_no_repeats(spark):
     docs = spark.createDataFrame([(1, "one text " * 3), (2, None), (3, "quite another text that is long enough to have a window of its own")], "doc_id long, text string")
     assert S.remove_repeats(docs.limit(0)).count() == 0
     assert {r["n_removed"] for r in S.remove_repeats(docs).collect()} == {0}
+
+
+def test_longest_previous_factors_against_all_pairs():
+    rng = np.random.default_rng(5)
+    stems = rng.integers(97, 99, (12, S.SPAN), dtype=np.uint8)
+    rows = stems[rng.integers(0, 12, 400)]
+    rows[:200, S.SPAN - 1] = rng.integers(97, 99, 200)
+    place = rng.integers(0, 60, 400)
+    order = np.lexsort((place, *rows.T[::-1]))
+    rows, place = rows[order], place[order]
+    lcp = S.common_prefixes(rows)
+
+    def shared(a, b):
+        other = np.flatnonzero(rows[a] != rows[b])
+        return int(other[0]) if len(other) else S.SPAN
+
+    want = np.array([max((shared(i, j) for j in range(400) if place[j] < place[i]), default=0) for i in range(400)])
+    got = S.longest_previous_factors(place, lcp)
+    assert ((got >= S.SPAN) == (want >= S.SPAN)).all() and (got <= want).all() and 0 < (got >= S.SPAN).sum() < 400
+    at, prefix = S.previous_smaller(place, lcp)
+    for i in np.flatnonzero(prefix >= S.SPAN):
+        assert place[at[i]] < place[i] and (place[at[i] + 1 : i] >= place[i]).all()
+    for odd in (np.zeros(0, int), np.zeros(1, int)):
+        assert len(S.longest_previous_factors(odd, np.zeros(len(odd), int))) == len(odd)
