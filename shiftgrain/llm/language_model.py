@@ -4,7 +4,7 @@ States are the contexts seen in training, an arc leads from a context over each
 and a failure arc leads to the context without its first word. With c(h w) and c(h) from training
 and a strength s, the arc of w costs log10((c(h w) + s p(w | shorter h)) / (c(h) + s)) and the failure
 arc log10(s / (c(h) + s)); the last state knows single tokens, (c + 0.5) / (N + 0.5 (V + 1)). The
-probabilities of a state sum to one. A text is read once from left to right.
+probabilities of a state sum to one. A text is read once from left to right with its state carried.
 
 The automaton of a large corpus fits nowhere, and a block of documents needs only the part that its
 own texts can reach. Blocks send the hashes of their n-grams with their training counts to buckets by
@@ -26,6 +26,8 @@ from shiftgrain.llm.words import BASE, utf8, word_hashes
 
 #: Bytes of text in a block, and n-grams of a bucket.
 BLOCK, BUCKET = 8 << 20, 2_000_000
+#: Tokens of a text that are read one after another; a longer text is read in several stretches at once.
+STRETCH = 256
 #: The weight of the shorter context, in tokens.
 STRENGTH = 500.0
 START, END = mix(np.array([0x53, 0x45], np.uint64))
@@ -49,6 +51,7 @@ class Reading:
         token[inner] = words
         at = np.arange(len(token)) - np.repeat(self.begin, size)
         self.grams, self.valid = [token], [np.ones(len(token), bool)]
+        self._numbered = {}
         with np.errstate(over="ignore"):
             for k in range(2, order + 1):
                 longer = token.copy()
@@ -56,12 +59,18 @@ class Reading:
                 self.grams.append(longer)
                 self.valid.append(at >= k - 1)
 
+    def numbered(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes of order k ascending, and the entry of each valid position."""
+        if k not in self._numbered:
+            self._numbered[k] = np.unique(self.grams[k - 1][self.valid[k - 1]], return_inverse=True)
+        return self._numbered[k]
+
     def table(self, train: np.ndarray):
         """Per order: distinct hashes ascending, their training counts here, and each valid position's entry."""
         learn = np.repeat(train, self.size)
         out = []
-        for gram, valid in zip(self.grams, self.valid):
-            key, entry = np.unique(gram[valid], return_inverse=True)
+        for k, valid in enumerate(self.valid, 1):
+            key, entry = self.numbered(k)
             out.append((key, np.bincount(entry[learn[valid]], minlength=len(key)), entry))
         return out
 
@@ -152,23 +161,110 @@ def _meet(rows: pa.Table) -> pa.Table:
     )
 
 
+class Automaton:
+    """States, arcs and failure arcs that the texts of a reading can reach.
+
+    State 0 is the empty context and has an arc for every token. Every n-gram below the full order
+    that training holds is a state. Its failure arc drops the first word; an arc over a word ends in
+    the longest context that is left. Arcs lie in one array ordered by (state, token).
+    """
+
+    def __init__(self, reading: Reading, counts: list[np.ndarray], n: int, v: int, strength: float):
+        """`counts[k - 1]` is the training count of the order-k n-gram ending at each position."""
+        order, end = len(counts), np.int64(1) << 62
+        self.depth = order - 1
+        key, entry = reading.numbered(1)
+        self.token, self.types = entry, max(len(key), 1)
+        single = np.zeros(len(key), np.int64)
+        single[entry] = counts[0]
+        self.base = np.log10((single + 0.5) / (n + 0.5 * (v + 1)))
+        self.first = np.zeros(len(key), np.int64)  # the state that each token's arc of state 0 ends in
+        self.failure, self.failure_cost = [np.zeros(1, np.int64)], [np.zeros(1)]
+        arcs, costs, targets = [], [], []
+        state_at = np.zeros(len(entry), np.int64)  # by position: the state of the order below
+        cost_at, total_at = self.base[entry], np.where(reading.valid[0], counts[0], 0)
+        states = 1
+        for k in range(1, order + 1):
+            valid = np.flatnonzero(reading.valid[k - 1])
+            key, entry = reading.numbered(k)
+            place = np.zeros(len(key), np.int64)
+            place[entry] = valid  # one position of each n-gram
+            seen = counts[k - 1][place] > 0
+            place = place[seen]
+            # Arcs of order k leave the context before the word; training that holds the n-gram holds it too.
+            if k > 1:
+                cost = np.log10((counts[k - 1][place] + strength * 10.0 ** cost_at[place]) / (total_at[place - 1] + strength))
+                arcs.append(state_at[place - 1] * self.types + self.token[place])
+                costs.append(cost)
+            if k < order:
+                own = np.zeros(len(key), np.int64)
+                own[seen] = states + np.arange(len(place))
+                states += len(place)
+                self.failure.append(state_at[place] if k > 1 else np.zeros(len(place), np.int64))
+                self.failure_cost.append(np.log10(strength / (counts[k - 1][place] + strength)))
+                if k == 1:
+                    self.first = own
+            if k > 1:
+                targets.append(own[seen] if k < order else state_at[place])
+                filled = np.zeros(len(key))
+                filled[seen] = cost
+                cost_at = np.zeros(len(state_at))
+                cost_at[valid] = filled[entry]
+            if k < order:
+                state_at = np.zeros(len(state_at), np.int64)
+                state_at[valid] = own[entry]
+                total_at = np.where(reading.valid[k - 1], counts[k - 1], 0)
+        self.failure, self.failure_cost = np.concatenate(self.failure), np.concatenate(self.failure_cost)
+        by = np.argsort(np.concatenate([*arcs, np.zeros(0, np.int64)]), kind="stable")
+        self.arcs = np.r_[np.concatenate([*arcs, np.zeros(0, np.int64)])[by], end]  # a last one that no search passes
+        self.cost = np.r_[np.concatenate([*costs, np.zeros(0)])[by], 0.0]
+        self.target = np.r_[np.concatenate([*targets, np.zeros(0, np.int64)])[by], 0]
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Read one token in every state: the states after it, and the log10 probabilities on the way."""
+        state, cost, after = state.copy(), np.zeros(len(state)), self.first[token]
+        at_root = np.ones(len(state), bool)
+        live = np.flatnonzero(state)
+        while len(live):
+            wanted = state[live] * self.types + token[live]
+            arc = np.searchsorted(self.arcs, wanted)
+            hit = self.arcs[arc] == wanted
+            there, arc, failed = live[hit], arc[hit], live[~hit]
+            cost[there] += self.cost[arc]
+            after[there] = self.target[arc]
+            at_root[there] = False
+            cost[failed] += self.failure_cost[state[failed]]
+            state[failed] = self.failure[state[failed]]
+            live = failed[state[failed] != 0]
+        cost[at_root] += self.base[token[at_root]]
+        return after, cost
+
+
 def traverse(reading: Reading, counts: list[np.ndarray], n: int, v: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
     """(base, score): log10 probability of the token at each position, starts left at 0.
 
-    `counts[k - 1]` is the training count of the order-k n-gram ending at each position. From the
-    state of single tokens upwards, each longer context either has an arc for the token or passes
-    through its failure arc to what the shorter one gives.
+    All texts are read together from left to right, each carrying its state. A long text is read in
+    stretches of STRETCH tokens: a state knows the last `order` - 1 tokens at most, so a stretch that
+    reads as many before its first one starts it in the state that the whole text has there.
     """
-    base = np.log10((counts[0] + 0.5) / (n + 0.5 * (v + 1)))
+    automaton = Automaton(reading, counts, n, v, strength)
+    base = automaton.base[automaton.token]
     base[reading.begin] = 0
-    score = base
-    for k in range(2, len(counts) + 1):
-        context = np.zeros(len(base))
-        context[1:] = np.where(reading.valid[k - 2][:-1], counts[k - 2][:-1], 0)
-        arc = reading.valid[k - 1] & (counts[k - 1] > 0)
-        failure = np.log10(strength / (context + strength))
-        through = np.log10((counts[k - 1] + strength * 10.0**score) / (context + strength))
-        score = np.where(arc, through, np.where(reading.valid[k - 1], failure + score, score))
+    score = np.zeros(len(base))
+    pieces = -(-(reading.size - 1) // STRETCH)
+    within = 1 + STRETCH * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    begin, size = np.repeat(reading.begin, pieces), np.repeat(reading.size, pieces)
+    start = begin + np.maximum(within - max(automaton.depth, 1), 0)
+    length = begin + np.minimum(within + STRETCH, size) - start
+    by = np.argsort(-length, kind="stable")
+    start, length, first = start[by], length[by], (begin + within)[by]
+    state = np.zeros(len(start), np.int64)
+    for t in range(int(length[0]) if len(length) else 0):
+        live = int(np.searchsorted(-length, -t))
+        at = start[:live] + t
+        state, cost = automaton.step(state[:live], automaton.token[at])
+        counted = at >= first[:live]
+        score[at[counted]] = cost[counted]
     return base, score
 
 

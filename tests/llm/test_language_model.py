@@ -53,10 +53,11 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("order,block", [(1, 1 << 20), (2, 700), (3, 700)])
+@pytest.mark.parametrize("order,block", [(1, 1 << 20), (2, 700), (3, 700), (4, 1 << 20)])
 def test_scores_equal_dictionaries(spark, monkeypatch, order, block):
     monkeypatch.setattr(M, "BLOCK", block)
     monkeypatch.setattr(M, "BUCKET", 300)
+    monkeypatch.setattr(M, "STRETCH", 17)
     rows = corpus(order)
     docs = spark.createDataFrame([(i, t, 1.0, 0) for i, t in rows], "doc_id long, text string, score double, block int")
     got = sorted((tuple(r) for r in M.score_documents(docs, order).collect()), key=repr)
@@ -93,3 +94,28 @@ def test_empty_and_untrained(spark):
 def test_packed_hashes_come_back():
     x = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
     assert (M.unpack_sorted(M.pack_sorted(x)) == x).all() and len(M.unpack_sorted(b"")) == 0
+
+
+def test_states_fail_to_the_longest_shorter_context():
+    reading = M.Reading(pa.array(["a b c a b d", "b d a b", "", "x"]), 3)
+    train = np.array([True, True, True, False])
+    counts = []
+    for (_, own, entry), valid in zip(reading.table(train), reading.valid):
+        full = np.zeros(len(valid), np.int64)
+        full[valid] = own[entry]
+        counts.append(full)
+    auto = M.Automaton(reading, counts, 12, 5, 2.0)
+    a, b, c, d = (auto.token[k] for k in (1, 2, 3, 6))
+    state = np.zeros(1, np.int64)
+    for token in (a, b):
+        state, _ = auto.step(state, np.array([token]))
+    ab = int(state[0])
+    only_b, _ = auto.step(np.zeros(1, np.int64), np.array([b]))
+    assert ab and auto.failure[ab] == only_b[0] and auto.failure[only_b[0]] == 0
+    known, _ = auto.step(state, np.array([d]))  # "a b d" is known: the state is "b d"
+    assert auto.failure[known[0]] == auto.first[d]
+    lost, cost = auto.step(known, np.array([c]))  # neither "b d c" nor "d c" is
+    assert lost[0] == auto.first[c]
+    assert np.isclose(cost[0], auto.failure_cost[known[0]] + auto.failure_cost[auto.first[d]] + auto.base[c])
+    unseen, _ = auto.step(state, auto.token[-2:-1])
+    assert unseen[0] == 0
