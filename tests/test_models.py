@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from shiftgrain.models import blockfit as BF
@@ -53,6 +54,19 @@ def test_ridge_on_spark_equals_driver(spark):
     assert max(abs(got[int(c)] - b) for c, b in zip(codes, fit.beta)) < 1e-3
 
 
+def test_impacts_beyond_the_driver_limit_equal_those_below(spark):
+    """The same penalty, an exact median of curvatures, on either side of the limit; an unsettled system is an error."""
+    df = design(spark, n=60)[0].withColumn("fold", F.lit(0))
+    small, large = (
+        GM.fit_impacts(df, "off", "def", mults=(1.0,), limit=n).toPandas().set_index("player_id").sort_index() for n in (100, 5))
+    for c in ("off", "def", "off_base", "off_toi", "def_toi"):
+        assert np.allclose(small[c], large[c], atol=1e-6, equal_nan=True)
+    g = GM.gram_entries(GM.lineups(df))
+    pen = g.where("i = j").selectExpr("i", "1D AS pen")
+    with pytest.raises(RuntimeError, match="no solution within 1 passes"):
+        GM.solve_on_spark(g.where("j is not null"), g.where("j is null"), pen, max_iter=1)
+
+
 def test_tweedie_stationary(spark):
     df, codes, X, y, w, _ = design(spark)
     fit = GM.fit_tweedie(GM.lineups(df), mults=(1.0,), folds=3)
