@@ -2,9 +2,9 @@
 
 A game is replaced as a whole, and which version counts is decided by state, not by arrival: a keyed
 state holds the newest version seen of every (game, part), so a late delivery of an older version is
-dropped in the stream, whenever it comes. There is no watermark, as a repair may come years later. A
-game is dealt to PARTS keys by row, so one busy game is no single task; a part that has not seen the
-newest version yet is settled by the upsert, which compares versions of whole games. Every batch is
+dropped in the stream, whenever it comes. There is no watermark, as a repair may come years later. The
+rows of a game are dealt to PARTS keys, so one busy game is no single task, and a key serves many games,
+so small games share its calls to the store; a part that has not seen the newest version yet is settled by the upsert, which compares versions of whole games. Every batch is
 idempotent, so a replay after a failure gives the same table.
 """
 
@@ -24,28 +24,33 @@ from shiftgrain.operators.shots import chance_features
 from shiftgrain.session import cut_lineage
 from shiftgrain.sources import landing as L
 
-#: Keys that the rows of one game are dealt to.
-PARTS = 64
+#: Groups that games are dealt to, and parts that the rows of one game are dealt to. A key of the state is a part of a group.
+GROUPS, PARTS = 32, 8
 
 
 class NewestVersion(StatefulProcessor):
-    """Passes on the rows of a key whose version is not older than the newest that the key has seen."""
+    """Passes on the rows of a game whose version is not older than the newest that the key has seen of it.
+
+    A key holds the versions of all its games in one value, read and written once a batch, so the calls
+    to the store follow the keys and not the games.
+    """
 
     def __init__(self, version: str, names: list[str]):
         self.version, self.names = version, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "version long")
+        self.held = handle.getValueState("held", "games array<string>, versions array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = self.held.get()[0] if self.held.exists() else None
-        newest = before
+        games, versions = self.held.get() if self.held.exists() else ([], [])
+        before = dict(zip(games, versions))
+        newest = dict(before)
         for frame in rows:
-            top = int(frame[self.version].max())
-            newest = top if newest is None else max(newest, top)
-            yield frame.loc[frame[self.version] >= newest, self.names]
-        if newest is not None and newest != before:
-            self.held.update((newest,))
+            for game, top in frame.groupby("state_game")[self.version].max().items():
+                newest[game] = max(newest.get(game, int(top)), int(top))
+            yield frame.loc[frame[self.version] >= frame["state_game"].map(newest), self.names]
+        if newest != before:
+            self.held.update((list(newest), list(newest.values())))
 
     def close(self) -> None:
         pass
@@ -54,9 +59,11 @@ class NewestVersion(StatefulProcessor):
 def newest_in_stream(stream: DataFrame, game: str, version: str) -> DataFrame:
     """The stream without rows of a version older than one that its game's part has already brought. Null versions count as -1."""
     rows = stream.withColumn(version, F.coalesce(F.col(version).cast("long"), F.lit(-1).cast("long")))
-    names = rows.columns
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(PARTS)))
-    return dealt.groupBy(game, "_part").transformWithStateInPandas(NewestVersion(version, names), rows.schema, "Append", "None")
+    # the mark keeps a null game apart from every name
+    named = rows.withColumn("state_game", F.coalesce(F.concat(F.lit("="), F.col(game).cast("string")), F.lit("")))
+    dealt = named.withColumns({"_group": F.pmod(F.xxhash64(game), F.lit(GROUPS)), "_part": F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS))})
+    newest = NewestVersion(version, named.columns)
+    return dealt.groupBy("_group", "_part").transformWithStateInPandas(newest, named.schema, "Append", "None").drop("state_game")
 
 
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -90,7 +97,8 @@ def upsert_games(batch: DataFrame, path: str, game: str = "game_id", version: st
     files are overwritten. Returns the touched seasons (a handful of integers).
     """
     spark = batch.sparkSession
-    new = cut_lineage(newest_games(batch, game, version))
+    # written first: a batch read twice would run the stream's state twice
+    new = newest_games(cut_lineage(batch), game, version)
     seasons = sorted(r[0] for r in new.select("season").distinct().collect())
     if not seasons:
         return []

@@ -1,5 +1,8 @@
 """Deliveries through keyed state: what arrives late and old is dropped, in any order of arrival."""
 
+from types import SimpleNamespace
+
+import pandas as pd
 import pytest
 
 from shiftgrain.streaming import incremental as ST
@@ -47,3 +50,31 @@ def test_upsert_of_a_repeated_batch_is_the_same_first_and_second(spark, tmp_path
     for _ in range(2):
         ST.upsert_games(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "t"))
         assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_one_key_serves_many_games_in_one_call():
+    """A batch reads and writes a key's state once, however many games it has; a null game is a game."""
+
+    class Held:
+        value, calls = None, []
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    held = Held()
+    p = ST.NewestVersion("version", ["game", "version", "state_game"])
+    p.init(SimpleNamespace(getValueState=lambda *a: held))
+    frame = lambda rows: pd.DataFrame([(g, v, "" if g is None else f"={g}") for g, v in rows], columns=["game", "version", "state_game"])
+    take = lambda rows: [list(zip(f["state_game"], f["version"])) for f in p.handleInputRows((0, 0), iter([frame(rows)]), None)]
+    games = [(g, 2) for g in range(300)]
+    assert len(take([*games, (None, 5)])[0]) == 301
+    assert take([(0, 1), (1, 3), (7, 2), (None, 4), (None, 6), (400, 1)]) == [[("=1", 3), ("=7", 2), ("", 6), ("=400", 1)]]
+    assert held.calls == ["update", "get", "update"]
