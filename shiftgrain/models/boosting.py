@@ -2,9 +2,8 @@
 
 Rows are binned once and lie in blocks of byte columns, written under the checkpoint folder. A pass
 over the blocks adds up, for every member (a fold's model, or the model of all rows) and every open
-node, the gradient and curvature of each bin; only those sums, whose size is set by members, nodes,
-features and bins, reach the driver, which chooses the splits. The first pass of a round also gives
-the held-out loss of every fold's trees so far, so each fold keeps growing one model until its best
+node, the gradient and curvature of each bin; the sums of a node meet in one task, which chooses its
+split, and only splits reach the driver. The first pass of a round also gives the held-out loss of every fold's trees so far, so each fold keeps growing one model until its best
 prefix is `patience` trees back. Scores are written anew every few rounds, in turn to two tables.
 """
 
@@ -17,7 +16,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +23,14 @@ from shiftgrain.session import checkpoint_dir
 
 #: Bins of a feature; bin 0 holds missing values and categories that the fit has not seen.
 BINS = 64
-#: Rows of one task, tasks whose sums the driver adds up itself, and rounds between two writes of the scores.
-TASK_ROWS, FAN, WRITE_EVERY = 50_000, 32, 8
+#: Rows of one file, rows of one block, nodes whose splits one task chooses, and rounds between two writes of the scores.
+TASK_ROWS, BLOCK_ROWS, FAN, WRITE_EVERY = 50_000, 50_000, 32, 8
 #: Smallest curvature of a leaf, penalty of its value, shares of rows and features that a tree sees.
 MIN_CURVATURE, PENALTY, ROW_SHARE, FEATURE_SHARE = 5.0, 1.0, 0.8, 0.8
 #: Gains this close, as a share, are equal, so the order in which sums arrive chooses no split.
 TIE = 1e-9
 
-_BLOCK = "bins binary, label binary, fold binary, key binary, raw binary"
+_BLOCK, _SUMS = "bins binary, label binary, fold binary, key binary, raw binary", "part long, body binary"
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -64,6 +62,12 @@ class Binning:
     def names(self) -> tuple[str, ...]:
         return self.numeric + self.categorical
 
+    @property
+    def used(self) -> np.ndarray:
+        """Which (feature, bin) pairs can hold a row at all."""
+        most = [len(self.cuts[c]) + 2 for c in self.numeric] + [len(self.levels[c]) + 1 for c in self.categorical]
+        return np.arange(BINS) < np.array(most)[:, None]
+
     def matrix(self, batch: pa.RecordBatch) -> np.ndarray:
         """The bin of every row and feature."""
         out = np.zeros((batch.num_rows, len(self.names)), np.uint8)
@@ -89,10 +93,11 @@ class Tree:
 
     def nodes(self, bins: np.ndarray, depth: int | None = None) -> np.ndarray:
         """The node that each row is in after `depth` levels."""
-        at, row = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        at, row = np.zeros(len(bins), np.int64), np.arange(len(bins)) * bins.shape[1]
+        flat, left, feature = bins.ravel(), self.left.ravel(), self.feature.astype(np.int64)
         for _ in range(self.depth if depth is None else depth):
-            f = self.feature[at]
-            down = 2 * at + 2 - self.left[at, bins[row, np.maximum(f, 0)]]
+            f = feature.take(at)
+            down = 2 * at + 2 - left.take(at * BINS + flat.take(row + np.maximum(f, 0)))
             at = np.where(f < 0, at, down)
         return at
 
@@ -186,40 +191,84 @@ class Boosting:
         self.tasks = max(1, -(-n // TASK_ROWS))
         self._paths = [f"{checkpoint_dir(self.spark)}/boosting/{uuid.uuid4().hex}/{side}" for side in "ab"]
         self._pending: list[list[Tree]] = [[] for _ in self.members]
+        self._read: DataFrame | None = None
         base, members = self.base, len(self.members)
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[list[np.ndarray]] = []
+
+            def block() -> pa.RecordBatch:
+                parts = [np.concatenate(p) for p in zip(*held)]
+                raw = np.full((len(parts[1]), members), base)
+                return _block([p.tobytes() for p in (*parts, raw)])
+
             for batch in batches:
                 if batch.num_rows:
-                    column = lambda c, kind: batch.column(c).to_numpy(zero_copy_only=False).astype(kind).tobytes()
-                    raw = np.full((batch.num_rows, members), base).tobytes()
-                    yield _block([binning.matrix(batch).tobytes(), column("label", np.uint8), column("fold", np.int16), column("key", np.int64), raw])
+                    column = lambda c, kind: batch.column(c).to_numpy(zero_copy_only=False).astype(kind)
+                    held.append([binning.matrix(batch), column("label", np.uint8), column("fold", np.int16), column("key", np.int64)])
+                if sum(len(h[1]) for h in held) >= BLOCK_ROWS:
+                    yield block()
+                    held = []
+            if held:
+                yield block()
 
         needed = rows.select(*[F.col(c).cast("double") for c in binning.numeric], *binning.categorical, "label", "fold", "key")
         needed.coalesce(self.tasks).mapInArrow(pack, _BLOCK).write.parquet(self._paths[0])
 
     @property
     def blocks(self) -> DataFrame:
-        return self.spark.read.schema(_BLOCK).parquet(self._paths[0])
+        """The table of the scores written last; its files are listed once."""
+        if self._read is None:
+            self._read = self.spark.read.schema(_BLOCK).parquet(self._paths[0])
+        return self._read
 
-    def _sums(self, kernel: Callable[..., np.ndarray]) -> np.ndarray:
-        """`kernel(bins, label, fold, key, raw)` added up over all blocks."""
-        opened = _opened(len(self.binning.names), self._pending)
+    def _pass(self, kernel: Callable[..., dict], allowed: np.ndarray) -> tuple[dict[int, np.ndarray], dict[tuple[int, int], tuple]]:
+        """One pass over all blocks: sums of losses by member, and the whole and the best split by (member, node).
+
+        `kernel(bins, label, fold, key, raw)` gives a block's sums: losses under (member, -1), and under
+        (member, node) the sums of a node's bins. A node's sums of all tasks meet in one task.
+        """
+        opened, used = _opened(len(self.binning.names), self._pending), self.binning.used
+        size, categorical = 2 ** (self.depth + 1), len(self.binning.categorical)
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = None
+            out: dict[int, np.ndarray] = {}
             for batch in batches:
                 for block in batch.to_pylist():
-                    part = kernel(*opened(block))
-                    out = part if out is None else out + part
-            if out is not None:
-                yield _partial({TaskContext.get().partitionId(): out})
-
-        found = self.blocks.mapInArrow(local, "part long, body binary")
-        if self.tasks > FAN:
-            parts = -(-self.tasks // FAN)
-            found = found.selectExpr(f"part % {parts} AS part", "body").repartition(parts, "part").mapInArrow(_added, "part long, body binary")
-        return sum(np.frombuffer(r["body"]) for r in found.collect())
+                    for (member, node), own in kernel(*opened(block)).items():
+                        part, own = member * size + node + 1, own if node < 0 else own[used]
+                        out[part] = out[part] + own if part in out else own
+            if out:
+                yield _partial(out)
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = {}
+            for part, own in _added(batches).items():
+                if part % size == 0:
+                    out[part] = own
+                    continue
+                grid = np.zeros((*used.shape, 2))
+                grid[used] = own.reshape(-1, 2)
+                whole, (best,) = grid[0].sum(0), best_splits(grid[None], categorical, allowed)
+                if best is None:
+                    out[part] = whole
+                else:
+                    feature, left, gain, sides = best
+                    out[part] = np.concatenate([whole, [feature, gain], sides.ravel(), left])
+            if out:
+                yield _partial(out)
+
+        parts = max(1, -(-len(self.members) * 2 ** (self.depth - 1) // FAN))
+        found = self.blocks.mapInArrow(local, _SUMS).repartition(parts, "part").mapInArrow(choose, _SUMS)
+        losses, splits = {}, {}
+        for r in found.collect():
+            (member, node), own = divmod(r["part"], size), np.frombuffer(r["body"])
+            if node == 0:
+                losses[member] = own
+            else:
+                best = (int(own[2]), own[8:].astype(int), float(own[3]), own[4:8].reshape(2, 2)) if len(own) > 2 else None
+                splits[member, node - 1] = own[:2], best
+        return losses, splits
 
     def _write_scores(self) -> None:
         """Scores with all trees so far, written to the other of the two tables."""
@@ -232,6 +281,7 @@ class Boosting:
 
         self.blocks.mapInArrow(run, _BLOCK).write.mode("overwrite").parquet(self._paths[1])
         self._paths.reverse()
+        self._read = None
         self._pending = [[] for _ in self.members]
 
     def grow(self, most: int, patience: int) -> int:
@@ -262,40 +312,44 @@ class Boosting:
         opened = {k: [0] for k in growing}
         folds = [m.fold for m in self.members]
         for level in range(self.depth):
-            slots = {k: (x, len(x) * features * BINS * 2) for k, x in opened.items() if x}
+            slots = {k: x for k, x in opened.items() if x}
             if not slots:
                 break
             judged = [k for k in growing if folds[k] is not None] if level == 0 else []
             deep = {k: trees[k] for k in slots}
 
             def kernel(bins, label, fold, key, raw, slots=slots, judged=judged, deep=deep, level=level):
-                out = [_losses(label, fold, raw, [(k, folds[k]) for k in judged])] if judged else []
+                out = {}
+                for k in judged:
+                    out[k, -1] = _losses(label, fold, raw, [(k, folds[k])])
+                if last:
+                    return out
                 seen = (_mix(key.view(np.uint64) ^ np.uint64(salt)) >> np.uint64(11)) * 2.0**-53 < ROW_SHARE
-                for k, (nodes, size) in slots.items():
+                for k, nodes in slots.items():
                     rows = np.flatnonzero(seen & (fold != folds[k])) if folds[k] is not None else np.flatnonzero(seen)
-                    out.append(_histogram(bins[rows], label[rows], raw[rows, k], deep[k].nodes(bins[rows], level), nodes, features).ravel())
-                return np.concatenate(out)
-
-            sums = self._sums(kernel)
-            at = 2 * len(judged)
-            for j, k in enumerate(judged):
-                self.members[k].losses.append(float(sums[2 * j] / max(sums[2 * j + 1], 1)))
+                    own = bins[rows]
+                    grids = _histogram(own, label[rows], raw[rows, k], deep[k].nodes(own, level), nodes, features)
+                    out |= {(k, node): grid for node, grid in zip(nodes, grids)}
+                return out
+
+            losses, splits = self._pass(kernel, allowed)
+            for k in judged:
+                total, count = losses[k]
+                self.members[k].losses.append(float(total / max(count, 1)))
             if last:
                 return [None] * len(self.members)
-            for k, (nodes, size) in slots.items():
-                grid = sums[at : at + size].reshape(len(nodes), features, BINS, 2)
-                at += size
-                opened[k] = self._split(trees[k], nodes, grid, categorical, allowed, level)
+            for k, nodes in slots.items():
+                opened[k] = self._split(trees[k], {node: splits[k, node] for node in nodes}, level)
         return [trees.get(k) for k in range(len(self.members))]
 
-    def _split(self, tree: Tree, nodes: list[int], grid: np.ndarray, categorical: int, allowed: np.ndarray, level: int) -> list[int]:
+    def _split(self, tree: Tree, found: dict[int, tuple], level: int) -> list[int]:
         value = lambda s: float(-self.step * s[0] / (s[1] + PENALTY))
-        if level == 0:
-            tree.value[0] = value(grid[0, 0].sum(0))
         deeper = []
-        for node, found in zip(nodes, best_splits(grid, categorical, allowed)):
-            if found is not None:
-                feature, left, gain, sides = found
+        for node, (whole, best) in found.items():
+            if level == 0:
+                tree.value[0] = value(whole)
+            if best is not None:
+                feature, left, gain, sides = best
                 tree.feature[node], tree.gain[node] = feature, gain
                 tree.left[node, left] = True
                 for child, side in zip((2 * node + 1, 2 * node + 2), sides):
@@ -312,14 +366,13 @@ def _partial(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "body"])
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _added(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for r in batch.to_pylist():
             own = np.frombuffer(r["body"])
             sums[r["part"]] = sums[r["part"]] + own if r["part"] in sums else own
-    if sums:
-        yield _partial(sums)
+    return sums
 
 
 def _opened(features: int, pending: list[list[Tree]]):
@@ -352,12 +405,13 @@ def _histogram(bins: np.ndarray, label: np.ndarray, raw: np.ndarray, at: np.ndar
     slot[nodes] = np.arange(len(nodes))
     own = slot[at]
     rows = np.flatnonzero(own >= 0)
-    own, bins = own[rows], bins[rows]
+    # features one after the other in memory, as they are counted
+    own, bins = own[rows], np.ascontiguousarray(bins[rows].T)
     p = sigmoid(raw[rows])
     gradient, curvature = p - label[rows], np.maximum(p * (1 - p), 1e-16)
-    out = np.empty((len(nodes), features, BINS, 2))
+    out, base = np.empty((len(nodes), features, BINS, 2)), own * BINS
     for f in range(features):
-        cell = own * BINS + bins[:, f]
+        cell = base + bins[f].astype(np.int64)
         out[:, f, :, 0] = np.bincount(cell, gradient, len(nodes) * BINS).reshape(len(nodes), BINS)
         out[:, f, :, 1] = np.bincount(cell, curvature, len(nodes) * BINS).reshape(len(nodes), BINS)
     return out

@@ -142,3 +142,20 @@ def test_fit_of_one_class_and_missing_columns(spark):
     rows = [(k // 3, k % 3, 2021, 0, *[None] * len(CH.NUMERIC), None, None, None) for k in range(30)]
     model, oof = CH.ChanceModel.fit(spark.createDataFrame(rows, SCHEMA), trees=3, depth=2)
     assert all(r["xg"] < 1e-3 for r in oof.collect()) and model.importances() == []
+
+
+def test_only_splits_reach_the_driver(features, monkeypatch):
+    """What a pass sends to the driver has the size of splits, not of the sums of bins."""
+    sent = []
+    monkeypatch.setattr(B, "FAN", 2)
+    model, _ = grown(features, 1)
+    collect = type(model.blocks).collect
+
+    def counted(df):
+        rows = collect(df)
+        sent.extend(len(r["body"]) for r in rows if "body" in r)
+        return rows
+
+    monkeypatch.setattr(type(model.blocks), "collect", counted)
+    model._round(1, last=False)
+    assert sent and max(sent) <= 8 * (8 + B.BINS)
