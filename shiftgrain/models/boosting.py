@@ -222,11 +222,11 @@ class Boosting:
             self._read = self.spark.read.schema(_BLOCK).parquet(self._paths[0])
         return self._read
 
-    def _pass(self, kernel: Callable[..., dict], allowed: np.ndarray) -> tuple[dict[int, np.ndarray], dict[tuple[int, int], tuple]]:
+    def _pass(self, kernel: Callable[..., dict], nodes: int, allowed: np.ndarray) -> tuple[dict[int, np.ndarray], dict[tuple[int, int], tuple]]:
         """One pass over all blocks: sums of losses by member, and the whole and the best split by (member, node).
 
         `kernel(bins, label, fold, key, raw)` gives a block's sums: losses under (member, -1), and under
-        (member, node) the sums of a node's bins. A node's sums of all tasks meet in one task.
+        (member, node) the sums of the bins of one of `nodes` nodes. A node's sums of all tasks meet in one task.
         """
         opened, used = _opened(len(self.binning.names), self._pending), self.binning.used
         size, categorical = 2 ** (self.depth + 1), len(self.binning.categorical)
@@ -258,7 +258,7 @@ class Boosting:
             if out:
                 yield _partial(out)
 
-        parts = max(1, -(-len(self.members) * 2 ** (self.depth - 1) // FAN))
+        parts = max(1, -(-nodes // FAN))
         found = self.blocks.mapInArrow(local, _SUMS).repartition(parts, "part").mapInArrow(choose, _SUMS)
         losses, splits = {}, {}
         for r in found.collect():
@@ -332,7 +332,7 @@ class Boosting:
                     out |= {(k, node): grid for node, grid in zip(nodes, grids)}
                 return out
 
-            losses, splits = self._pass(kernel, allowed)
+            losses, splits = self._pass(kernel, sum(map(len, slots.values())), allowed)
             for k in judged:
                 total, count = losses[k]
                 self.members[k].losses.append(float(total / max(count, 1)))
