@@ -15,6 +15,8 @@ import base64
 import functools
 import hashlib
 import re
+import string
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,6 +47,10 @@ _TO_CHARACTERS = dict(enumerate(_CHARACTERS))
 _TO_BYTE = {c: b for b, c in enumerate(_CHARACTERS)}
 
 
+#: The character of a blank, and the counts of ids below which they have a packer of their own.
+_BLANK, _SHORT = _CHARACTERS[0x20], 32
+
+
 def spell(raw: bytes) -> str:
     return raw.decode("latin-1").translate(_TO_CHARACTERS)
 
@@ -91,15 +97,26 @@ class Encoder:
 
     def __init__(self, tokenizer: Tokenizer, pattern: str, kind: str = "<u4"):
         self.tokenizer, self.kind, self.split = tokenizer, kind, regex.compile(pattern).findall
+        self.tokenize = tokenizer.model.tokenize
+        code = {"<u2": "H", "<u4": "I"}[kind]
+        self.pack = [struct.Struct(f"<{n}{code}").pack for n in range(_SHORT)]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _spelt(self, match: str) -> bytes:
+        """The ids of one match of the pattern, in printable characters: the model alone, no splitting."""
+        ids = [t.id for t in self.tokenize(match)]
+        return self.pack[len(ids)](*ids) if len(ids) < _SHORT else np.asarray(ids, self.kind).tobytes()
+
     def _match(self, match: str) -> bytes:
-        """The ids of one match of the pattern: the model alone, no splitting."""
-        return np.asarray([t.id for t in self.tokenizer.model.tokenize(spell(match.encode()))], self.kind).tobytes()
+        return self._spelt(spell(match.encode()))
+
+    def _letters(self, word: str) -> bytes:
+        """The ids of a blank and letters, which spell themselves if they are ASCII."""
+        return self._spelt(_BLANK + word) if word.isascii() else self._match(" " + word)
 
     def _recall(self, unit: str) -> bytes | None:
         found = self.young.get(unit)
@@ -115,7 +132,7 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """The ids of a blank and letters."""
         found = self._recall(word)
-        return self._keep(word, self._match(" " + word)) if found is None else found
+        return self._keep(word, self._letters(word)) if found is None else found
 
     def _bare(self, match: str) -> bytes:
         """The ids of a match that has no blank and letters; remembered under a key no unit can have."""
@@ -126,10 +143,12 @@ class Encoder:
         """The ids of a blank and `unit`, which is not in the younger memory."""
         found = self.old.get(unit)
         if found is None:
-            if max(unit) >= "ɐ":  # past the Latin blocks, where libraries may follow different Unicode versions
+            if not unit.isascii() and max(unit) >= "ɐ":  # past the Latin blocks, where libraries may follow different Unicode versions
                 found = self._ids(" " + unit)
             elif unit.isalpha():
-                found = self._match(" " + unit)
+                found = self._letters(unit)
+            elif (word := unit.rstrip(string.punctuation)).isalpha():  # letters, then marks that end the unit: two matches
+                found = self._word(word) + self._bare(unit[len(word):])
             else:
                 found = b"".join([self._word(m[1:]) if m[0] == " " and m[1:].isalpha() else self._bare(m) for m in self.split(" " + unit)])
         return self._keep(unit, found)
@@ -139,10 +158,10 @@ class Encoder:
         head = self._ids(units[0]) if units[0] else b""
         rest = units[1:]
         found = list(map(self.young.get, rest))
-        if None in found:
-            for k, ids in enumerate(found):
-                if ids is None:
-                    found[k] = self.young.get(rest[k]) or self._unit(rest[k])
+        k = 0
+        for _ in range(found.count(None)):
+            k = found.index(None, k)
+            found[k] = self.young.get(rest[k]) or self._unit(rest[k])
         return head + b"".join(found)
 
 

@@ -14,6 +14,7 @@ Texts are encoded once and their ids written as a stage table; no ids are shuffl
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from dataclasses import dataclass
 
@@ -224,19 +225,25 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, end_id: i
         .select("shard", "entries.rest", "entries.before")
         .select("shard", F.col("rest").alias("rests"), "before")
     )
+    known = None  # shard to its offsets by length; None: every row brings those of its shard
     if counts.select("shard").distinct().count() <= BROADCAST_SHARDS:
-        offsets = F.broadcast(offsets)
+        by_shard = {}
+        for row in offsets.toLocalIterator():
+            by_shard[row["shard"]] = line = np.zeros(window, np.int64)
+            line[row["rests"]] = row["before"]
+        known = spark.sparkContext.broadcast(by_shard)
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
 
     def run(batches):
-        base = np.zeros(window, np.int64)
-        loaded = None
+        nothing = np.zeros(window, np.int64)
+        base, loaded = nothing, None
         for batch in batches:
             out = []
-            for shard, doc, n, rest, nth, whole, ids, width, rests, before in zip(*(batch.column(c).to_pylist() if c not in ("rests", "before") else batch.column(c) for c in ("shard", "doc_id", "n", "rest", "nth", "whole", "ids", "width", "rests", "before"))):
+            brought = itertools.repeat((None, None)) if known else zip(batch.column("rests"), batch.column("before"))
+            for shard, doc, n, rest, nth, whole, ids, width, (rests, before) in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n", "rest", "nth", "whole", "ids", "width")), brought):
                 if shard != loaded:
-                    base[:] = 0
-                    if rests.is_valid:
+                    base = known.value.get(shard, nothing) if known else np.zeros(window, np.int64)
+                    if not known and rests.is_valid:
                         base[rests.values.to_numpy()] = before.values.to_numpy()
                     loaded = shard
                 code = np.frombuffer(ids, f"<u{width}").astype("<u4")
@@ -251,4 +258,4 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, end_id: i
             arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(c, pa.list_(pa.int32())) for c in columns[7:]]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in fields.split(", ")])
 
-    return coded.join(offsets, "shard", "left").mapInArrow(run, fields)
+    return (coded if known else coded.join(offsets, "shard", "left")).mapInArrow(run, fields)
