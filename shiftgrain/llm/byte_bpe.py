@@ -28,10 +28,10 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 from shiftgrain.llm.common import texts
 
 #: Words that a generation of the memory holds; the older of two generations is dropped.
-MEMORY = 250_000
+MEMORY = 500_000
 #: White space as any of the libraries at hand sees it: a superset only makes units longer.
 _SPACE = r"\s᠎​﻿"
-_LOOSE = re.compile(f" (?=[{_SPACE}]|\\Z)")
+_SPACES = frozenset(c for c in map(chr, range(0x10000)) if re.match(f"[{_SPACE}]", c))
 _CUT = re.compile(f" (?=[^{_SPACE}])")
 
 
@@ -139,13 +139,18 @@ class Encoder:
         found = self._recall(" " + match)
         return self._keep(" " + match, self._match(match)) if found is None else found
 
-    def _unit(self, unit: str) -> bytes:
-        """The ids of a blank and `unit`, which is not in the younger memory."""
+    def _unit(self, unit: str) -> bytes | None:
+        """The ids of a blank and `unit`, which is not in the younger memory; None if the blank need not begin a match."""
         found = self.old.get(unit)
         if found is None:
-            if not unit.isascii() and max(unit) >= "ɐ":  # past the Latin blocks, where libraries may follow different Unicode versions
-                found = self._ids(" " + unit)
-            elif unit.isalpha():
+            if unit.isascii():
+                if not unit or unit[0] in _SPACES:
+                    return None
+            elif unit[0] in _SPACES:
+                return None
+            elif max(unit) >= "ɐ":  # past the Latin blocks, where libraries may follow different Unicode versions
+                return self._keep(unit, self._ids(" " + unit))
+            if unit.isalpha():
                 found = self._letters(unit)
             elif (word := unit.rstrip(string.punctuation)).isalpha():  # letters, then marks that end the unit: two matches
                 found = self._word(word) + self._bare(unit[len(word):])
@@ -153,17 +158,24 @@ class Encoder:
                 found = b"".join([self._word(m[1:]) if m[0] == " " and m[1:].isalpha() else self._bare(m) for m in self.split(" " + unit)])
         return self._keep(unit, found)
 
-    def encode(self, text: str) -> bytes:
-        units = _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-        head = self._ids(units[0]) if units[0] else b""
+    def _units(self, units: list[str]) -> bytes | None:
+        """The ids of units with a blank before each but the first; None if some blank need not begin a match."""
         rest = units[1:]
         found = list(map(self.young.get, rest))
         k = 0
         for _ in range(found.count(None)):
             k = found.index(None, k)
-            found[k] = self.young.get(rest[k]) or self._unit(rest[k])
+            ids = self.young.get(rest[k]) or self._unit(rest[k])
+            if ids is None:
+                return None
+            found[k] = ids
+        head = self._ids(units[0]) if units[0] else b""
         return head + b"".join(found)
 
+    def encode(self, text: str) -> bytes:
+        found = self._units(text.split(" "))
+        return self._units(_CUT.split(text)) if found is None else found
+
 
 class Decoder:
     """Ids back to bytes."""

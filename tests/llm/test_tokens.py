@@ -54,6 +54,34 @@ def test_memory_generations_do_not_change_ids(plain, monkeypatch):
         assert np.frombuffer(ours.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
 
 
+def test_letters_and_marks_need_no_splitting(plain):
+    ours = B.Encoder(B.rank_tokenizer(RANKS, P.PATTERN), P.PATTERN)
+
+    def refuse(text):
+        raise AssertionError(f"split: {text}")
+
+    ours.split = refuse
+    text = "one two, three. naïve?! é, ümlaut; one two\" word' end..."
+    assert np.frombuffer(ours.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", ["a  b", "a b ", " ", "a \n", "a \x85b c", "a \u200bb a  a", "a \u3000", "  a", "a b  \t", "\n a", "a,  b, a,\x1f b"])
+def test_blanks_that_begin_no_match(plain, text):
+    ours = B.Encoder(B.rank_tokenizer(RANKS, P.PATTERN), P.PATTERN)
+    for _ in range(2):
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
+
+
+def test_rows_bring_no_offsets_unless_shards_are_many(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "lorem ipsum, " * (k % 41)) for k in range(400)], "doc_id long, text string").repartition(5, "doc_id")
+    few = K.pack(rows, SAVED, P.PATTERN, 64)
+    assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(K, "BROADCAST_SHARDS", 0)
+    many = K.pack(rows, SAVED, P.PATTERN, 64)
+    assert "Join" in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_digests_of_ids_and_bytes(docs, plain):
     got = B.round_trip_digests(docs, RANKS, P.PATTERN).collect()
     want = []
