@@ -38,11 +38,11 @@ GRAMS = SPAN - GRAM + 1
 LEFT = GRAMS - 1
 CONTEXT = LEFT + SPAN
 #: Bytes of text in a block.
-BLOCK = 12 << 20
+BLOCK = 6 << 20
 #: Documents from which on a hash is dealt out window by window.
 HOT = 50_000
 #: Entries sorted at a time.
-ENTRIES = 1_000_000
+ENTRIES = 250_000
 #: Span tables up to this size are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 500_000
 #: The order of rows without an id: after all others.

@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from shiftgrain.llm import suffix_dedup as S
@@ -136,3 +139,24 @@ def test_longest_previous_factors_against_all_pairs():
         assert place[at[i]] < place[i] and (place[at[i] + 1 : i] >= place[i]).all()
     for odd in (np.zeros(0, int), np.zeros(1, int)):
         assert len(S.longest_previous_factors(odd, np.zeros(len(odd), int))) == len(odd)
+
+
+def test_a_block_is_worked_on_in_little_memory():
+    """Contexts of a whole block, were all of them shared: what its windows take, by the allocations of numpy."""
+    rng = np.random.default_rng(3)
+    size = 5_000
+    texts = ["".join(map(chr, rng.integers(97, 123, size))) for _ in range(S.BLOCK // size)]
+    n = len(texts)
+    block = pa.table({"block": pa.array(np.zeros(n, np.int64)), "key": pa.array(np.arange(n)), "place": pa.array(np.arange(n)), "text": pa.array(texts)})
+    sent = S._send_hashes(1)(block)
+    tokens = sent.column("tokens")[0].as_py()
+    answers = pa.table({"block": pa.array([0], pa.int64()), "tokens": pa.array([tokens], pa.binary()), "hot": pa.array([np.zeros(len(tokens) // 6, bool).tobytes()], pa.binary())})
+    tracemalloc.start()
+    asked = S._send_contexts(1)(block, answers)
+    first = tracemalloc.get_traced_memory()[1]
+    asked = asked.filter(pc.greater_equal(asked.column("bucket"), 0))
+    tracemalloc.reset_peak()
+    S._meet_contexts(asked)
+    second = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(first, second) < 300 << 20
