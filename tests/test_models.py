@@ -156,3 +156,23 @@ def test_beta_marginal_against_draws(spark):
         want = float(np.mean(1 / (1 + np.exp(-(0.9 * np.log(x / (1 - x)) - 0.1)))))
         got = spark.range(1).select(CD.beta_marginal(q, s, 0.9, -0.1)).first()[0]
         assert abs(got - want) < 2e-3
+
+
+def test_the_crossed_fit_reads_its_shots_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = [(s, g, 0.05 + 0.01 * (k % 7), int((s * g + k) % 9 == 0)) for s in range(1, 31) for g in range(100, 115) for k in range(3)]
+    plain = spark.createDataFrame(rows, "shooter_id long, goalie_id long, xg double, goal int")
+    fit = DU.fit_crossed(plain.mapInPandas(count, plain.schema), 30.0, 90.0, limit=10)
+    assert fit.meta["solver"] == "alternating" and fit.meta["n_shots"] == len(rows)
+    exact = DU.fit_crossed(plain, 30.0, 90.0)
+    for mine, theirs, key, value in ((fit.shooters, exact.shooters, "shooter_id", "alpha"), (fit.goalies, exact.goalies, "goalie_id", "gamma")):
+        want = {r[key]: (r["ixg"] if key == "shooter_id" else r["xga"], r[value]) for r in theirs.collect()}
+        for r in mine.collect():
+            assert (r["ixg"] if key == "shooter_id" else r["xga"], r[value]) == pytest.approx(want[r[key]], abs=1e-7)
+    assert read.value == len(rows)
