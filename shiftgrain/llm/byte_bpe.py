@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
-from shiftgrain.llm.common import texts
+from shiftgrain.llm.common import kept_in_worker, texts
 
 #: Words that a generation of the memory holds; the older of two generations is dropped.
 MEMORY = 500_000
@@ -220,6 +220,9 @@ def _decoder(path: str, pattern: str) -> Decoder:
     return Decoder(rank_tokenizer(path, pattern))
 
 
+kept_in_worker(_ENCODERS.clear, _decoder.cache_clear, rank_tokenizer.cache_clear, file_tokenizer.cache_clear)
+
+
 def encoder_for(make: Callable[..., Tokenizer], path: str, pattern: str, kind: str) -> Encoder:
     key = (make.__name__, path, pattern, kind)
     if key not in _ENCODERS:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +50,23 @@ def slices(batches, rows: int):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+#: Clears of what operators keep in a worker process beyond a task.
+_KEPT: list[Callable[[], None]] = []
+
+
+def kept_in_worker(*clears: Callable[[], None]) -> None:
+    """Names what empties the caches of a module that outlive tasks, for `free_worker`."""
+    _KEPT.extend(clears)
+
+
+def free_worker() -> None:
+    """Give back what earlier stages left in this worker process, which serves one stage after another:
+    remembered words, and memory that Arrow and the allocator hold free."""
+    for clear in _KEPT:
+        clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftgrain.llm.common import is_fold, stage, texts
+from shiftgrain.llm.common import free_worker, is_fold, slices, stage, texts
 from shiftgrain.llm.perfect_hash import mix
 from shiftgrain.llm.words import BASE, BYTE_WORDS, utf8, word_hashes, word_spans
 
@@ -124,7 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = texts(docs, id_col, text_col).join(F.broadcast(cut[0].union(cut[1])), "doc_id")  # at most 2 PER_CLASS ids
 
     def run(batches):
-        for batch in batches:
+        free_worker()
+        for batch in slices(batches, BLOCK):
             row, term, count = term_counts(batch.column("text"))
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             parts = list(zip(cuts[:-1], cuts[1:]))
@@ -160,6 +161,7 @@ def score_texts(docs: DataFrame, model, threshold: float = 0.7, id_col: str = "d
     shared = docs.sparkSession.sparkContext.broadcast(model)  # TERMS x DIMENSIONS and 2 PER_CLASS x DIMENSIONS numbers
 
     def run(batches):
+        free_worker()
         for batch in batches:
             score = _scores(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
@@ -192,7 +194,8 @@ def good_documents(docs: DataFrame, model, threshold: float = 0.7, text_col: str
     where = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        free_worker()
+        for batch in slices(batches, BLOCK):
             yield batch.filter(pa.array(_scores(batch.column(where), shared.value) >= threshold))
 
     plain = docs.toDF(*names).withColumn(names[where], F.col(names[where]).cast("string"))

@@ -80,3 +80,21 @@ def test_empty_tables_and_no_labels(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).collect() == []
     folder = written(spark, tmp_path / "b", [(1, prose(1), "en", "s", 1, "r", 1, "x")], [])
     assert {p["doc_id"] for p in corpus_pipeline.run(spark, folder).collect()} == {1}
+
+
+def test_quality_gives_back_what_packing_left_in_a_worker(spark):
+    """A worker serves one stage after another; remembered words of the last run must not add to the first stage's memory."""
+    import pandas as pd
+    import public_tokenizers
+
+    from shiftgrain.llm import byte_bpe, common, quality
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    byte_bpe.encoder_for(byte_bpe.file_tokenizer, path, public_tokenizers.PATTERN, "<u4")
+    assert byte_bpe._ENCODERS and byte_bpe.file_tokenizer.cache_info().currsize
+    common.free_worker()
+    assert not byte_bpe._ENCODERS and not byte_bpe.file_tokenizer.cache_info().currsize
+    docs = spark.createDataFrame([(k, f"good words {k} and more " * 9, k) for k in range(600)], "doc_id long, text string, other long")
+    model = quality.fit(docs, spark.createDataFrame([(k, int(k % 2)) for k in range(40)], "doc_id long, quality int"))
+    kept = quality.good_documents(docs, model, -1.0).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert kept.equals(docs.toPandas().sort_values("doc_id").reset_index(drop=True)) and isinstance(kept, pd.DataFrame)
