@@ -48,3 +48,19 @@ def test_sweep_and_impacts_beyond_the_driver_limit(spark):
     a, b = (GM.fit_impacts(d, "off", "def", (0.1, 1.0), limit=x).toPandas().set_index("player_id").sort_index() for x in (100, 5))
     assert np.allclose(a, b[a.columns], atol=1e-7, equal_nan=True) and b["off_se"].notna().any()
     assert GM.fit_ridge_by_blocks(GM.lineups(d), (1.0,), most=5) is None
+
+
+def test_tweedie_by_blocks_equals_the_dense_one(spark):
+    """Above the limit the Tweedie fit was an error; both end within the tolerance of the same optimum."""
+    rows = GM.lineups(apart(spark, n=120))
+    dense = GM.fit_tweedie(rows, mults=(0.1, 1.0), folds=3, tol=1e-9)
+    fit = GM.fit_tweedie_by_blocks(rows, mults=(0.1, 1.0), folds=3, tol=1e-9)
+    for a, b in zip(dense.sweep, fit.sweep):
+        assert all(abs(a[k] - b[k]) < 1e-5 * max(1.0, abs(a[k])) for k in a if k != "iters")
+    for k in ("lambda", "edf", "dispersion", "baseline_xgf60", "n_obs", "n_params"):
+        assert abs(dense.meta[k] - fit.meta[k]) < 1e-5 * max(1.0, abs(dense.meta[k])), k
+    got = {r.code: r for r in fit.coef.collect()}
+    for k, c in enumerate(dense.codes):
+        if c >= 0:
+            assert abs(got[int(c)].b - dense.beta[k]) < 1e-4 and abs(got[int(c)].s - dense.se[k]) < 1e-4
+    assert GM.fit_tweedie_by_blocks(rows, (1.0,), most=5) is None
