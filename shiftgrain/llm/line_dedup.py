@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftgrain.llm.common import shuffle_partitions, stage
+from shiftgrain.llm.common import free_worker, shuffle_partitions, stage
 from shiftgrain.llm.perfect_hash import mix
 from shiftgrain.llm.words import utf8, word_hashes
 
@@ -104,6 +104,7 @@ def line_rows(docs: DataFrame, seed: int) -> DataFrame:
     names = ["kind", "place", "line", "cid", "check", "n", *_SLICE]
 
     def run(batches):
+        free_worker()
         for batch in text_slices(batches, SLICE):
             lines = Lines(batch.column("text"), seed)
             place = batch.column("place").to_numpy()[lines.text]
@@ -225,6 +226,7 @@ def postings(slices: DataFrame, order, buckets: int, only=None) -> DataFrame:
     """Packed prefix tokens by bucket; `only` is a broadcast map of the tokens wanted, or None."""
 
     def run(batches):
+        free_worker()
         common, seen = order.value
         for s in _unpacked(batches):
             owner, token, position, lines = prefixes(s, common, seen)
@@ -342,6 +344,7 @@ def similar_classes(pairs: DataFrame, slices: DataFrame) -> DataFrame:
     wanted = wanted_map(pairs.select("a").union(pairs.select("b")), "a")
 
     def words(batches):
+        free_worker()
         for s in _unpacked(batches):
             key = class_keys(s["cids"], s["places"], s["numbers"])
             ends = np.cumsum(s["sizes"].astype(np.int64))
@@ -434,6 +437,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = _dropped(keyed)
 
     def run(batches):
+        free_worker()
         for batch in text_slices(batches, SLICE):
             rows = []
             for text, lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist()):

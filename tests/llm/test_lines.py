@@ -67,3 +67,18 @@ def test_lines_equal_all_pairs(spark, monkeypatch, seed, small):
 
 def test_empty_table(spark):
     assert D.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stages_that_hold_whole_texts_begin_with_an_emptied_worker(monkeypatch):
+    """Workers serve job after job: what an earlier one left must not add to what a slice of texts needs."""
+    freed = []
+    monkeypatch.setattr(D, "free_worker", lambda: freed.append(1))
+    monkeypatch.setattr(D, "stage", lambda df: df)
+
+    class Table:
+        def mapInArrow(self, run, kinds):
+            list(run(iter([])))
+            return self
+
+    D.line_rows(Table(), 1)
+    assert freed == [1]
