@@ -28,7 +28,7 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 from shiftgrain.llm.common import kept_in_worker, texts
 
 #: Words that a generation of the memory holds; the older of two generations is dropped.
-MEMORY = 500_000
+MEMORY = 1_000_000
 #: White space as any of the libraries at hand sees it: a superset only makes units longer.
 _SPACE = r"\s᠎​﻿"
 _SPACES = frozenset(c for c in map(chr, range(0x10000)) if re.match(f"[{_SPACE}]", c))

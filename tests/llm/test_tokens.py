@@ -54,6 +54,18 @@ def test_memory_generations_do_not_change_ids(plain, monkeypatch):
         assert np.frombuffer(ours.encode(text), "<u4").tolist() == plain.encode_ordinary(text)
 
 
+def test_a_million_words_later_a_word_is_remembered(plain, monkeypatch):
+    """The younger words alone may be a million, so what was met that long ago is not spelt again."""
+    ours, spelt = B.Encoder(B.rank_tokenizer(RANKS, P.PATTERN), P.PATTERN), []
+    monkeypatch.setattr(ours, "_letters", lambda word: spelt.append(word) or b"")
+    letters = str.maketrans("0123456789", "abcdefghij")
+    words = [str(k).translate(letters) for k in range(1_050_000)]
+    for a in range(0, len(words), 50_000):
+        ours.encode(" " + " ".join(words[a : a + 50_000]))
+    ours.encode(" " + " ".join(words[:50_000]))
+    assert len(spelt) == len(words)
+
+
 def test_letters_and_marks_need_no_splitting(plain):
     ours = B.Encoder(B.rank_tokenizer(RANKS, P.PATTERN), P.PATTERN)
 
