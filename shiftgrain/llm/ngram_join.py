@@ -11,7 +11,8 @@ is by hash with common hashes last; it decides only how much is compared, never
    compared with the most central classes, then a count-vector R-tree proposes the other pairs,
    exact sets verify them, and pairs already connected are skipped: a group of m near copies costs
    about m comparisons. Large blocks are cut into parts that all hold the central classes.
-3. Groups that prefix hashes still connect form a family. In a family the tree again proposes pairs
+3. Of the hashes at which groups still meet, each class keeps the rarest that a similar class must
+   have one of. Groups that these connect form a family. In a family the tree again proposes pairs
    of different groups, the likeliest partner of each class first, and whatever then still stands
    apart is compared completely. Links and groups give the components.
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftgrain.llm.common import shuffle_partitions, stage, texts
+from shiftgrain.llm.common import free_worker, shuffle_partitions, stage, texts
 from shiftgrain.llm.components import components
 from shiftgrain.llm.count_tree import CountTree, count_vector, similar
 from shiftgrain.llm.perfect_hash import mix
@@ -68,6 +69,7 @@ def class_rows(docs: DataFrame, width: int, seed: int) -> DataFrame:
     """Stage table: a row (doc_id, text_key, cid, check, n) per document and (hash, seen) per common hash of a batch."""
 
     def run(batches):
+        free_worker()
         for batch in batches:
             sets, names = _sets(batch, width, seed)
             different = list({c: s for (c, _), s in zip(names, sets)}.values())
@@ -119,6 +121,7 @@ def shared_prefixes(docs: DataFrame, width: int, seed: int, common: np.ndarray,
     order = docs.sparkSession.sparkContext.broadcast((common, seen))
 
     def send(batches):
+        free_worker()
         common, seen = order.value
         sent: set[int] = set()
         for batch in batches:
@@ -194,6 +197,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> Dat
     wanted = wanted.select("cid", F.col("doc").alias("_doc"))
 
     def run(batches):
+        free_worker()
         for batch in batches:
             sets, names = _sets(batch, width, seed)
             keep = pa.array([c == w for (c, _), w in zip(names, batch.column("cid").to_pylist())], pa.bool_())
@@ -385,8 +389,7 @@ def class_roots(docs: DataFrame, rows: DataFrame, width: int, seed: int) -> Data
     roots = stage(_relabelled(keys.select("cid", F.col("cid").alias("root")), components(links)))
     for best_only in (True, False):
         rooted = shared.join(hint(roots), "cid")
-        met = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        opened = stage(rooted.join(met.select("token", "low"), "token"))  # hashes at which different groups meet
+        opened = stage(_narrowed(rooted, hint(keys.select("cid", "n")), fewest))
         if opened.isEmpty():
             break
         # A family: groups that such hashes connect. Every pair of them that can link is inside one.
@@ -415,6 +418,22 @@ def class_roots(docs: DataFrame, rows: DataFrame, width: int, seed: int) -> Data
     return roots.select("cid", F.col("root").alias("label"))
 
 
+def _narrowed(rooted: DataFrame, sizes: DataFrame, fewest) -> DataFrame:
+    """(token, cid, root, low): the fewest hashes at which classes of different groups that are similar must meet.
+
+    `rooted` is (token, cid, root), `sizes` (cid, n). Similar classes share `fewest` hashes at least, so
+    of a class's hashes at which groups meet, rarest first, those after the last `fewest` - 1 are not
+    needed. Hashes of the same classes are one `token`, and `low` is its least root.
+    """
+    met = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cid")).alias("lot")).where("low <> high")
+    order = Window.partitionBy("cid").orderBy(F.desc("size"), F.desc("lot"), F.desc("token"))
+    placed = rooted.join(met.select("token", "size", "lot"), "token").join(sizes, "cid").withColumn("place", F.row_number().over(order))
+    few = placed.where(F.col("place") >= fewest).select(F.col("lot").alias("token"), "cid", "root").distinct()
+    few = stage(few)
+    met = few.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return few.join(met.select("token", "low"), "token")
+
+
 def _relabelled(roots: DataFrame, labels: DataFrame) -> DataFrame:
     """`roots` (cid, root) with each root replaced by its label (node, label), where it has one."""
     return roots.join(labels, F.col("root") == F.col("node"), "left").select("cid", F.coalesce("label", "root").alias("root"))

@@ -147,3 +147,30 @@ def test_names_with_dots_and_clashes_stay(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (3, None, 5, 6)], "doc_id long, text string, `a.b` int, _row int")
     kept = J.one_of_each_group(docs)
     assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d e f", 1, 2), (3, None, 5, 6)]
+
+
+def test_narrowed_hashes_still_join_every_pair_that_can_be_similar(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 10**6, 30)  # thirty hashes that all classes of a kind have are one entry a class
+    kept, size = {}, {}
+    for c in range(60):
+        own = rng.integers(0, 10**6, 12)
+        kept[c] = {int(t) for t in (np.r_[passage, own[:3]] if c % 2 else np.r_[own, rng.choice(passage, 8)])}
+        if c > 40:
+            kept[c] = {t for t in kept[c - 2] if rng.random() < 0.9} | {int(own[0])}
+        size[c] = int(rng.integers(30, 100))
+    root = {c: c - c % 3 for c in kept}
+    fewest = lambda n: max(1, n * 4 // 5 // 10)
+    rooted = spark.createDataFrame([(t, c, root[c]) for c, own in kept.items() for t in own], "token long, cid long, root long")
+    sizes = spark.createDataFrame(list(size.items()), "cid long, n long")
+    found = J._narrowed(rooted, sizes, F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * J.NUM / J.DEN) / 10))).collect()
+    at = {}
+    for r in found:
+        at.setdefault(r["token"], set()).add(r["cid"])
+        assert r["root"] == root[r["cid"]] and r["low"] == min(x["root"] for x in found if x["token"] == r["token"])
+    joined = {(a, b) for own in at.values() for a in own for b in own}
+    asked = {(a, b) for a in kept for b in kept if root[a] != root[b] and len(kept[a] & kept[b]) >= max(fewest(size[a]), fewest(size[b]))}
+    assert asked <= joined and len(asked) > 500
+    assert len(found) < 0.8 * len([1 for c, own in kept.items() for t in own if len({root[x] for x, o in kept.items() if t in o}) > 1])
