@@ -4,7 +4,9 @@ Rows are binned once and lie in blocks of byte columns, written under the checkp
 over the blocks adds up, for every member (a fold's model, or the model of all rows) and every open
 node, the gradient and curvature of each bin; the sums of a node meet in one task, which chooses its
 split, and only splits reach the driver. The first pass of a round also gives the held-out loss of every fold's trees so far, so each fold keeps growing one model until its best
-prefix is `patience` trees back. Scores are written anew every few rounds, in turn to two tables.
+prefix is `patience` trees back. A round begins by bringing the scores up to date in blocks that Spark
+stores for its passes; every few rounds they are written anew, in turn to two tables. A block lies in memory feature by feature and member by member, as it is counted; only the features
+that a round may split on are.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ from shiftgrain.session import checkpoint_dir
 BINS = 64
 #: Rows of one file, rows of one block, nodes whose splits one task chooses, and rounds between two writes of the scores.
 TASK_ROWS, BLOCK_ROWS, FAN, WRITE_EVERY = 50_000, 50_000, 32, 8
+#: Row groups of the blocks' files: each block is one, so any number of tasks can share a file.
+ROW_GROUPS = {"parquet.block.size": str(1 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1"}
 #: Smallest curvature of a leaf, penalty of its value, shares of rows and features that a tree sees.
 MIN_CURVATURE, PENALTY, ROW_SHARE, FEATURE_SHARE = 5.0, 1.0, 0.8, 0.8
 #: Gains this close, as a share, are equal, so the order in which sums arrive chooses no split.
@@ -69,8 +74,8 @@ class Binning:
         return np.arange(BINS) < np.array(most)[:, None]
 
     def matrix(self, batch: pa.RecordBatch) -> np.ndarray:
-        """The bin of every row and feature."""
-        out = np.zeros((batch.num_rows, len(self.names)), np.uint8)
+        """The bin of every row and feature; a feature's bins lie together."""
+        out = np.zeros((len(self.names), batch.num_rows), np.uint8).T
         for k, c in enumerate(self.numeric):
             v = batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
             out[:, k] = np.where(np.isnan(v), 0, 1 + np.searchsorted(np.array(self.cuts[c]), v, "left"))
@@ -91,14 +96,20 @@ class Tree:
         self.value = np.zeros(size)
         self.gain = np.zeros(size)
 
-    def nodes(self, bins: np.ndarray, depth: int | None = None) -> np.ndarray:
-        """The node that each row is in after `depth` levels."""
-        at, row = np.zeros(len(bins), np.int64), np.arange(len(bins)) * bins.shape[1]
-        flat, left, feature = bins.ravel(), self.left.ravel(), self.feature.astype(np.int64)
+    def nodes(self, bins: np.ndarray, depth: int | None = None, rows: np.ndarray | None = None) -> np.ndarray:
+        """The node that each row, or each of `rows`, is in after `depth` levels."""
+        if not (bins.flags.c_contiguous or bins.flags.f_contiguous):
+            bins = np.ascontiguousarray(bins)
+        by_row, by_feature = bins.strides
+        flat = bins.ravel("K")
+        row = np.arange(len(bins)) if rows is None else rows
+        row, at = row if by_row == 1 else row * by_row, np.zeros(len(row), np.int64)
+        # Where a row of a node goes by its bin: a leaf's rows stay.
+        node = np.arange(len(self.feature))
+        to = np.where((self.feature < 0)[:, None], node[:, None], 2 * node[:, None] + 2 - self.left).ravel()
+        first = np.maximum(self.feature, 0).astype(np.int64) * by_feature
         for _ in range(self.depth if depth is None else depth):
-            f = feature.take(at)
-            down = 2 * at + 2 - left.take(at * BINS + flat.take(row + np.maximum(f, 0)))
-            at = np.where(f < 0, at, down)
+            at = to.take(at * BINS + flat.take(first.take(at) + row))
         return at
 
     def predict(self, bins: np.ndarray) -> np.ndarray:
@@ -190,8 +201,11 @@ class Boosting:
         self.base = float(np.log(p / (1 - p)))
         self.tasks = max(1, -(-n // TASK_ROWS))
         self._paths = [f"{checkpoint_dir(self.spark)}/boosting/{uuid.uuid4().hex}/{side}" for side in "ab"]
+        #: Trees whose scores are not in the table yet, and those of them that are not in the stored blocks.
         self._pending: list[list[Tree]] = [[] for _ in self.members]
+        self._late: list[list[Tree]] = [[] for _ in self.members]
         self._read: DataFrame | None = None
+        self._stored: RDD | None = None
         base, members = self.base, len(self.members)
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +214,7 @@ class Boosting:
             def block() -> pa.RecordBatch:
                 parts = [np.concatenate(p) for p in zip(*held)]
                 raw = np.full((len(parts[1]), members), base)
-                return _block([p.tobytes() for p in (*parts, raw)])
+                return _block([p.tobytes("F") for p in (*parts, raw)])
 
             for batch in batches:
                 if batch.num_rows:
@@ -213,7 +227,7 @@ class Boosting:
                 yield block()
 
         needed = rows.select(*[F.col(c).cast("double") for c in binning.numeric], *binning.categorical, "label", "fold", "key")
-        needed.coalesce(self.tasks).mapInArrow(pack, _BLOCK).write.parquet(self._paths[0])
+        needed.coalesce(self.tasks).mapInArrow(pack, _BLOCK).write.options(**ROW_GROUPS).parquet(self._paths[0])
 
     @property
     def blocks(self) -> DataFrame:
@@ -222,44 +236,62 @@ class Boosting:
             self._read = self.spark.read.schema(_BLOCK).parquet(self._paths[0])
         return self._read
 
+    def _open(self) -> None:
+        """Blocks with the scores of all trees so far, stored when the next pass has made them; lost ones come from the table again."""
+        old, late = self._stored, self._pending if self._stored is None else self._late
+        if old is not None and not any(late):
+            return
+        blocks = self.blocks.rdd if old is None else old
+        if any(late):
+            opened = _opened(len(self.binning.names), late)
+            blocks = blocks.map(lambda block: (*block[:-1], opened(block)[-1].tobytes("F")))
+        self._stored, self._late = blocks.persist(StorageLevel.MEMORY_AND_DISK), [[] for _ in self.members]
+
+    @staticmethod
+    def _release(blocks: RDD | None) -> None:
+        if blocks is not None:
+            blocks.unpersist()
+
     def _pass(self, kernel: Callable[..., dict], nodes: int, allowed: np.ndarray) -> tuple[dict[int, np.ndarray], dict[tuple[int, int], tuple]]:
         """One pass over all blocks: sums of losses by member, and the whole and the best split by (member, node).
 
         `kernel(bins, label, fold, key, raw)` gives a block's sums: losses under (member, -1), and under
-        (member, node) the sums of the bins of one of `nodes` nodes. A node's sums of all tasks meet in one task.
+        (member, node) the sums of the bins of one of `nodes` nodes, of the `allowed` features only. A
+        node's sums of all tasks meet in one task.
         """
-        opened, used = _opened(len(self.binning.names), self._pending), self.binning.used
-        size, categorical = 2 ** (self.depth + 1), len(self.binning.categorical)
+        opened, chosen = _opened(len(self.binning.names), [[] for _ in self.members]), np.flatnonzero(allowed)
+        used, size, every = self.binning.used[chosen], 2 ** (self.depth + 1), np.ones(len(chosen), bool)
+        categorical = int(allowed[len(self.binning.numeric):].sum())
 
-        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def local(blocks: Iterator[tuple[bytes, ...]]) -> Iterator[tuple[int, bytes]]:
             out: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for block in batch.to_pylist():
-                    for (member, node), own in kernel(*opened(block)).items():
-                        part, own = member * size + node + 1, own if node < 0 else own[used]
-                        out[part] = out[part] + own if part in out else own
-            if out:
-                yield _partial(out)
+            for block in blocks:
+                for (member, node), own in kernel(*opened(block)).items():
+                    part, own = member * size + node + 1, own if node < 0 else own[used]
+                    out[part] = out[part] + own if part in out else own
+            return ((part, own.tobytes()) for part, own in out.items())
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = {}
-            for part, own in _added(batches).items():
-                if part % size == 0:
-                    out[part] = own
-                    continue
-                grid = np.zeros((*used.shape, 2))
-                grid[used] = own.reshape(-1, 2)
-                whole, (best,) = grid[0].sum(0), best_splits(grid[None], categorical, allowed)
-                if best is None:
-                    out[part] = whole
-                else:
-                    feature, left, gain, sides = best
-                    out[part] = np.concatenate([whole, [feature, gain], sides.ravel(), left])
+            out, sums = {}, _added(batches)
+            parts = [part for part in sums if part % size]
+            out |= {part: own for part, own in sums.items() if part % size == 0}
+            for start in range(0, len(parts), FAN):
+                some = parts[start : start + FAN]
+                grids = np.zeros((len(some), *used.shape, 2))
+                grids[:, used] = np.stack([sums[part].reshape(-1, 2) for part in some])
+                for part, grid, best in zip(some, grids, best_splits(grids, categorical, every)):
+                    whole = grid[0].sum(0)
+                    if best is None:
+                        out[part] = whole
+                    else:
+                        feature, left, gain, sides = best
+                        out[part] = np.concatenate([whole, [chosen[feature], gain], sides.ravel(), left])
             if out:
                 yield _partial(out)
 
         parts = max(1, -(-nodes // FAN))
-        found = self.blocks.mapInArrow(local, _SUMS).repartition(parts, "part").mapInArrow(choose, _SUMS)
+        sums = self.spark.createDataFrame(self._stored.mapPartitions(local), _SUMS, verifySchema=False)
+        found = sums.repartition(parts, "part").mapInArrow(choose, _SUMS)
         losses, splits = {}, {}
         for r in found.collect():
             (member, node), own = divmod(r["part"], size), np.frombuffer(r["body"])
@@ -276,13 +308,15 @@ class Boosting:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for block in batch.to_pylist():
-                    yield _block([block["bins"], block["label"], block["fold"], block["key"], opened(block)[-1].tobytes()])
+                for row in batch.to_pylist():
+                    block = tuple(row.values())
+                    yield _block([*block[:-1], opened(block)[-1].tobytes("F")])
 
-        self.blocks.mapInArrow(run, _BLOCK).write.mode("overwrite").parquet(self._paths[1])
+        self.blocks.mapInArrow(run, _BLOCK).write.mode("overwrite").options(**ROW_GROUPS).parquet(self._paths[1])
         self._paths.reverse()
-        self._read = None
-        self._pending = [[] for _ in self.members]
+        self._release(self._stored)
+        self._read = self._stored = None
+        self._pending, self._late = [[] for _ in self.members], [[] for _ in self.members]
 
     def grow(self, most: int, patience: int) -> int:
         """Grow until every fold's best prefix is `patience` trees back, or `most` trees; the mean of the best counts."""
@@ -293,46 +327,53 @@ class Boosting:
                     m.growing = False
             if not any(m.growing for m in self.members[:-1]):
                 break
-            for m, tree, pending in zip(self.members, grown, self._pending):
+            for m, tree, *waiting in zip(self.members, grown, self._pending, self._late):
                 if tree is not None:
                     m.trees.append(tree)
-                    pending.append(tree)
+                    for trees in waiting:
+                        trees.append(tree)
             if (turn + 1) % WRITE_EVERY == 0:
                 self._write_scores()
+        self._release(self._stored)
+        self._stored = None
         return max(1, round(sum(m.best for m in self.members[:-1]) / (len(self.members) - 1)))
 
     def _round(self, turn: int, last: bool) -> list[Tree | None]:
         """One tree for each growing member; also notes the held-out loss of the trees before it."""
         rng = np.random.default_rng((self.seed, turn))
-        features, categorical = len(self.binning.names), len(self.binning.categorical)
+        features = len(self.binning.names)
         allowed = np.zeros(features, bool)
         allowed[rng.permutation(features)[: max(1, round(FEATURE_SHARE * features))]] = True
         salt, growing = int(rng.integers(1 << 62)), [k for k, m in enumerate(self.members) if m.growing]
         trees = {k: Tree(self.depth) for k in growing}
         opened = {k: [0] for k in growing}
-        folds = [m.fold for m in self.members]
+        folds, before = [m.fold for m in self.members], self._stored
+        self._open()
         for level in range(self.depth):
             slots = {k: x for k, x in opened.items() if x}
             if not slots:
                 break
             judged = [k for k in growing if folds[k] is not None] if level == 0 else []
-            deep = {k: trees[k] for k in slots}
+            deep, chosen = {k: trees[k] for k in slots}, np.flatnonzero(allowed)
 
-            def kernel(bins, label, fold, key, raw, slots=slots, judged=judged, deep=deep, level=level):
+            def kernel(bins, label, fold, key, raw, slots=slots, judged=judged, deep=deep, level=level, chosen=chosen):
                 out = {}
                 for k in judged:
                     out[k, -1] = _losses(label, fold, raw, [(k, folds[k])])
                 if last:
                     return out
+                own = bins.T[chosen].T
                 seen = (_mix(key.view(np.uint64) ^ np.uint64(salt)) >> np.uint64(11)) * 2.0**-53 < ROW_SHARE
                 for k, nodes in slots.items():
                     rows = np.flatnonzero(seen & (fold != folds[k])) if folds[k] is not None else np.flatnonzero(seen)
-                    own = bins[rows]
-                    grids = _histogram(own, label[rows], raw[rows, k], deep[k].nodes(own, level), nodes, features)
+                    grids = _histogram(own, label, raw[:, k], deep[k].nodes(bins, level, rows), nodes, len(chosen), rows)
                     out |= {(k, node): grid for node, grid in zip(nodes, grids)}
                 return out
 
             losses, splits = self._pass(kernel, sum(map(len, slots.values())), allowed)
+            if before is not self._stored:
+                self._release(before)
+                before = self._stored
             for k in judged:
                 total, count = losses[k]
                 self.members[k].losses.append(float(total / max(count, 1)))
@@ -376,16 +417,19 @@ def _added(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
 
 
 def _opened(features: int, pending: list[list[Tree]]):
-    """A function from a stored block to its arrays, scores brought up to date with trees not yet written."""
-
-    def run(block: dict):
-        label = np.frombuffer(block["label"], np.uint8)
-        bins = np.frombuffer(block["bins"], np.uint8).reshape(len(label), features)
-        raw = np.frombuffer(block["raw"]).reshape(len(label), len(pending)).copy()
+    """A function from a block's columns to its arrays, scores brought up to date with trees not yet in them."""
+
+    def run(block: Sequence[bytes]):
+        bins, label, fold, key, raw = block
+        label = np.frombuffer(label, np.uint8)
+        bins = np.frombuffer(bins, np.uint8).reshape(features, len(label)).T
+        raw = np.frombuffer(raw).reshape(len(pending), len(label)).T
+        if any(pending):
+            raw = raw.copy("K")
         for k, trees in enumerate(pending):
             for tree in trees:
                 raw[:, k] += tree.predict(bins)
-        return bins, label, np.frombuffer(block["fold"], np.int16), np.frombuffer(block["key"], np.int64), raw
+        return bins, label, np.frombuffer(fold, np.int16), np.frombuffer(key, np.int64), raw
 
     return run
 
@@ -399,19 +443,18 @@ def _losses(label: np.ndarray, fold: np.ndarray, raw: np.ndarray, judged: list[t
     return np.array(out)
 
 
-def _histogram(bins: np.ndarray, label: np.ndarray, raw: np.ndarray, at: np.ndarray, nodes: list[int], features: int) -> np.ndarray:
-    """(node, feature, bin, [gradient, curvature]) sums of the rows that lie in `nodes`."""
+def _histogram(bins: np.ndarray, label: np.ndarray, raw: np.ndarray, at: np.ndarray, nodes: list[int], features: int, rows: np.ndarray | None = None) -> np.ndarray:
+    """(node, feature, bin, [gradient, curvature]) sums of the rows, or of those of `rows`, that lie in `nodes`; `at` is the node of each."""
     slot = np.full(max(int(at.max(initial=0)), max(nodes)) + 1, -1)
     slot[nodes] = np.arange(len(nodes))
     own = slot[at]
-    rows = np.flatnonzero(own >= 0)
-    # features one after the other in memory, as they are counted
-    own, bins = own[rows], np.ascontiguousarray(bins[rows].T)
+    inside = np.flatnonzero(own >= 0)
+    own, rows = own[inside], inside if rows is None else rows[inside]
     p = sigmoid(raw[rows])
     gradient, curvature = p - label[rows], np.maximum(p * (1 - p), 1e-16)
     out, base = np.empty((len(nodes), features, BINS, 2)), own * BINS
     for f in range(features):
-        cell = base + bins[f].astype(np.int64)
+        cell = base + bins[:, f].take(rows)
         out[:, f, :, 0] = np.bincount(cell, gradient, len(nodes) * BINS).reshape(len(nodes), BINS)
         out[:, f, :, 1] = np.bincount(cell, curvature, len(nodes) * BINS).reshape(len(nodes), BINS)
     return out

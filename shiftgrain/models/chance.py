@@ -53,9 +53,11 @@ def _scores(df: DataFrame, binning: Binning, base: float, trees: dict[int | None
             fold = batch.column(fold_col).to_numpy(zero_copy_only=False) if fold_col else None
             total = np.full(batch.num_rows, base)
             for key, own in trees.items():
-                rows = np.flatnonzero(fold == key) if fold_col else np.arange(batch.num_rows)
+                rows = np.flatnonzero(fold == key) if fold_col else slice(None)
+                mine, some = bins[rows], total[rows]
                 for tree in own:
-                    total[rows] += tree.predict(bins[rows])
+                    some += tree.predict(mine)
+                total[rows] = some
             raw = np.round(sigmoid(total), PLACES)
             out = [*(batch.column(c) for c in names), pa.array(raw)]
             if curve is not None:

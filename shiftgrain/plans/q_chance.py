@@ -10,6 +10,7 @@ from shiftgrain.models.chance import input_signature, saved_fit
 from shiftgrain.operators import shots as X
 from shiftgrain.operators.grids import prediction_grid
 from shiftgrain.plans.catalog import query
+from shiftgrain.session import cut_lineage
 
 C = F.col
 
@@ -70,7 +71,7 @@ def m4(t):
 def m4b(t):
     """Frozen scores do not depend on the other rows or their order, and a category nobody has seen gets a value."""
     model, _ = _fit(t)
-    feats = X.chance_features(t.events, t.bios)
+    feats = cut_lineage(X.chance_features(t.events, t.bios))  # scored three times
     whole = model.transform(feats).select("game_id", "event_idx", C("xg").alias("a"))
     parts = model.transform(feats.repartition(7, "event_idx")).select("game_id", "event_idx", C("xg").alias("b"))
     new = model.transform(feats.withColumn("shot_type", F.lit("never seen"))).select("game_id", "event_idx", C("xg").alias("c"))

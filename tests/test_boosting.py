@@ -159,3 +159,36 @@ def test_only_splits_reach_the_driver(features, monkeypatch):
     monkeypatch.setattr(type(model.blocks), "collect", counted)
     model._round(1, last=False)
     assert sent and max(sent) <= 8 * (8 + B.BINS)
+
+
+def test_a_round_brings_scores_up_to_date_once_for_all_its_passes(features):
+    model, _ = grown(features, 3)
+    assert model._stored is None and [len(p) for p in model._pending] == [3] * 4
+    model._round(3, last=False)
+    assert model._stored.is_cached and not any(model._late)
+    opened, rows = B._opened(len(model.binning.names), [[] for _ in model.members]), 0
+    for block in model._stored.collect():
+        bins, label, _, _, raw = opened(block)
+        rows += len(label)
+        for k, m in enumerate(model.members):
+            assert np.allclose(raw[:, k], model.base + sum(t.predict(bins) for t in m.trees))
+    assert rows == 1500
+
+
+def test_nodes_do_not_depend_on_the_layout_of_bins():
+    rng = np.random.default_rng(2)
+    bins, tree = rng.integers(0, B.BINS, (300, 5)).astype(np.uint8), B.Tree(4)
+    for node in (0, 1, 2, 4, 5, 9):
+        tree.feature[node], tree.left[node] = rng.integers(0, 5), rng.random(B.BINS) < 0.5
+    want = []
+    for row in bins:
+        node = 0
+        for _ in range(4):
+            f = tree.feature[node]
+            node = node if f < 0 else 2 * node + (1 if tree.left[node, row[f]] else 2)
+        want.append(node)
+    some = np.arange(0, 300, 7)
+    wide = np.repeat(bins, 2, 0)[::2]
+    for b in (bins, np.asfortranarray(bins), wide, wide.T.copy().T):
+        assert tree.nodes(b).tolist() == want and tree.nodes(b, None, some).tolist() == [want[k] for k in some]
+    assert tree.nodes(bins[:1]).tolist() == want[:1] and tree.nodes(bins[:0]).tolist() == []
