@@ -63,9 +63,14 @@ def kept_in_worker(*clears: Callable[[], None]) -> None:
 
 def free_worker() -> None:
     """Give back what earlier stages left in this worker process, which serves one stage after another:
-    remembered words, and memory that Arrow and the allocator hold free."""
+    remembered words, and what `trim_worker` gives back."""
     for clear in _KEPT:
         clear()
+    trim_worker()
+
+
+def trim_worker() -> None:
+    """Give back only the memory that Arrow and the allocator hold free."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

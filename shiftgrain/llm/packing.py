@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftgrain.llm.byte_bpe import encoder_for, file_tokenizer
-from shiftgrain.llm.common import stage, texts
+from shiftgrain.llm.common import stage, texts, trim_worker
 
 #: Leading numbers of sequence ids: whole windows by shard, planned windows, the stream.
 _WHOLE, _PLAN, _STREAM = 1 << 60, 2 << 60, 3 << 60
@@ -175,6 +175,7 @@ def encode_shards(docs: DataFrame, path: str, pattern: str, window: int, end_id:
     """
 
     def run(batches):
+        trim_worker()  # remembered words stay: they outlive a task
         tokenizer = file_tokenizer(path, pattern)
         kind = "<u2" if tokenizer.get_vocab_size() < 1 << 16 else "<u4"
         encoder, width = encoder_for(file_tokenizer, path, pattern, kind), np.dtype(kind).itemsize
